@@ -39,6 +39,16 @@ def last_n(arr: str | Column, n: int, skip: int = 0) -> Column:
     return F.slice(a, start + 1, stop - start)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Same rows, with every column computed before the next step.
+
+    A column that a lambda refers to would otherwise be folded into the lambda
+    and computed again for each element.  The generator is a border the
+    optimizer does not fold across.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def daily_series(df: DataFrame, key: str, value: str, date: str = "date", min_days: int = 14) -> DataFrame:
     """Daily sums, zero-filled from first to last day, as one array per key (TS-01).
 
@@ -59,13 +69,14 @@ def daily_series(df: DataFrame, key: str, value: str, date: str = "date", min_da
         nxt = F.coalesce(F.get(s, i + 1)["d"], F.date_add(x["d"], 1))
         return F.concat(F.array(x["v"]), F.array_repeat(F.lit(0.0), F.datediff(nxt, x["d"]) - 1))
 
-    return days.select(
+    filled = computed_once(days).select(
         key,
         s[0]["d"].alias("first_date"),
         F.element_at(s, -1)["d"].alias("last_date"),
         F.size(s).alias("active_days"),
         F.flatten(F.transform(s, with_gap)).alias("y"),
     )
+    return computed_once(filled)
 
 
 def backtest(series: DataFrame, test_days: int = 14) -> DataFrame:
@@ -79,6 +90,7 @@ def backtest(series: DataFrame, test_days: int = 14) -> DataFrame:
     df = series.withColumns(
         {"train": F.slice("y", F.lit(1), cut), "test": F.slice("y", cut + 1, n - cut)}
     ).withColumn("_last7", last_n("train", 7))
+    df = computed_once(df)
     enough = F.size("_last7") == 7
     day = F.sequence(F.lit(0), F.size("test") - 1)
     seasonal = F.transform(day, lambda i: F.get("_last7", F.pmod(i, F.lit(7))))
@@ -90,11 +102,15 @@ def backtest(series: DataFrame, test_days: int = 14) -> DataFrame:
             "moving_avg_7d": ma,
         }
     )
-    flat = {m: F.transform("test", lambda _, m=m: F.col(m)) for m in ("naive_last", "moving_avg_7d")}
+    df = computed_once(df)
+
+    def flat(m: str) -> Column:
+        return F.when(F.col(m).isNotNull(), F.transform("test", lambda _: F.col(m)))
+
     fc = {
-        "naive_last": F.when(F.col("naive_last").isNotNull(), flat["naive_last"]),
+        "naive_last": flat("naive_last"),
         "seasonal_naive_7d": F.col("seasonal_naive_7d"),
-        "moving_avg_7d": F.when(F.col("moving_avg_7d").isNotNull(), flat["moving_avg_7d"]),
+        "moving_avg_7d": flat("moving_avg_7d"),
     }
     cols = {}
     for m, f in fc.items():
@@ -102,20 +118,20 @@ def backtest(series: DataFrame, test_days: int = 14) -> DataFrame:
         rel = F.zip_with("test", f, lambda a, b: F.when(a > 0, F.abs(a - b) / F.nullif(a, F.lit(0.0))))
         cols[f"{m}_mae"] = mean(err)
         cols[f"{m}_mape"] = mean(F.filter(rel, lambda x: x.isNotNull())) * 100
-    df = df.withColumns(cols)
+    df = computed_once(df.withColumns(cols))
     return df.withColumn("best_model", best_key({m: F.col(f"{m}_mae") for m in MODELS})).drop("_last7")
 
 
 def project(series: DataFrame, model: Column | str, days: int = 14) -> DataFrame:
     """Forward forecast of the full series by the given model (TS-08), packed (TS-11)."""
     m = F.lit(model) if isinstance(model, str) and model in MODELS else col(model)
-    last7 = last_n("y", 7)
+    series = computed_once(series.withColumns({"_l7": last_n("y", 7), "_l28": last_n("y", 28)}))
+    last7, last28 = F.col("_l7"), F.col("_l28")
     step = F.sequence(F.lit(0), F.lit(days - 1))
     flat = F.when(m == "moving_avg_7d", mean(last7)).otherwise(F.element_at("y", -1))
     values = F.when(
         m == "seasonal_naive_7d", F.transform(step, lambda i: F.get(last7, F.pmod(i, F.size(last7))))
     ).otherwise(F.transform(step, lambda _: flat))
-    last28 = last_n("y", 28)
     past = F.transform(
         last28,
         lambda v, i: F.struct(F.date_sub("last_date", F.size(last28) - 1 - i).alias("date"), v.alias("value")),
@@ -123,7 +139,7 @@ def project(series: DataFrame, model: Column | str, days: int = 14) -> DataFrame
     ahead = F.zip_with(
         horizon("last_date", days), values, lambda d, v: F.struct(d.alias("date"), v.alias("value"))
     )
-    return series.withColumns({"actual_last_28d": past, "forecast_next_14d": ahead})
+    return series.withColumns({"actual_last_28d": past, "forecast_next_14d": ahead}).drop("_l7", "_l28")
 
 
 def weekday_mean(weekend: bool) -> Column:
