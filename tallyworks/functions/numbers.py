@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,13 @@ def best_key(scores: Mapping[str, Column]) -> Column:
         for i, (k, v) in enumerate(scores.items())
     ]
     return F.array_min(kept(*rows))["k"]
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Same rows, with every column computed before the next step.
+
+    A column that a lambda or many predicates refer to would otherwise be folded
+    into each of them and computed again every time.  The generator is a border
+    the optimizer does not fold across; it stays in generated code.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

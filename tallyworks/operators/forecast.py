@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.functions.dates import horizon
-from tallyworks.functions.numbers import best_key, clamp, col, half_even
+from tallyworks.functions.numbers import best_key, clamp, col, computed_once, half_even
 
 MODELS = ("naive_last", "seasonal_naive_7d", "moving_avg_7d")
 
@@ -39,16 +39,6 @@ def last_n(arr: str | Column, n: int, skip: int = 0) -> Column:
     return F.slice(a, start + 1, stop - start)
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Same rows, with every column computed before the next step.
-
-    A column that a lambda refers to would otherwise be folded into the lambda
-    and computed again for each element.  The generator is a border the
-    optimizer does not fold across.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def daily_series(df: DataFrame, key: str, value: str, date: str = "date", min_days: int = 14) -> DataFrame:
     """Daily sums, zero-filled from first to last day, as one array per key (TS-01).
 

@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, each with a check query where SQL can say it."""
 
 from tallyworks.plans.registry import ORACLES, QUERIES  # noqa: F401
-from tallyworks.plans import actions, forecasts, product, retail  # noqa: F401
+from tallyworks.plans import actions, documents, forecasts, product, retail  # noqa: F401

@@ -41,16 +41,20 @@ def connect(folder: str):
     return con
 
 
-def compare(df, con, sql: str) -> str:
+def compare(df, con, sql: str, took: list | None = None) -> str:
     """'' when equal, else what differs."""
     cols = sorted(df.columns)
     left = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
+    began = time.time()
     rel = con.sql(sql)
     names = list(rel.columns)
+    found = rel.fetchall()
+    if took is not None:
+        took.append(time.time() - began)
     if sorted(names) != cols:
         return f"columns {cols} != {sorted(names)}"
     order = [names.index(c) for c in cols]
-    right = [tuple(plain(r[i]) for i in order) for r in rel.fetchall()]
+    right = [tuple(plain(r[i]) for i in order) for r in found]
     key = lambda r: tuple((x is None, type(x).__name__ if not isinstance(x, (int, float)) else "", str(x) if not isinstance(x, (int, float)) else x) for x in r)  # noqa: E731, E501
     left.sort(key=key)
     right.sort(key=key)
@@ -80,7 +84,8 @@ def main() -> None:
         try:
             df = QUERIES[n](spark, folder)
             if n in ORACLES:
-                msg = compare(df, con, ORACLES[n])
+                msg = compare(df, con, ORACLES[n], took := [])
+                t0 += took[0]  # show Spark's time only
             else:
                 msg = f"rows only: {df.count()}"
         except Exception as e:  # noqa: BLE001
