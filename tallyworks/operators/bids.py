@@ -162,7 +162,7 @@ def detected_issues(sections: DataFrame) -> DataFrame:
 def merged_issues(known: DataFrame, detected: DataFrame) -> DataFrame:
     """Known issues first, then detected ones, one per category, section and text (SET-03)."""
     keys = ["draft_id", "category", "source_section", "description"]
-    return first_wins([known, detected], keys, ["pos"])
+    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision"])
 
 
 def validate_drafts(drafts: DataFrame, issues: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def section_scores(sections: DataFrame) -> DataFrame:
 
     max_by per (draft, title) first: the map has one entry per title.
     """
-    last = sections.groupBy("draft_id", "section_type").agg(F.max_by("completion_score", F.struct("pos", "section_id")).alias("s"))
+    last = sections.groupBy("draft_id", "section_type").agg(F.max_by("completion_score", F.struct("pos", "section_id", "completion_score")).alias("s"))
     return last.groupBy("draft_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section_type", "s")))).alias("section_scores"))
 
 

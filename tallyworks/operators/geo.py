@@ -20,6 +20,8 @@ from tallyworks.functions.skew import small
 from tallyworks.operators.scrutiny import authority
 
 EARTH_M = 6371008.8
+# Shapes that only touch overlap by rounding errors below this area.
+SLIVER_SQM = 1e-3
 POINT = "struct<x:double,y:double>"
 
 
@@ -232,7 +234,7 @@ def largest_overlap(
     first_i = F.floor(F.greatest("_sb.x0", "_b.x0") / size).cast("long")
     first_j = F.floor(F.greatest("_sb.y0", "_b.y0") / size).cast("long")
     pairs = s.join(cells, ["_i", "_j"]).where(touch & (c("_i") == first_i) & (c("_j") == first_j))
-    scored = pairs.withColumn("overlap_sqm", _overlaps("_s", "polygons")).where(c("overlap_sqm") > 0)
+    scored = pairs.withColumn("overlap_sqm", _overlaps("_s", "polygons")).where(c("overlap_sqm") > SLIVER_SQM)
     best = scored.groupBy(key).agg(
         F.min_by(F.struct(*props, "overlap_sqm"), F.struct(-c("overlap_sqm"), c(order))).alias("_p"),
         F.first("_s").alias("_s"),
