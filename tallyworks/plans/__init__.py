@@ -4,6 +4,7 @@ from tallyworks.plans.registry import ORACLES, QUERIES  # noqa: F401
 from tallyworks.plans import (  # noqa: F401
     actions,
     documents,
+    files,
     forecasts,
     permits,
     procurement,
