@@ -180,6 +180,7 @@ def base_flags(df: DataFrame, tender: str = "tender_id", order: Sequence[str] =
     at = F.struct(*order)
     base = F.col("classified_type").isin(*BASE_CLASSES)
     first = df.groupBy(tender).agg(F.min(F.when(base, at)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = checkpointed(first)  # one row per tender; the texts are classified once here, once below
     j = join_stats(df, first, [tender], "_n", [order[-1]], hot)
     return j.withColumns(
         {

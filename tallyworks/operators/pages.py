@@ -102,7 +102,7 @@ def label_values(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     rows = F.regexp_extract_all(visible(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
     r = pages.select(key, F.posexplode(rows).alias("_r", "_row"))
     cells = F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1)
-    c = r.select(key, "_r", cells.alias("_c")).where(F.size("_c") >= 2)
+    c = computed_once(r.select(key, "_r", cells.alias("_c"))).where(F.size("_c") >= 2)
     starts = F.sequence(F.lit(0), F.size("_c") - 2, F.lit(2))
     pairs = c.select(
         key, "_r", F.inline(F.transform(starts, lambda i: F.struct(

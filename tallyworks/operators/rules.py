@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.numbers import kept
+from tallyworks.functions.numbers import computed_once, kept
 
 _RULE = re.compile(r"^\s*(?:IF\b(?P<cond>[^:]*):\s*)?REQUIRE\b(?P<req>[^:]*)$", re.I | re.S)
 # Words, numbers, comparison signs and parentheses; everything else is refused.
@@ -131,22 +131,21 @@ def checks(df: DataFrame, rules: Sequence[Mapping], inputs: Mapping[str, Column]
         F.struct(
             F.lit(r["rule_id"]).alias("rule_id"),
             F.lit(r.get("description")).alias("description"),
-            v["status"].alias("status"),
-            v["reason"].alias("reason"),
+            verdict(r["python_logic"], inputs).alias("verdict"),
         )
         for r in rules
-        for v in [verdict(r["python_logic"], inputs)]
     ]
-    return df.withColumn("checks", F.array(*rows))
+    return computed_once(df.withColumn("checks", F.array(*rows)))
 
 
 def report(df: DataFrame, key: str) -> DataFrame:
     """One row per application and rule (RUL-09)."""
-    return df.select(key, F.inline("checks"))
+    rows = df.select(key, F.inline("checks"))
+    return rows.select(key, "rule_id", "description", "verdict.status", "verdict.reason")
 
 
 def _count(status: str) -> Column:
-    return F.size(F.filter("checks", lambda c: c["status"] == status))
+    return F.size(F.filter("checks", lambda c: c["verdict"]["status"] == status))
 
 
 def outcome(df: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.numbers import clamp, col, half_up, kept, lookup, within_pct
+from tallyworks.functions.numbers import clamp, col, computed_once, half_up, kept, lookup, within_pct
 
 PACK_COLUMNS = (
     "category", "label", "maxHeightM", "minRoadWidthM", "maxFAR", "maxGroundCoveragePercent", "minFrontSetbackM",
@@ -135,7 +135,7 @@ def building_checks(df: DataFrame) -> DataFrame:
         F.when(c("solarRequired"), check("solar", c("solar"), "warning", "medium", _yes(c("solar")), "Yes",
                "Solar provision included as required.", "Solar provision recommended for this category.")),
     ]
-    return df.withColumn("checks", kept(*items))
+    return computed_once(df.withColumn("checks", kept(*items)))
 
 
 def layout_checks(df: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def layout_checks(df: DataFrame) -> DataFrame:
         check("boundary_within_jurisdiction", inside, "warning", "high", F.when(inside, "Inside").otherwise("Crosses boundary"), "Inside",
               "Layout polygon is inside selected jurisdiction.", "Layout polygon overlaps outside the selected village/ULB."),
     ]
-    return df.withColumn("checks", F.array(*items))
+    return computed_once(df.withColumn("checks", F.array(*items)))
 
 
 def occupancy_checks(requests: DataFrame, sanctioned: DataFrame, link: str = "sanctioned_id", key: str = "id") -> DataFrame:
@@ -196,7 +196,7 @@ def occupancy_checks(requests: DataFrame, sanctioned: DataFrame, link: str = "sa
         check("completion_documents", c("documents_uploaded"), "fail", "high", F.when(c("documents_uploaded"), "Uploaded").otherwise("Missing"), "Uploaded",
               "Completion notice and supporting documents uploaded.", "Completion notice or supporting documents missing."),
     ]
-    return j.withColumn("checks", F.array(*items))
+    return computed_once(j.withColumn("checks", F.array(*items)))
 
 
 def _n(status: str, severity: str | None = None) -> Column:

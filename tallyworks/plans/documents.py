@@ -40,6 +40,7 @@ CTES["typed"] = f"""
 
 
 def typed(v: Views) -> DataFrame:
+    v.spread("documents")
     return dc.with_class(v.docs, "file_name", "text", hint="suggested_type")
 
 
@@ -307,7 +308,7 @@ CTES["tables"] = _TABLE
 
 def tables(v: Views) -> DataFrame:
     dated = F.lit("<tr><td>Published Date</td><td>04-May-2026 11:00</td></tr></table>")
-    return v.spark.sql(_TABLE, orders=v.orders).withColumn("html", F.replace("html", F.lit("</table>"), dated))
+    return v.spark.sql(_TABLE, orders=v.spread("orders").orders).withColumn("html", F.replace("html", F.lit("</table>"), dated))
 
 
 @query("txt_07_label_values", """
@@ -518,7 +519,7 @@ def txt_01(v: Views) -> DataFrame:
 
 @query("txt_02_chunks")
 def txt_02(v: Views) -> DataFrame:
-    return sim.chunks(v.documents, "doc_id", "text", 400)
+    return sim.chunks(v.spread("documents").documents, "doc_id", "text", 400)
 
 
 @query("txt_03_chunk_records", """
@@ -526,7 +527,7 @@ def txt_02(v: Views) -> DataFrame:
 def txt_03(v: Views) -> DataFrame:
     # Chunking moves only white space, so the other characters must all be there.
     meta = v.documents.select("doc_id", F.col("source").alias("source_id"), F.col("lang").alias("classified_type"))
-    c = sim.chunk_records(sim.chunks(v.documents, "doc_id", "text", 400), meta, "doc_id")
+    c = sim.chunk_records(sim.chunks(v.spread("documents").documents, "doc_id", "text", 400), meta, "doc_id")
     n = F.sum(F.length(F.regexp_replace("text", r"\s+", "")))
     return c.groupBy("doc_id", "source_id", "classified_type").agg(n.alias("chars"))
 
@@ -593,7 +594,7 @@ _SEC = ", ".join(
   SELECT doc_id, b.name AS section_type, b.n AS keyword_hits, ROUND_EVEN(LEAST(0.96, 0.55 + b.n * 0.1) * 1e6, 0) / 1e6 AS confidence FROM (
     SELECT doc_id, LIST_MAX([{_SEC}]) AS b FROM (SELECT doc_id, LOWER(text) AS t FROM documents))""")
 def rul_05(v: Views) -> DataFrame:
-    return sim.classify_section(v.documents).select("doc_id", "section_type", "keyword_hits", "confidence")
+    return sim.classify_section(v.spread("documents").documents).select("doc_id", "section_type", "keyword_hits", "confidence")
 
 
 _CLAUSES = [("c1", "Thereof notice"), ("c2", "Payment terms"), ("c3", "Ander Recht"), ("c4", "Queue rules"), ("c5", "Ention of work")]
@@ -602,7 +603,7 @@ _CLAUSES = [("c1", "Thereof notice"), ("c2", "Payment terms"), ("c3", "Ander Rec
 @query("jn_19_clause_matches", " UNION ALL ".join(
     f"SELECT doc_id, '{c}' AS clause_id, '{t}' AS title FROM documents WHERE CONTAINS(LOWER(text), '{t.lower().split()[0][:5]}')" for c, t in _CLAUSES))
 def jn_19(v: Views) -> DataFrame:
-    return sim.clause_matches(v.documents, _CLAUSES, "doc_id").select("doc_id", "clause_id", "title")
+    return sim.clause_matches(v.spread("documents").documents, _CLAUSES, "doc_id").select("doc_id", "clause_id", "title")
 
 
 @query("mth_04_unit_and_centroid", """
@@ -651,7 +652,7 @@ def vec_03(v: Views) -> DataFrame:
 
 @query("ml_06_hash_embedding")
 def ml_06(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", vec.hash_embed("text").alias("embedding"))
+    return v.spread("documents").documents.select("doc_id", vec.hash_embed("text").alias("embedding"))
 
 
 @query("ml_07_embedding_stage")

@@ -54,6 +54,7 @@ CTES["verdicts"] = """
 
 
 def verified(v: Views) -> DataFrame:
+    v.spread("orders")
     return rl.checks(v.apps, RULES, _inputs())
 
 
@@ -263,15 +264,18 @@ CTES["final_o"] = CTES["final_l"].replace("{layouts}", "{occupancies}")
 
 
 def building(v: Views) -> DataFrame:
+    v.spread("orders")
     a = v.apps.where("type IN ('building_permission', 'renovation_addition')").withColumn("jurisdiction_known", F.col("k") % 29 != 0)
     return sc.finalize(sc.building_checks(sc.with_pack(a, sc.packs(v.spark))), building=True)
 
 
 def layouts(v: Views) -> DataFrame:
+    v.spread("orders")
     return sc.finalize(sc.layout_checks(v.apps.where("type = 'layout_permission'").withColumn("inside_boundary", F.col("has_boundary"))))
 
 
 def occupancies(v: Views) -> DataFrame:
+    v.spread("orders")
     a = v.apps.where("type = 'occupancy_certificate'").select(
         "k", "id", (F.col("k") - 1).alias("sanctioned_k"), (F.col("floors") + F.when(F.col("k") % 6 == 0, 1).otherwise(0)).alias("r_floors"),
         F.col("building_use").alias("r_usage"), *[F.col(f"{s}_setback").alias(f"r_{s}") for s in ("front", "rear", "left", "right")],
@@ -373,6 +377,7 @@ CTES["cases_all"] = """
 
 
 def fees(v: Views) -> DataFrame:
+    v.spread("orders")
     a = v.apps.withColumn("fee_paid", F.when(F.col("k") % 5 == 0, 0.0).otherwise(F.floor(F.col("fee_paid") / 10).cast("double")))
     return sc.reconcile_fees(sc.estimate_fees(a))
 

@@ -193,6 +193,19 @@ class Views:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
 
+    def spread(self, *tables: str) -> Views:
+        """Use all cores on base tables whose files are fewer than the cores.
+
+        For row-wise work that costs far more than a shuffle of its input, such
+        as text scans.  A table of many splits is left as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        for t in tables:
+            df = getattr(self, t)
+            if df.rdd.getNumPartitions() < cores:
+                self._made[t] = df.repartition(cores)
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
