@@ -65,7 +65,7 @@ def manifest_or_metadata(manifest: DataFrame, metadata: DataFrame, text_folder:
 
 def attach_texts(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """Text bodies of the manifest rows; rows without a file are dropped (SRC-06)."""
-    bodies = spark.read.option("wholetext", True).text(folder).select(
+    bodies = spark.read.text(folder, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("_file"), F.col("value").alias("text")
     )
     named = manifest.withColumn("_file", F.regexp_extract("extracted_text_path", r"([^/]+)$", 1))
