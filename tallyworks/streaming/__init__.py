@@ -1,0 +1 @@
+"""No stream exists in the source system; runs are batches with keyed merges (see sinks)."""
