@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -52,21 +53,26 @@ def standardised(feats: DataFrame, cols: Sequence[str] = FEATURES, logged: Seque
 
 
 def segment(
-    feats: DataFrame, k: int = 6, restarts: int = 10, seed: int = 42, cols: Sequence[str] = FEATURES
+    feats: DataFrame, k: int = 6, restarts: int = 10, seed: int = 42, cols: Sequence[str] = FEATURES, at_once: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster the outlets; returns (rows with cluster_id, centroids) (ML-01).
 
-    The best of ``restarts`` runs by training cost is kept.  Only k centroids
-    come back to the driver.
+    The best of ``restarts`` runs by training cost is kept; ``at_once`` runs
+    share the cluster.  Only k centroids come back to the driver.
     """
     df = standardised(feats, cols).withColumn("_v", array_to_vector(F.array(*[f"z_{c}" for c in cols])))
-    df = df.drop(*[f"z_{c}" for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    # One row per outlet: as many tasks per iteration as the rows are worth.
+    tasks = max(1, feats.count() // 50_000)
+    df = df.drop(*[f"z_{c}" for c in cols]).repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best = None
-        for i in range(restarts):
-            model = KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster_id").fit(df)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+        df.count()  # fill the cache once, before the runs share it
+
+        def run(i: int):
+            return KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster_id").fit(df)
+
+        with ThreadPool(at_once) as pool:
+            runs = pool.map(inheritable_thread_target(feats.sparkSession)(run), range(restarts))
+        best = min(runs, key=lambda m: m.summary.trainingCost)
         spark = feats.sparkSession
         rows = [(i, *[float(v) for v in c]) for i, c in enumerate(best.clusterCenters())]
         schema = "cluster_id int, " + ", ".join(f"{c} double" for c in cols)
