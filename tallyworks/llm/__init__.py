@@ -5,4 +5,10 @@ imports it.
 """
 
 from tallyworks.llm.registry import ORACLES, QUERIES  # noqa: F401
-from tallyworks.llm import substrings  # noqa: F401
+from tallyworks.llm import (  # noqa: F401
+    conversations,
+    line_quality,
+    mixing,
+    simhash,
+    substrings,
+)

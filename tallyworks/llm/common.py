@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworks.session import new_path
@@ -86,3 +86,28 @@ def data(col: pa.Array):
     raw = col.buffers()[2]
     whole = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """Add each ``out: column`` of ``sums``: the column's total over all earlier rows of the group.
+
+    A range shuffle by (keys, order) spreads a group of any size over many tasks.  The written frame fixes which
+    task had which rows.  Only groups cut by a border need an offset: at most two pieces per task, so these are
+    broadcast.  Rows that tie in the whole order are summed in any order.
+    """
+    by = [F.col(k).asc_nulls_last() for k in [*keys, *order]]
+    ranged = written(df.repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()), name)
+    totals = [F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cut = ranged.groupBy(*keys, "_pid").agg(*totals).withColumn("_from", F.lag("_pid").over(before.rowsBetween(-1, -1)))
+    cut = cut.withColumns({f"_o_{o}": F.sum(f"_t_{o}").over(before) for o in sums}).where(F.col("_from").isNotNull())
+    offsets_ = cut.select(
+        F.struct(*keys).alias("_key") if keys else F.lit(0).alias("_key"),
+        F.col("_pid").alias("_at"), *[f"_o_{o}" for o in sums],
+    )
+    inner = Window.partitionBy("_pid", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    out = ranged.withColumns({f"_i_{o}": F.coalesce(F.sum(c).over(inner), zero) for o, c in sums.items()})
+    key = F.struct(*keys) if keys else F.lit(0)
+    out = out.join(F.broadcast(offsets_), (F.col("_pid") == F.col("_at")) & key.eqNullSafe(F.col("_key")), "left")
+    return out.select(*df.columns, *[(F.col(f"_i_{o}") + F.coalesce(f"_o_{o}", zero)).alias(o) for o in sums])
