@@ -7,8 +7,12 @@ imports it.
 from tallyworks.llm.registry import ORACLES, QUERIES  # noqa: F401
 from tallyworks.llm import (  # noqa: F401
     conversations,
+    decontamination,
+    language,
     line_quality,
+    maxent_lm,
     mixing,
+    pii_tagger,
     simhash,
     substrings,
 )
