@@ -8,6 +8,7 @@ from tallyworks.llm.registry import ORACLES, QUERIES  # noqa: F401
 from tallyworks.llm import (  # noqa: F401
     conversations,
     decontamination,
+    html_wrappers,
     language,
     line_quality,
     maxent_lm,

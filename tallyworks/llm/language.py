@@ -148,6 +148,21 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
     )
 
 
+def _judged(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language, cosine, rejected?) of each text; len(m.langs) stands for ``und``."""
+    raw, ends = data(col)
+    ascii_ = np.cumsum(np.r_[0, (raw | 32) - 97 < 26])
+    letter = ascii_[ends[1:]] > ascii_[ends[:-1]]
+    for i in np.flatnonzero(~letter):
+        letter[i] = LETTER.search(col[i].as_py() or "") is not None
+    pred, score = np.full(len(col), len(m.langs)), np.zeros(len(col))
+    if len(m.of):
+        cos = _unit(np.log1p(counts(raw, ends)) * m.idf) @ m.centroids.T
+        pred = np.where(letter, m.of[np.argmax(cos, axis=1)], len(m.langs))
+        score = np.where(letter, np.clip(cos.max(axis=1), 0, 1), 0.0).astype(np.float64)
+    return pred, score, (score < m.least) | (pred == len(m.langs))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` and with lang_pred, score (cosine, 0 to 1) and rejected.
 
@@ -157,22 +172,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        names = np.array([*m.langs, "und"], object)
+        names = np.array([*known.value.langs, "und"], object)
         for step in _steps(batches, text):
-            col = step.column(len(kept))
-            raw, ends = data(col)
-            ascii_ = np.cumsum(np.r_[0, (raw | 32) - 97 < 26])
-            letter = ascii_[ends[1:]] > ascii_[ends[:-1]]
-            for i in np.flatnonzero(~letter):
-                letter[i] = LETTER.search(col[i].as_py() or "") is not None
-            pred, score = np.full(step.num_rows, len(m.langs)), np.zeros(step.num_rows)
-            if len(m.of):
-                cos = _unit(np.log1p(counts(raw, ends)) * m.idf) @ m.centroids.T
-                best = np.argmax(cos, axis=1)
-                pred = np.where(letter, m.of[best], len(m.langs))
-                score = np.where(letter, np.clip(cos.max(axis=1), 0, 1), 0.0).astype(np.float64)
-            rejected = (score < m.least) | (pred == len(m.langs))
+            pred, score, rejected = _judged(step.column(len(kept)), known.value)
             yield pa.RecordBatch.from_arrays(
                 [*step.columns[: len(kept)], pa.array(names[pred], pa.string()), pa.array(score), pa.array(rejected)],
                 [*kept, "lang_pred", "score", "rejected"],
@@ -182,6 +184,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*kept, text).mapInArrow(run, schema + "lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict`` does not reject, as they are."""
+    at = docs.columns.index(text)
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in _steps(batches, text):
+            yield step.filter(pa.array(~_judged(step.column(at), known.value)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str, parts: int, which: int):
     """Whether crc32 of the id as text leaves ``which``; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts)) == which, F.lit(False))

@@ -33,7 +33,7 @@ HOT_ROWS = 50_000
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp): a bit is set if it is in over half of the shingles' XXH64.
+    """Rows (doc_id, th, fp): a bit is set if it is in over half of the shingles' XXH64; th is a hash of the text.
 
     A-Z are read in lower case.  Fewer words than a shingle count as one; a text without words, or null, has
     fingerprint zero.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         from xxhash import xxh64_intdigest
 
         for piece in pieces(batches, "text"):
-            raw, ends = data(piece.column(1))
+            raw, ends = data(piece.column(2))
             blob = raw.tobytes()
             counts = np.zeros(piece.num_rows, np.int64)
             parts = []
@@ -66,10 +66,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 starts = np.r_[0, np.cumsum(counts[has])[:-1]]
                 ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
                 fp[has] = np.packbits(2 * ones > counts[has, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def close_pairs(file: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,7 +242,7 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
     limit: int = LIMIT, hot: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id of its class).
+    """One row per document: doc_id, th, fp, root (the class), component_id (smallest doc_id of the class).
 
     Null ids are least of no class, so a class of null ids only has a null component_id.  Repeated rows are rows of
     one class.  Other columns are not read.
@@ -253,8 +253,18 @@ def near_duplicates(
     named = distinct.join(found, distinct.fp == found.node, "left")
     named = written(named.select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    classes = join_stats(named, least, ["root"], "k", ["fp"], hot).select("fp", "n", "component_id")
-    return join_stats(rows, written(classes, "classes"), ["fp"], "n", ["doc_id"], hot).select("doc_id", "fp", "component_id")
+    classes = join_stats(named, least, ["root"], "k", ["fp"], hot).select("fp", "n", "root", "component_id")
+    out = join_stats(rows, written(classes, "classes"), ["fp"], "n", ["doc_id"], hot)
+    return out.select("doc_id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class (null last, then by the hash of the text), once each."""
+    found = near_duplicates(docs, doc_id, text, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    keep = first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
+    met = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_th")))
+    return met.dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
