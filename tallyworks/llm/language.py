@@ -94,11 +94,12 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Centroids from rows with a language; rows with a null language or text are not read.
+    """Centroids from rows with a language; rows without a language, or without a letter in the text, are not read.
 
     Languages are few: one row for each reaches the driver, and its centroids do.
     """
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
         return Model([], np.empty(0, int), np.empty((0, DIM), np.float32), np.zeros(DIM, np.float32), 0.0)

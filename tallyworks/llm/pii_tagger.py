@@ -126,6 +126,13 @@ def windows(size: int) -> list[int]:
 # -- training ---------------------------------------------------------------------------------------------------------
 
 
+def _worn(text: str, rng: np.random.Generator) -> str:
+    """Some letters replaced by others, so that the words of the sample are not learnt by heart."""
+    hit = rng.random(len(text)) < 0.15
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return "".join(letters[rng.integers(26)] if h and c.isalpha() else c for c, h in zip(text, hit))
+
+
 def _altered(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with its spans written in other ways, or with a look-alike that is none."""
     out, found, at = "", [], 0
@@ -144,7 +151,7 @@ def _altered(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
         elif kind == 3 and way:
             d = "".join(DIGIT.findall(s))
             s = (f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"00{d[:-10]} {d[-10:-7]} {d[-7:-4]} {d[-4:]}")[way - 1]
-        out += text[at:a]
+        out += _worn(text[at:a], rng)
         if rng.integers(3) == 0:  # a look-alike in its place
             n = rng.integers(1, 99999, 6)
             s = (
@@ -156,7 +163,7 @@ def _altered(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
             found.append((len(out), len(out) + len(s), kind))
         out += s
         at = b
-    return out + text[at:], found
+    return out + _worn(text[at:], rng), found
 
 
 def training_windows(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
