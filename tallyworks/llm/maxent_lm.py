@@ -14,6 +14,7 @@ other words meet the table in a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,32 +131,42 @@ def _contexts(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return one, two
 
 
-def _sum_slices(parts: DataFrame, dtype, levels: int = 2) -> DataFrame:
-    """Rows (slice, values) added up over tasks, first in groups of tasks and then over groups."""
+SUMS = "part long, slice long, n double, values binary"
 
-    def add(group: pa.Table) -> pa.Table:
-        total = None
-        for v in group.column("values"):
-            x = np.frombuffer(v.as_buffer(), dtype)
-            total = x.copy() if total is None else total + x
-        return pa.table({"part": [0], "slice": [group.column("slice")[0].as_py()], "values": [total.tobytes()]})
 
-    parts = parts.groupBy("slice", F.pmod("part", F.lit(64)).alias("g")).applyInArrow(add, "part long, slice long, values binary")
-    return parts.groupBy("slice").applyInArrow(add, "part long, slice long, values binary")
-
-
-def _send(values: np.ndarray) -> pa.RecordBatch:
+def _send(values: np.ndarray, n: float) -> pa.RecordBatch:
+    """An array in slices, with its weight."""
     from pyspark import TaskContext
 
-    rows = [x.tobytes() for x in np.array_split(values, SLICES)]
+    rows = [x.tobytes() for x in np.array_split(values.ravel(), SLICES)]
     part = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array([part] * SLICES), pa.array(np.arange(SLICES)), pa.array(rows, pa.binary())], ["part", "slice", "values"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part] * SLICES), pa.array(np.arange(SLICES)), pa.array([float(n)] * SLICES), pa.array(rows, pa.binary())], ["part", "slice", "n", "values"]
+    )
+
+
+def _weighted_sum(parts: DataFrame, dtype, tasks: int) -> tuple[np.ndarray, float]:
+    """(sum of n times the array over all tasks, sum of n), added in groups of tasks first.
+
+    The array reaches the driver; its size is fixed by the parameters.
+    """
+
+    def add(kind):
+        def run(group: pa.Table) -> pa.Table:
+            total, n = np.float64(0), 0.0
+            for v, w in zip(group.column("values"), group.column("n").to_pylist()):
+                x = np.frombuffer(v.as_buffer(), kind).astype(np.float64)
+                total, n = total + (x * w if kind == dtype else x), n + w
+            return pa.table({"part": [0], "slice": [group.column("slice")[0].as_py()], "n": [n], "values": [total.astype(np.float32).tobytes()]})
 
+        return run
 
-def _collected(parts: DataFrame, dtype) -> np.ndarray | None:
-    """The summed array; its size is fixed by the parameters."""
-    got = sorted(_sum_slices(parts, dtype).collect(), key=lambda r: r["slice"])
-    return np.concatenate([np.frombuffer(bytes(r["values"]), dtype) for r in got]) if got else None
+    groups = F.pmod("part", F.lit(max(2, math.isqrt(tasks))))
+    first = parts.groupBy("slice", groups.alias("g")).applyInArrow(add(dtype), SUMS)
+    got = sorted(first.groupBy("slice").applyInArrow(add(np.float32), SUMS).collect(), key=lambda r: r["slice"])
+    if not got:
+        return np.empty(0, np.float32), 0.0
+    return np.concatenate([np.frombuffer(bytes(r["values"]), np.float32) for r in got]), got[0]["n"]
 
 
 def word_classes(texts: DataFrame, lex) -> np.ndarray:
@@ -179,13 +190,13 @@ def word_classes(texts: DataFrame, lex) -> np.ndarray:
                 key, n = np.unique(number[a] * width + shift + mark[b], return_counts=True)
                 flat[key] += n.astype(np.int32)
         if total is not None:
-            yield _send(total)
+            yield _send(total, 1)
 
-    found = _collected(texts.mapInArrow(run, "part long, slice long, values binary"), np.int32)
+    found, n = _weighted_sum(texts.mapInArrow(run, SUMS), np.int32, texts.rdd.getNumPartitions())
     out = np.full(VOCAB + 2, OTHER, np.int64)
-    if found is None:
+    if not n:
         return out
-    x = np.sqrt(found.reshape(VOCAB, width).astype(np.float32))
+    x = np.sqrt(found.reshape(VOCAB, width))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     seen = lex.value.number[lex.value.number < VOCAB]
     start = [0]
@@ -243,12 +254,12 @@ def train(texts: DataFrame, lex, classes: np.ndarray, prior: np.ndarray, rounds:
                     _step(w, memory, slots[k : k + BATCH], goal[k : k + BATCH])
                 seen += len(goal)
             if seen:
-                # The number of tokens travels behind the weights.
-                yield _send(np.r_[w.ravel().astype(np.float64) * seen, np.float64(seen)])
+                # Only what changed travels, in half precision.
+                yield _send((w - now.value[0]).astype(np.float16), seen)
 
-        found = _collected(texts.where(part == r).mapInArrow(run, "part long, slice long, values binary"), np.float64)
-        if found is not None:
-            weights = (found[:-1] / found[-1]).reshape(SLOTS, CLASSES).astype(np.float32)
+        found, n = _weighted_sum(texts.where(part == r).mapInArrow(run, SUMS), np.float16, texts.rdd.getNumPartitions())
+        if n:
+            weights = weights + (found / n).reshape(SLOTS, CLASSES).astype(np.float32)
     return weights
 
 

@@ -147,7 +147,7 @@ def _altered(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
             s = s.replace(".", " . ")
         elif kind == 2 and way:
             d = "".join(DIGIT.findall(s))
-            s = (" - ", ".", "/")[way - 1].join(d[i : i + 4] for i in range(0, len(d), 4))
+            s = (" - ", "_", "/")[way - 1].join(d[i : i + 4] for i in range(0, len(d), 4))
         elif kind == 3 and way:
             d = "".join(DIGIT.findall(s))
             s = (f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"00{d[:-10]} {d[-10:-7]} {d[-7:-4]} {d[-4:]}")[way - 1]
