@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, most: in
                     if s[0] >= at:
                         clear.append(s)
                         at = s[1]
-                rng = np.random.default_rng(np.frombuffer(t.encode("utf-8", "replace")[:4096].ljust(4, b" ")[:4], np.uint32)[0] + len(t))
+                rng = np.random.default_rng(zlib.crc32(t.encode("utf-8", "surrogatepass")))
                 for version in ((t, clear), _altered(t, clear, rng), _altered(t, clear, rng)):
                     for c, g in training_windows(*version):
                         codes.append(c.tobytes())
@@ -281,7 +282,13 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
                         end += 1
                     # Begin and inside of the kind both speak for it.
                     if odds[r][t:end, 1 + 2 * kind : 3 + 2 * kind].sum(axis=1).mean() >= SURE:
-                        out[i].append((a + t, a + end, kind))
+                        # A border inside a number moves to the number's end.
+                        x, y = a + t, a + end
+                        while x > 0 and texts[i][x - 1].isdigit() and texts[i][x].isdigit():
+                            x -= 1
+                        while y < len(texts[i]) and texts[i][y - 1].isdigit() and texts[i][y].isdigit():
+                            y += 1
+                        out[i].append((x, y, kind))
                     t = end
                 else:
                     t += 1
