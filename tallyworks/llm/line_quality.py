@@ -26,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 # A line is frequent in a source if so many of its distinct documents hold it, and this share of them.
 LINE_DOCS = 20
 LINE_SHARE = 0.01
-# A document is depleted if less than this share of its words stays.
+# A document is depleted if less than this share of its words stays, or too few words for a document and less than half.
 DEPLETED = 0.2
 
 MEASURES = (
@@ -123,7 +123,7 @@ def line_report(
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    spent = (F.col("removed_words") > 0) & ((left < MIN_WORDS) | (left < F.col("n_words") * depleted))
+    spent = (F.col("removed_words") > 0) & ((left < F.col("n_words") * depleted) | (left < MIN_WORDS) & (2 * left < F.col("n_words")))
     return (
         rows.join(removed, "row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -195,7 +195,7 @@ WITH t AS (
   FROM b LEFT JOIN r USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (gone > 0 AND (n_words - gone < 20 OR n_words - gone < n_words * 0.2)) AS kept
+       NOT base_failed AND NOT (gone > 0 AND (n_words - gone < n_words * 0.2 OR n_words - gone < 20 AND 2 * (n_words - gone) < n_words)) AS kept
 FROM a
 """
 
