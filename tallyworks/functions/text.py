@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator, Sequence
+import html.entities
+import json
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyworks.functions.numbers import col
 
@@ -26,29 +25,40 @@ TRIPWIRES = (
     "cloudflare ray id",
 )
 
-# The entities that occur in the feeds.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+# Characters by entity name, and by number where a page means one of the Windows set.
+_NAMED = json.dumps(html.entities.html5)
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(html.unescape, na_action="ignore")
+def unescape(c: str | Column) -> Column:
+    """Decode named, decimal and hexadecimal HTML entities; unknown names stay.
 
-
-def clean_name(c: str | Column, all_entities: bool = False) -> Column:
-    """Unescape HTML, squeeze white space, trim; null becomes '' (STR-01).
-
-    The common entities need no Python.  ``all_entities`` switches to an Arrow
-    batch function that knows every named and numeric one.
+    The text is cut at its entities, each is decoded, and the pieces are joined.
+    A name without a semicolon counts where HTML allows that.
     """
-    v = F.coalesce(col(c).cast("string"), F.lit(""))
-    if all_entities:
-        v = _unescape(v)
-    else:
-        for entity, ch in _ENTITIES:
-            v = F.replace(v, F.lit(entity), F.lit(ch))
-        v = F.replace(v, F.lit("&amp;"), F.lit("&"))
+    v = col(c)
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    windows = F.from_json(F.lit(json.dumps({str(n): ch for n, ch in _WINDOWS.items() if ch})), "map<string,string>")
+
+    def decoded(e: Column) -> Column:
+        body = F.regexp_replace(e, "^&#?[xX]?|;$", "")
+        number = F.when(F.rlike(e, F.lit("^&#[xX]")), F.conv(body, 16, 10)).otherwise(body).try_cast("long")
+        odd = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        char = F.coalesce(F.try_element_at(windows, number.cast("string")), F.when(odd, "\ufffd").otherwise(char))
+        name = F.substring_index(e, "&", -1)
+        return F.when(F.startswith(e, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(named, name), e))
+
+    parts = F.split(v, _ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(v, F.lit(f"({_ENTITY})"), 1), decoded)
+    joined = F.array_join(F.zip_with(parts, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(v, F.lit("&")), joined).otherwise(v)
+
+
+def clean_name(c: str | Column) -> Column:
+    """Unescape HTML, squeeze white space, trim; null becomes '' (STR-01)."""
+    v = unescape(F.coalesce(col(c).cast("string"), F.lit("")))
     v = F.replace(v, F.lit("&amp;"), F.lit("&"))
     return F.trim(F.regexp_replace(v, r"(?U)\s+", " "))
 

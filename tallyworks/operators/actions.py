@@ -157,9 +157,10 @@ def peer_gap(f: DataFrame, top: int = 40, least: float = 70.0) -> DataFrame:
     )
 
 
-def declining(f: DataFrame, top: int = 30) -> DataFrame:
-    """Outlets in decline (ACT-03)."""
-    df = smallest(f.where("growth_30d < -0.3 AND NOT dormant AND active_days > 30"), "growth_30d", top)
+def declining(f: DataFrame, top: int = 30, more_days: int = 30) -> DataFrame:
+    """Outlets in decline with more than ``more_days`` sales days (ACT-03)."""
+    fits = f.where((F.col("growth_30d") < -0.3) & ~F.col("dormant") & (F.col("active_days") > more_days))
+    df = smallest(fits, "growth_30d", top)
     return _rows(
         df, "declining", "outlet", SALES, True,
         confidence=F.lit(0.78),
@@ -302,9 +303,13 @@ def urgency_rank(c: str = "urgency") -> Column:
     return F.when(u == "High", 0).when(u == "Medium", 1).when(u == "Low", 2).otherwise(3)
 
 
+# What tells actions of one urgency and impact apart.
+TIES = ("branch", "outlet_code", "district", "reason")
+
+
 def in_order(actions: DataFrame) -> DataFrame:
-    """Urgency first, then impact (TOP-06)."""
-    return actions.orderBy(urgency_rank(), F.desc(F.coalesce("revenue_impact_inr", F.lit(0.0))))
+    """Urgency first, then impact; ties by branch and place, so that a cut is the same each time (TOP-06)."""
+    return actions.orderBy(urgency_rank(), F.desc(F.coalesce("revenue_impact_inr", F.lit(0.0))), *TIES)
 
 
 def counters(actions: DataFrame) -> DataFrame:

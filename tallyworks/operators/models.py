@@ -157,6 +157,11 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
+def drawn_below(n: int, sample: int) -> int:
+    """A row joins a tree if its 63-bit hash is below this: 1.25 * sample of n rows do on average, for any n."""
+    return min((1 << 63) - 1, int(1.25 * sample / max(n, 1) * (1 << 63)))
+
+
 def fit_forest(
     df: DataFrame, cols: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 42
 ) -> list[list[tuple[int, float, int, int, float]]]:
@@ -167,10 +172,10 @@ def fit_forest(
     trees * 2 * sample nodes and comes back to the driver.
     """
     n = df.count()
-    share = min(1.0, 1.25 * sample / max(n, 1))
+    below = drawn_below(n, sample)
     picks = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000),
+        lambda t: F.shiftrightunsigned(F.xxhash64(F.col(row_id), t, F.lit(seed)), 1) < F.lit(below),
     )
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
     sampled = df.select(row_id, *x, F.explode(picks).alias("tree"))
@@ -188,6 +193,8 @@ def fit_forest(
 
     schema = "tree int, f array<int>, s array<double>, l array<int>, r array<int>, p array<double>"
     grown = sampled.groupBy("tree").applyInPandas(grow, schema).collect()
+    if n and len(grown) < trees:
+        raise ValueError(f"{trees - len(grown)} of {trees} trees got none of {n} rows")
     return [list(zip(g.f, g.s, g.l, g.r, g.p)) for g in grown]
 
 

@@ -93,43 +93,49 @@ def plain(fragment: str | Column) -> Column:
     return clean_name(F.regexp_replace(col(fragment), r"(?s)<[^>]*>", " "))
 
 
-def label_values(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, position, field, value) of label/value table rows (TXT-07).
+def _pairs(html: str | Column) -> Column:
+    """(position, field, value) of the label/value rows of a page, an array in page order.
 
-    Cells 1 and 2, 3 and 4, ... of a row are pairs.  The page alone bounds the
-    arrays; no cell list leaves its row.
+    A row ends at the next row or table tag and a cell at the next cell, row or
+    table tag, so end tags may be missing.  Cells 1 and 2, 3 and 4, ... of a row are pairs.
     """
-    rows = F.regexp_extract_all(visible(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
-    r = pages.select(key, F.posexplode(rows).alias("_r", "_row"))
-    cells = F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), 1)
-    c = computed_once(r.select(key, "_r", cells.alias("_c"))).where(F.size("_c") >= 2)
-    starts = F.sequence(F.lit(0), F.size("_c") - 2, F.lit(2))
-    pairs = c.select(
-        key, "_r", F.inline(F.transform(starts, lambda i: F.struct(
-            i.alias("_i"), F.get("_c", i).alias("_label"), F.get("_c", i + 1).alias("_value")))))
+    rows = F.split(visible(html), r"(?i)<tr\b[^>]*>", -1)
     field = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    named = pairs.select(
-        key,
-        F.struct("_r", "_i").alias("position"),
-        F.try_element_at(field, label_key(plain("_label"))).alias("field"),
-        plain("_value").alias("value"),
-    )
-    return computed_once(named).where(F.col("field").isNotNull() & (F.col("value") != ""))
+
+    def pairs(row: Column, i: Column) -> Column:
+        inside = F.regexp_extract(row, r"(?is)^(.*?)(?:</?table\b|</tr\b|\z)", 1)
+        cells = F.split(inside, r"(?i)<t[dh]\b[^>]*>", -1)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cells) - 2, F.lit(1)), F.lit(2)), lambda c: c < F.size(cells) - 1)
+        cell = lambda c: plain(F.regexp_replace(F.get(cells, c), r"(?is)</t[dh]\b.*\z", ""))
+        return F.transform(starts, lambda c: F.struct(
+            F.struct((i + 1).alias("_r"), c.alias("_i")).alias("position"), F.try_element_at(field, label_key(cell(c))).alias("field"), cell(c + 1).alias("value")))
+
+    found = F.flatten(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), pairs))
+    return F.filter(F.coalesce(found, F.array()), lambda p: p["field"].isNotNull() & (p["value"] != ""))
+
+
+def label_values(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, position, field, value) of label/value table rows (TXT-07)."""
+    return pages.select(key, F.inline(_pairs(html)))
 
 
 def records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per page with typed record fields; the last value of a field wins (TXT-08, DAT-01, STR-07).
 
+    All fields come from the page's own row: nothing is joined or shuffled.
+
     ``parser_name`` 'epublish_parser' reads the title tag and a reference number
     in the running text; all other parsers read label/value tables.
     ``source_id`` and ``url`` give the record id.
     """
     fields = (*TEXT_FIELDS, *MONEY_FIELDS, *DATE_FIELDS)
-    wide = label_values(pages.where("parser_name <> 'epublish_parser'"), key, html).groupBy(key).agg(
-        *[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("position"))).alias(f)
-          for f in fields])
-    base = pages.select(key, "source_id", "url", "parser_name", html)
-    j = base.join(wide, key, "left")
+    tables = F.when(F.col("parser_name") != "epublish_parser", _pairs(html))
+    base = computed_once(pages.select(key, "source_id", "url", "parser_name", html, tables.alias("_pairs")))
+
+    def last(f: str) -> Column:
+        return F.get(F.filter("_pairs", lambda p: p["field"] == f), F.size(F.filter("_pairs", lambda p: p["field"] == f)) - 1)["value"]
+
+    j = base.withColumns({f: last(f) for f in fields})
     running = plain(visible(html))
     listed = F.col("parser_name") == "epublish_parser"
     title = F.nullif(plain(F.regexp_extract(F.col(html), r"(?is)<title\b[^>]*>(.*?)</title>", 1)), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyworks.functions.ranking import row_numbers
 from tallyworks.operators import actions as act
 from tallyworks.operators import product as pr
 from tallyworks.plans.product import aggression, products
@@ -114,8 +115,7 @@ def _out(df: DataFrame) -> DataFrame:
 
 def declining(f: DataFrame) -> DataFrame:
     # Driver customers have about ten sales days; the operator's own bound is 30.
-    df = act.smallest(f.where("growth_30d < -0.3 AND NOT dormant AND active_days > 8"), "growth_30d", 30)
-    return act.declining(df.withColumn("active_days", F.lit(31)))
+    return act.declining(f, more_days=8)
 
 
 def branches(v: Views) -> list[DataFrame]:
@@ -193,11 +193,12 @@ def agg_36(v: Views) -> DataFrame:
 
 
 @query("top_06_action_order", """
-  SELECT outlet_code, urgency, urank FROM (SELECT outlet_code, urgency, CASE urgency WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS urank,
-    revenue_impact_inr FROM {rising}) ORDER BY urank, revenue_impact_inr DESC LIMIT 25""")
+  SELECT branch, outlet_code, district, urgency, ROW_NUMBER() OVER (ORDER BY CASE urgency WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 3 END,
+    COALESCE(ROUND(revenue_impact_inr, 3), 0) DESC, branch, outlet_code NULLS FIRST, district NULLS FIRST, reason NULLS FIRST) AS place FROM {all_actions}""")
 def top_06(v: Views) -> DataFrame:
-    a = act.rising(flagged_from(feats(v)))
-    return act.in_order(a).limit(25).select("outlet_code", "urgency", act.urgency_rank().alias("urank"))
+    """The whole list with its places."""
+    a = _out(act.union(*branches(v))).withColumns({"u": act.urgency_rank(), "i": F.coalesce("revenue_impact_inr", F.lit(0.0))})
+    return row_numbers(a, [], ["u", F.desc("i"), *act.TIES], "place").select("branch", "outlet_code", "district", "urgency", "place")
 
 
 @query("str_18_template_text", """
@@ -220,11 +221,6 @@ def signals(v: Views) -> DataFrame:
     return v.events.select(F.col("event_id").alias("source"), (F.col("value") / 400).alias("confidence"), alters.alias("alters"))
 
 
-@query("sig_01_signals", "SELECT source, ROUND(confidence, 6) AS confidence, alters FROM {signals}")
-def sig_01(v: Views) -> DataFrame:
-    return rounded(signals(v), 6, "confidence")
-
-
 @query("agg_39_signal_counters", """
   SELECT COUNT(*) AS signals, COUNT(*) FILTER (WHERE confidence > 0.7) AS high_confidence, COUNT(*) FILTER (WHERE alters LIKE '%forecast%') AS alters_forecast,
     COUNT(*) FILTER (WHERE alters LIKE '%action%') AS alters_action FROM {signals}""")

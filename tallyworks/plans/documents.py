@@ -404,13 +404,14 @@ def src_05(v: Views) -> DataFrame:
 
 
 @query("src_10_sitemap_urls", """
-  SELECT 'page' || page_id AS source_id, CASE WHEN href LIKE '/%' THEN 'https://portal.example' || href ELSE 'https://portal.example/' || href END AS url
-  FROM (SELECT page_id, UNNEST(hs[1:3]) AS href FROM (SELECT page_id, LIST(href) AS hs FROM {links} GROUP BY 1))""")
+  SELECT 'src' || page_id % 20 AS source_id, CASE WHEN href LIKE '/%' THEN 'https://portal.example' || href ELSE 'https://portal.example/' || href END AS url
+  FROM (SELECT page_id, href, ROW_NUMBER() OVER (PARTITION BY page_id % 20 ORDER BY page_id, i) AS n FROM (
+    SELECT page_id, UNNEST(hs) AS href, GENERATE_SUBSCRIPTS(hs, 1) AS i FROM (SELECT page_id, LIST(href) AS hs FROM {links} GROUP BY 1))) WHERE n <= 13""")
 def src_10(v: Views) -> DataFrame:
     body = F.regexp_replace(pg.visible("html"), r'(?s)<a href="([^"]*)"', "<loc> $1 </loc><a")
-    p = v.pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("source_id"), body.alias("html"))
-    sources = p.select("source_id").withColumns({"base_url": F.lit("https://portal.example/"), "max_pages_per_run": F.lit(3)})
-    return readers.sitemap_urls(p, sources).select("source_id", "url")
+    p = v.pages.select(F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("source_id"), "page_id", body.alias("html"))
+    sources = p.select("source_id").distinct().withColumns({"base_url": F.lit("https://portal.example/"), "max_pages_per_run": F.lit(13)})
+    return readers.sitemap_urls(p, sources, "page_id").select("source_id", "url")
 
 
 CTES["frontier"] = """
@@ -655,15 +656,6 @@ def ml_06(v: Views) -> DataFrame:
     return v.spread("documents").documents.select("doc_id", vec.hash_embed("text").alias("embedding"))
 
 
-@query("ml_07_embedding_stage")
-def ml_07(v: Views) -> DataFrame:
-    def lengths(batches):
-        for pdf in batches:
-            yield pdf.assign(embedding=[[float(len(t)), float(t.count(" "))] for t in pdf["text"]])[["doc_id", "embedding"]]
-
-    return sim.embed(v.documents.select("doc_id", "text"), lengths, "doc_id long, embedding array<float>")
-
-
 @query("snk_10_vector_upsert", """
   SELECT chunk_id, tender_id, CASE WHEN tender_id >= 5 THEN 'new' ELSE 'old' END AS origin FROM {vectors}""")
 def snk_10(v: Views) -> DataFrame:

@@ -468,12 +468,15 @@ def agg_47(v: Views) -> DataFrame:
   UNION ALL SELECT 'dtcp_reviewer', COUNT(*), MIN(k) FROM {cases_all} WHERE why <> '' OR COALESCE(outcome, '') = 'needs_technical_review' OR type = 'layout_permission' OR height > 15
     OR building_use = 'commercial'
   UNION ALL SELECT 'field_inspector', COUNT(*), MIN(k) FROM {cases_all} WHERE status IN ('field_inspection_assigned', 'construction_monitoring_active')
-  UNION ALL SELECT 'state_admin', COUNT(*), MIN(k) FROM {cases_all}""")
+  UNION ALL SELECT role, COUNT(*), MIN(k) FROM {cases_all}, (VALUES ('state_admin'), ('mandal_officer'), ('district_panchayat_officer')) r(role) GROUP BY role
+  UNION ALL SELECT role, COUNT(*), MIN(k) FROM {cases_all}, (VALUES ('citizen', '7'), ('architect', '13')) r(role, part) WHERE contains('c' || k || '@mail.example', part) GROUP BY role""")
 def flt_08(v: Views) -> DataFrame:
     c = caseload(v)
     out = None
-    for role in ("ulb_officer", "panchayat_secretary", "dtcp_reviewer", "field_inspector", "state_admin"):
-        one = cl.visible_to(c, role).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k")).withColumn("role", F.lit(role))
+    c = c.withColumn("email", F.concat(F.lit("C"), F.col("k").cast("string"), F.lit("@Mail.example")))
+    own = {"citizen": "7", "architect": "13"}  # part of the user's own mail address
+    for role in ("ulb_officer", "panchayat_secretary", "dtcp_reviewer", "field_inspector", "state_admin", "mandal_officer", "district_panchayat_officer", *own):
+        one = cl.visible_to(c, role, own.get(role)).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k")).withColumn("role", F.lit(role))
         out = one if out is None else out.unionByName(one)
     return out
 

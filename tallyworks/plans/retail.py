@@ -107,10 +107,11 @@ def flt_01(v: Views) -> DataFrame:
 
 
 @query("str_01_clean_name", """
-  SELECT p_partkey, TRIM(REGEXP_REPLACE(REPLACE('  ' || p_name || ' &amp; <b>' || p_type, '&amp;', '&'), '\\s+', ' ', 'g'))
+  SELECT p_partkey, TRIM(REGEXP_REPLACE('  ' || p_name || ' & <b>' || p_type || ' é₹' || chr(CAST(9000 + p_partkey % 500 AS INTEGER)), '\\s+', ' ', 'g'))
     AS name FROM part""")
 def str_01(v: Views) -> DataFrame:
-    raw = F.concat(F.lit("  "), "p_name", F.lit(" &amp;amp; &lt;b&gt;"), "p_type")
+    number = (F.col("p_partkey") % 500 + 9000).cast("string")
+    raw = F.concat(F.lit("  "), "p_name", F.lit(" &amp;amp; &lt;b&gt;"), "p_type", F.lit("&nbsp;&eacute;&#x20b9;&#"), number, F.lit(";"))
     return v.part.select("p_partkey", text.clean_name(raw).alias("name"))
 
 
@@ -178,12 +179,12 @@ def dat_03(v: Views) -> DataFrame:
 
 
 @query("dat_05_calendar", """
-  SELECT district, CAST(UNNEST(GENERATE_SERIES(lo, lo + 30, INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day
-  FROM (SELECT district, MIN(date) AS lo FROM {sales} GROUP BY district)""")
+  SELECT district, CAST(UNNEST(GENERATE_SERIES(lo, hi + 14, INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day
+  FROM (SELECT district, MIN(date) AS lo, MAX(date) AS hi FROM {sales} GROUP BY district)""")
 def dat_05(v: Views) -> DataFrame:
-    lo = v.sales.groupBy("district").agg(F.min("date").alias("lo"))
-    first = lo.select("district", F.explode(dates.day_range("lo", F.date_add("lo", 16))).alias("day"))
-    rest = lo.select("district", F.explode(dates.horizon(F.date_add("lo", 16), 14)).alias("day"))
+    ends = v.sales.groupBy("district").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    first = ends.select("district", F.explode(dates.day_range("lo", F.col("hi"))).alias("day"))
+    rest = ends.select("district", F.explode(dates.horizon(F.col("hi"), 14)).alias("day"))
     return as_text(first.unionByName(rest), "day")
 
 
@@ -309,9 +310,9 @@ def _profile_sql(table: str, cols: list[str]) -> str:
 
 
 @query("agg_28_column_profile", _profile_sql(
-    "{label_approvals}", ["application_no", "approval_date", "label_category", "distillery", "brand_name", "size_ml"]))
+    "{label_approvals}", ["application_no", "approval_date", "label_category", "category", "distillery", "brand_name", "size_ml", "mrp"]))
 def agg_28(v: Views) -> DataFrame:
-    df = v.label_approvals.drop("mrp", "category")
+    df = v.label_approvals.select("application_no", "approval_date", "label_category", "category", "distillery", "brand_name", "size_ml", "mrp")
     return as_text(rt.column_profile(df).drop("dtype"), "sample")
 
 
@@ -374,8 +375,8 @@ def snk_06(v: Views) -> DataFrame:
 @query("snk_07_partial_upsert", """
   SELECT COALESCE(o.user_id, n.user_id) AS user_id, COALESCE(o.first_value, n.first_value) AS first_value,
     CAST(COALESCE(n.fetched_at, o.fetched_at) AS VARCHAR) AS fetched_at
-  FROM (SELECT user_id, MIN(value) AS first_value, MAX(ts)::DATE AS fetched_at FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1) o
-  FULL JOIN (SELECT user_id, MIN(value) AS first_value, MAX(ts)::DATE AS fetched_at FROM events WHERE ts >= TIMESTAMP '2024-01-27'
+  FROM (SELECT user_id, MIN(value) AS first_value, MAX(ts)::DATE AS fetched_at FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) o
+  FULL JOIN (SELECT user_id, MIN(value) AS first_value, MAX(ts)::DATE AS fetched_at FROM events WHERE ts >= TIMESTAMP '2024-01-15'
     GROUP BY 1) n ON o.user_id = n.user_id""")
 def snk_07(v: Views) -> DataFrame:
     def part(cond: str) -> DataFrame:
@@ -383,7 +384,7 @@ def snk_07(v: Views) -> DataFrame:
             F.min("value").alias("first_value"), F.to_date(F.max("ts")).alias("fetched_at")
         )
 
-    old, new = part("ts < timestamp_ntz'2024-01-04'"), part("ts >= timestamp_ntz'2024-01-27'")
+    old, new = part("ts < timestamp_ntz'2024-01-15'"), part("ts >= timestamp_ntz'2024-01-15'")
     return as_text(snk.upsert_columns(old, new, ["user_id"], ["fetched_at"]), "fetched_at")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.functions.ids import absolute_url
+from tallyworks.functions.ranking import prefix_sum
 from tallyworks.functions.text import title_case
 from tallyworks.sources import schemas
 
@@ -139,15 +140,19 @@ def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str], raw_n
     return feats.select("layer_order", *cols, flat.alias("polygons"))
 
 
-def sitemap_urls(pages: DataFrame, sources: DataFrame, body: str = "html") -> DataFrame:
-    """URLs of the stored sitemap pages, at most max_pages_per_run per source (SRC-10).
+def sitemap_urls(pages: DataFrame, sources: DataFrame, order: str, body: str = "html") -> DataFrame:
+    """URLs of the stored sitemap pages in the order of pages, at most max_pages_per_run per source (SRC-10).
 
-    The cap is the feature.  Positions come from the array, so only the kept
-    prefix of each page is exploded.
+    The cap is the feature.  A page holds no more URLs than its source may have,
+    and a running count over the pages of a source tells how many are left for it.
     """
     locs = F.regexp_extract_all(F.col(body), F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1)
-    return (
-        pages.join(sources.select("source_id", "base_url", "max_pages_per_run"), "source_id")
-        .select("source_id", "base_url", F.posexplode(F.slice(locs, F.lit(1), F.col("max_pages_per_run"))))
-        .select("source_id", F.col("pos"), absolute_url("base_url", "col").alias("url"))
+    limits = sources.select("source_id", "base_url", "max_pages_per_run")
+    found = pages.join(limits, "source_id").select(
+        "source_id", "base_url", "max_pages_per_run", F.col(order).alias("_page"), F.slice(locs, F.lit(1), F.col("max_pages_per_run")).alias("_locs")
     )
+    counted = prefix_sum(found.withColumn("_n", F.size("_locs")), ["source_id"], ["_page"], "_n", "_before")
+    left = F.greatest(F.col("max_pages_per_run") - F.col("_before"), F.lit(0)).cast("int")
+    kept = counted.where(F.col("_before") < F.col("max_pages_per_run"))
+    kept = kept.select("source_id", "base_url", "_before", F.posexplode(F.slice("_locs", F.lit(1), left)))
+    return kept.select("source_id", (F.col("_before") + F.col("pos")).alias("pos"), absolute_url("base_url", "col").alias("url"))

@@ -15,7 +15,7 @@ def one(spark, expr, value, kind="string"):
 
 def test_text_helpers(spark):
     assert one(spark, text.clean_name("x"), "  M/s. A &amp;amp; B  &lt;x&gt; ") == "M/s. A & B <x>"
-    assert one(spark, text.clean_name("x", all_entities=True), "Caf&eacute; &#38; Bar") == "Café & Bar"
+    assert one(spark, text.clean_name("x"), "Caf&eacute; &#38; Bar &#x20b9;5 D&apos;S &#8377 &nope; &#0; &#128;&nbsp;&") == "Café & Bar ₹5 D'S ₹ &nope; \ufffd € &"
     assert one(spark, text.clean_name("x"), None) == ""
     assert one(spark, text.leading_code("x"), "1713282-M/s. Foo Bar") == "1713282"
     assert one(spark, text.leading_code("x"), "1234-Foo") is None

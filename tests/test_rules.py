@@ -8,34 +8,33 @@ from tallyworks.operators import rules as rl
 from tallyworks.operators import scrutiny as sc
 
 CASES = [
-    ("REQUIRE setback >= 1.5", 2.0, 1, "pass"),
-    ("REQUIRE setback >= 1.5", 1.0, 1, "fail"),
-    ("IF height > 18: REQUIRE setback >= 7", 8.0, 20, "pass"),
-    ("IF height > 18: REQUIRE setback >= 7", 6.0, 20, "fail"),
-    ("if height > 18: require setback >= 7", 0.0, 10, "pass"),
-    ("REQUIRE (setback >= 2) AND (height >= 1)", 2.0, 1, "pass"),
-    ("REQUIRE (setback >= 2) and (height >= 1)", 1.0, None, "fail"),
-    ("REQUIRE (height >= 2) AND (setback >= 1)", 0.0, None, "manual_review"),
-    ("REQUIRE setback >= 1 OR height > 2", 1.0, None, "pass"),
-    ("REQUIRE setback >= 5 OR height > 2", 1.0, None, "manual_review"),
-    ("REQUIRE NOT (setback < 1)", 1.0, 1, "pass"),
-    ("REQUIRE NOT (setback < 1)", 0.0, 1, "fail"),
-    ("REQUIRE setback >= 1.5", None, 1, "manual_review"),
-    ("REQUIRE other >= 1.5", 1.0, 1, "manual_review"),
-    ("REQUIRE math.sqrt(area) > 5", 1.0, 1, "manual_review"),
-    ("REQUIRE compute(x) >= 5", 1.0, 1, "manual_review"),
-    ("REQUIRE setback >= -1", 1.0, 1, "manual_review"),
-    ("REQUIRE 1 < setback < 3", 2.0, 1, "manual_review"),
-    ("setback > 1", 1.0, 1, "manual_review"),
-    ("REQUIRE flag == True", 1.0, 1, "pass"),
-    ("REQUIRE flag == False", 1.0, 1, "fail"),
+    ("REQUIRE gap >= 4.25", 4.25, 2, "pass"),
+    ("REQUIRE gap >= 4.25", 4.24, 2, "fail"),
+    ("IF rise > 9: REQUIRE gap >= 3", 3.5, 12, "pass"),
+    ("IF rise > 9: REQUIRE gap >= 3", 2.5, 12, "fail"),
+    ("if rise > 9: require gap >= 3", 0.0, 9, "pass"),
+    ("REQUIRE (gap >= 4) AND (rise <= 2)", 4.0, 2, "pass"),
+    ("REQUIRE (gap >= 4) and (rise <= 2)", 3.0, None, "fail"),
+    ("REQUIRE (rise <= 2) AND (gap >= 4)", 3.0, None, "manual_review"),
+    ("REQUIRE gap >= 4 OR rise > 5", 4.0, None, "pass"),
+    ("REQUIRE gap >= 4 OR rise > 5", 3.0, None, "manual_review"),
+    ("REQUIRE NOT (gap < 2)", 2.0, 2, "pass"),
+    ("REQUIRE NOT (gap < 2)", 1.0, 2, "fail"),
+    ("REQUIRE gap >= 4.25", None, 2, "manual_review"),
+    ("REQUIRE shade >= 4.25", 5.0, 2, "manual_review"),
+    ("REQUIRE os.getcwd() > 5", 5.0, 2, "manual_review"),
+    ("REQUIRE floor(gap) >= 5", 5.0, 2, "manual_review"),
+    ("REQUIRE gap >= -2", 5.0, 2, "manual_review"),
+    ("REQUIRE 2 < gap < 6", 5.0, 2, "manual_review"),
+    ("gap > 2", 5.0, 2, "manual_review"),
+    ("REQUIRE open == True", 5.0, 2, "pass"),
+    ("REQUIRE open == False", 5.0, 2, "fail"),
 ]
 
 
-@pytest.mark.parametrize("logic,setback,height,want", CASES)
-def test_verdicts(spark, logic, setback, height, want):
-    df = spark.createDataFrame([(setback, height, True)], "setback double, height double, flag boolean") if height is None or isinstance(height, float) else \
-        spark.createDataFrame([(setback, float(height), True)], "setback double, height double, flag boolean")
+@pytest.mark.parametrize("logic,gap,rise,want", CASES)
+def test_verdicts(spark, logic, gap, rise, want):
+    df = spark.createDataFrame([(gap, None if rise is None else float(rise), True)], "gap double, rise double, open boolean")
     v = df.select(rl.verdict(logic, {c: F.col(c) for c in df.columns}).alias("v")).first().v
     assert v.status == want
     if "unparseable" not in v.reason and want == "manual_review":
@@ -43,23 +42,23 @@ def test_verdicts(spark, logic, setback, height, want):
 
 
 def test_report_outcomes(spark):
-    rules = [{"rule_id": "FRONT_01", "description": "d", "python_logic": "REQUIRE front_setback_m >= 1.5"},
-             {"rule_id": "FIRE_01", "description": "d", "python_logic": "IF height_m > 18: REQUIRE fire_setback_m >= 7"}]
-    df = spark.createDataFrame([(1, 2.0, 20.0, 8.0), (2, 1.0, 10.0, 0.0), (3, 2.0, None, None)], "id int, front_setback_m double, height_m double, fire_setback_m double")
+    rules = [{"rule_id": "STREET", "description": "gap to the street", "python_logic": "REQUIRE street_gap >= 4"},
+             {"rule_id": "TOWER", "description": "towers stand apart", "python_logic": "IF rise > 25: REQUIRE side_gap >= 9"}]
+    df = spark.createDataFrame([(1, 4.5, 30.0, 9.5), (2, 3.5, 12.0, 0.0), (3, 4.5, None, None)], "id int, street_gap double, rise double, side_gap double")
     c = rl.checks(df, rules, {x: F.col(x) for x in df.columns[1:]})
     assert {r.id: r.outcome for r in rl.outcome(c, "id").collect()} == {1: "auto_pass_eligible", 2: "needs_correction", 3: "manual_verification_required"}
     assert rl.report(c, "id").count() == 6
 
 
 def test_rule_packs(spark):
-    rows = [("LOW_FRONT", "Residential low-rise front setback", "REQUIRE front_setback_m >= 1.5"), ("LOW_2", "Residential front", "REQUIRE front_setback_m >= 2.0"),
-            ("LOW_REAR", "Residential low-rise rear setback", "REQUIRE rear_setback_m >= 1.0"), ("COM_FAR", "Commercial FAR cap", "REQUIRE far <= 3"),
-            ("HR", "High-rise residential front setback", "IF height_m > 18: REQUIRE 6 <= front_setback_m"), ("WEIRD", "Unclassifiable rule", "REQUIRE x > 1")]
+    rows = [("A", "Front setback of a residential low-rise house", "REQUIRE front_setback_m >= 3.25"), ("B", "Residential: front, larger plots", "REQUIRE front_setback_m >= 4.5"),
+            ("C", "Rear setback, residential low-rise", "REQUIRE rear_setback_m >= 2.75"), ("D", "FAR of commercial plots", "REQUIRE far <= 2.25"),
+            ("E", "Front setback for high-rise residential", "IF height_m > 18: REQUIRE 8 <= front_setback_m"), ("F", "Colour of the fence", "REQUIRE hue > 1")]
     df = spark.createDataFrame([(*r, "") for r in rows], "rule_id string, description string, python_logic string, verbatim_chunk string")
     p = {r.category: r for r in rl.packs_wide(rl.derive_packs(df)).collect()}
-    assert p["residential_low_rise"].minFrontSetbackM == 2.0 and p["residential_low_rise"].minRearSetbackM == 1.0
-    assert p["commercial"].maxFAR == 3 and p["residential_high_rise"].minFrontSetbackM == 6
-    assert [r.rule_id for r in rl.unmappable(df).collect()] == ["WEIRD"]
+    assert p["residential_low_rise"].minFrontSetbackM == 4.5 and p["residential_low_rise"].minRearSetbackM == 2.75
+    assert p["commercial"].maxFAR == 2.25 and p["residential_high_rise"].minFrontSetbackM == 8
+    assert [r.rule_id for r in rl.unmappable(df).collect()] == ["F"]
 
 
 @pytest.mark.parametrize("pages,size,overlap,want", [
