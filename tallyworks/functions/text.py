@@ -26,6 +26,7 @@ TRIPWIRES = (
 )
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+_COMMON = (("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
 # Characters by entity name, and by number where a page means one of the Windows set.
 _NAMED = json.dumps(html.entities.html5)
 _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
@@ -48,7 +49,10 @@ def unescape(c: str | Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         char = F.coalesce(F.try_element_at(windows, number.cast("string")), F.when(odd, "\ufffd").otherwise(char))
         name = F.substring_index(e, "&", -1)
-        return F.when(F.startswith(e, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(named, name), e))
+        out = F.when(F.startswith(e, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(named, name), e))
+        for entity, ch in _COMMON:  # looked up without a search
+            out = F.when(e == entity, ch).otherwise(out)
+        return out
 
     parts = F.split(v, _ENTITY, -1)
     found = F.transform(F.regexp_extract_all(v, F.lit(f"({_ENTITY})"), 1), decoded)

@@ -111,11 +111,27 @@ def with_class(df: DataFrame, *parts: str, hint: str | None = None) -> DataFrame
     ).drop("_b")
 
 
-def relevance_rules(p: Mapping[str, Column], text: Column) -> list[tuple[str, int, Column]]:
-    """Weighted predicates over named inputs and the lower-cased text; no extraction gives '' and null."""
+# The phrases that text rules look for.
+PHRASES = (
+    "evaluation", "criteria", "qualification", "similar work", "experience", "scope of work", "technical specification", "financial capacity",
+    "bid capacity", "general conditions of contract", "gcc", "special conditions of contract", "scc",
+)
+
+
+def with_facts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` without its text: ``facts`` tells which phrases it holds, so that whole texts are in no later join."""
+    low = computed_once(df.withColumn("_low", F.lower(F.coalesce(text, F.lit("")))).drop(text))
+    return computed_once(low.withColumn("facts", F.array(*[F.contains("_low", F.lit(w)) for w in PHRASES])).drop("_low"))
+
+
+def relevance_rules(p: Mapping[str, Column], facts: Column) -> list[tuple[str, int, Column]]:
+    """Weighted predicates over named inputs and the facts of the text; no extraction gives '' and null."""
 
     def has(*words: str) -> Column:
-        return contains_any(text, words)
+        out = F.lit(False)
+        for w in words:
+            out = out | F.get(facts, PHRASES.index(w))
+        return out
 
     works = F.coalesce(p["tender_category"].isin(*WORKS), F.lit(False)) | F.coalesce(
         p["product_category"].isin(*WORKS), F.lit(False)
@@ -146,11 +162,10 @@ def relevance_rules(p: Mapping[str, Column], text: Column) -> list[tuple[str, in
 
 
 def score_relevance(df: DataFrame, p: Mapping[str, Column]) -> DataFrame:
-    """Relevance score 0..100, reasons and two recommendations (RUL-02, ARR-02)."""
-    rules = relevance_rules(p, F.col("_low"))
+    """Relevance score 0..100, reasons and two recommendations, for rows of ``with_facts`` (RUL-02, ARR-02)."""
+    rules = relevance_rules(p, F.col("facts"))
     hits = F.array(*[F.coalesce(c, F.lit(False)) for _, _, c in rules])
-    df = computed_once(df.withColumn("_low", F.lower(F.coalesce(p["text"], F.lit("")))))
-    df = computed_once(df.withColumn("_hits", hits).drop("_low"))
+    df = computed_once(df.withColumn("_hits", hits).drop("facts"))
     total = F.lit(0)
     for i, (_, w, _) in enumerate(rules):
         total = total + F.when(F.col("_hits")[i], w).otherwise(0)
@@ -174,13 +189,12 @@ def base_flags(df: DataFrame, tender: str = "tender_id", order: Sequence[str] =
                hot: int = HOT_ROWS) -> DataFrame:
     """has_base of the whole tender, and has_base_so_far in download order (JN-26, WIN-08).
 
-    A document has a base so far when it is not before the tender's first base
+    ``df`` is read twice and joined by tender: hand in written rows without texts.  A document has a base so far when it is not before the tender's first base
     document: one minimum per tender replaces a running window.
     """
     at = F.struct(*order)
     base = F.col("classified_type").isin(*BASE_CLASSES)
     first = df.groupBy(tender).agg(F.min(F.when(base, at)).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = checkpointed(first)  # one row per tender; the texts are classified once here, once below
     j = join_stats(df, first, [tender], "_n", [order[-1]], hot)
     return j.withColumns(
         {

@@ -93,30 +93,36 @@ def plain(fragment: str | Column) -> Column:
     return clean_name(F.regexp_replace(col(fragment), r"(?s)<[^>]*>", " "))
 
 
-def _pairs(html: str | Column) -> Column:
-    """(position, field, value) of the label/value rows of a page, an array in page order.
+def _with_pairs(pages: DataFrame, html: str, *kept: str) -> DataFrame:
+    """``kept`` and ``_pairs``: (position, field, value) of a page's label/value rows, an array in page order.
 
     A row ends at the next row or table tag and a cell at the next cell, row or
-    table tag, so end tags may be missing.  Cells 1 and 2, 3 and 4, ... of a row are pairs.
+    table tag, so end tags may be missing.  Cells 1 and 2, 3 and 4, ... of a row are
+    pairs.  Each step is computed once for the steps that read it.
     """
-    rows = F.split(visible(html), r"(?i)<tr\b[^>]*>", -1)
+    rows = computed_once(pages.select(*kept, F.split(visible(html), r"(?i)<tr\b[^>]*>", -1).alias("_rows")))
+    inside = lambda row: F.regexp_extract(row, r"(?is)^(.*?)(?:</?table\b|</tr\b|\z)", 1)
+    cells = F.transform(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0))), lambda r: F.split(inside(r), r"(?i)<t[dh]\b[^>]*>", -1))
+    cells = computed_once(rows.select(*kept, cells.alias("_cells")))
+
+    def pairs(c: Column, r: Column) -> Column:
+        # The first piece stands before the first cell.
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1)), F.lit(2))
+        return F.transform(starts, lambda i: F.struct(r.alias("_r"), i.alias("_i"), F.get(c, i).alias("label"), F.get(c, i + 1).alias("value")))
+
+    raw = F.filter(F.flatten(F.transform("_cells", pairs)), lambda p: p["value"].isNotNull())
+    raw = computed_once(cells.select(*kept, raw.alias("_raw")))
     field = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-
-    def pairs(row: Column, i: Column) -> Column:
-        inside = F.regexp_extract(row, r"(?is)^(.*?)(?:</?table\b|</tr\b|\z)", 1)
-        cells = F.split(inside, r"(?i)<t[dh]\b[^>]*>", -1)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cells) - 2, F.lit(1)), F.lit(2)), lambda c: c < F.size(cells) - 1)
-        cell = lambda c: plain(F.regexp_replace(F.get(cells, c), r"(?is)</t[dh]\b.*\z", ""))
-        return F.transform(starts, lambda c: F.struct(
-            F.struct((i + 1).alias("_r"), c.alias("_i")).alias("position"), F.try_element_at(field, label_key(cell(c))).alias("field"), cell(c + 1).alias("value")))
-
-    found = F.flatten(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), pairs))
-    return F.filter(F.coalesce(found, F.array()), lambda p: p["field"].isNotNull() & (p["value"] != ""))
+    cell = lambda c: plain(F.regexp_replace(c, r"(?is)</t[dh]\b.*\z", ""))
+    named = F.transform("_raw", lambda p: F.struct(
+        F.struct(p["_r"], p["_i"]).alias("position"), F.try_element_at(field, label_key(cell(p["label"]))).alias("field"), cell(p["value"]).alias("value")))
+    named = F.filter(F.coalesce(named, F.array()), lambda p: p["field"].isNotNull() & (p["value"] != ""))
+    return computed_once(raw.select(*kept, named.alias("_pairs")))
 
 
 def label_values(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(page, position, field, value) of label/value table rows (TXT-07)."""
-    return pages.select(key, F.inline(_pairs(html)))
+    return _with_pairs(pages, html, key).select(key, F.inline("_pairs"))
 
 
 def records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -129,11 +135,11 @@ def records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
     ``source_id`` and ``url`` give the record id.
     """
     fields = (*TEXT_FIELDS, *MONEY_FIELDS, *DATE_FIELDS)
-    tables = F.when(F.col("parser_name") != "epublish_parser", _pairs(html))
-    base = computed_once(pages.select(key, "source_id", "url", "parser_name", html, tables.alias("_pairs")))
+    base = _with_pairs(pages, html, key, "source_id", "url", "parser_name", html)
+    base = base.withColumn("_pairs", F.when(F.col("parser_name") != "epublish_parser", F.col("_pairs")))
 
     def last(f: str) -> Column:
-        return F.get(F.filter("_pairs", lambda p: p["field"] == f), F.size(F.filter("_pairs", lambda p: p["field"] == f)) - 1)["value"]
+        return F.try_element_at(F.filter("_pairs", lambda p: p["field"] == f), F.lit(-1))["value"]
 
     j = base.withColumns({f: last(f) for f in fields})
     running = plain(visible(html))

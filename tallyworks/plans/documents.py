@@ -12,6 +12,7 @@ from tallyworks.operators import filters as fl
 from tallyworks.operators import pages as pg
 from tallyworks.operators import similarity as sim
 from tallyworks.plans.registry import CTES, as_text, query, rounded
+from tallyworks.session import checkpointed
 from tallyworks.sinks import tables as snk
 from tallyworks.sources import readers
 from tallyworks.sources.views import Views
@@ -47,7 +48,7 @@ def typed(v: Views) -> DataFrame:
 # Rule inputs of the driver's documents.
 def _inputs() -> dict:
     return {
-        "text": F.col("text"), "tender_category": F.when(F.col("lang") == "en", "Works"), "product_category": F.when(F.col("lang") == "de", "Ports"),
+        "tender_category": F.when(F.col("lang") == "en", "Works"), "product_category": F.when(F.col("lang") == "de", "Ports"),
         "country": F.when(F.col("lang") != "es", "in"), "source_type": F.when(F.col("lang") != "fr", "official_portal").otherwise("other"),
         "status": F.col("status"), "classified_type": F.col("classified_type"), "has_base": F.col("has_base"), "has_corrigendum": F.col("lang") == "de",
         "has_award": F.col("lang") == "es", "page_count": F.col("page_count"), "language": F.col("lang"), "size": F.col("file_size_bytes"),
@@ -79,12 +80,17 @@ CTES["relevance"] = (
 )
 
 
-def based(v: Views) -> DataFrame:
-    return dc.base_flags(typed(v), "tender_id", ("n_chars", "doc_id"))
+def narrow(v: Views) -> DataFrame:
+    """Classified documents with the facts of their texts; texts are read once, for this."""
+    return checkpointed(dc.with_facts(typed(v)))
 
 
-def relevance(v: Views) -> DataFrame:
-    return dc.score_relevance(based(v), _inputs())
+def based(rows: DataFrame) -> DataFrame:
+    return dc.base_flags(rows, "tender_id", ("n_chars", "doc_id"))
+
+
+def relevance(rows: DataFrame) -> DataFrame:
+    return dc.score_relevance(based(rows), _inputs())
 
 
 @query("rul_03_document_type", "SELECT document_id, classified_type, classification_confidence FROM {typed}")
@@ -96,18 +102,18 @@ def rul_03(v: Views) -> DataFrame:
   SELECT document_id, relevance_score, reasons, relevance_score >= 60 AND status = 'ok' AS recommended_for_training,
     relevance_score >= 40 AND file_size_bytes < 26214400 AS recommended_for_demo FROM {relevance}""")
 def rul_02(v: Views) -> DataFrame:
-    r = relevance(v).withColumn("reasons", F.array_join("relevance_reasons", ", "))
+    r = relevance(narrow(v)).withColumn("reasons", F.array_join("relevance_reasons", ", "))
     return r.select("document_id", "relevance_score", "reasons", "recommended_for_training", "recommended_for_demo")
 
 
 @query("win_08_base_so_far", "SELECT document_id, has_base_so_far FROM {based}")
 def win_08(v: Views) -> DataFrame:
-    return based(v).select("document_id", "has_base_so_far")
+    return based(narrow(v)).select("document_id", "has_base_so_far")
 
 
 @query("jn_26_base_document", "SELECT document_id, has_base FROM {based}")
 def jn_26(v: Views) -> DataFrame:
-    return based(v).select("document_id", "has_base")
+    return based(narrow(v)).select("document_id", "has_base")
 
 
 @query("agg_54_documents_per_class", """
@@ -135,9 +141,10 @@ def tenders(v: Views) -> DataFrame:
   SELECT r.document_id, r.tender_id, source_id, classified_type AS document_type, relevance_score, department, category, lang AS language, page_count
   FROM {relevance} r LEFT JOIN {manifest_t} m ON r.tender_id = m.tender_id WHERE relevance_score >= 25 AND status = 'ok'""")
 def jn_06(v: Views) -> DataFrame:
-    r = relevance(v)
+    docs = narrow(v)
+    r = relevance(docs)
     scores = r.withColumn("recommended_for_training", (F.col("relevance_score") >= 25) & (F.col("status") == "ok"))
-    docs = typed(v).withColumn("file_path", F.col("file_name"))
+    docs = docs.withColumn("file_path", F.col("file_name"))
     texts = v.docs.select("document_id", F.col("file_name").alias("extracted_text_path"), F.col("lang").alias("language_guess"), "page_count")
     m = dc.training_manifest(docs, scores, tenders(v), texts, "public records", "R-1")
     return m.select("document_id", "tender_id", "source_id", "document_type", "relevance_score", "department", "category", "language", "page_count")
@@ -146,15 +153,17 @@ def jn_06(v: Views) -> DataFrame:
 @query("jn_07_demo_manifest", """
   SELECT document_id, tender_id, source_id, classified_type, relevance_score FROM {relevance} WHERE relevance_score >= 23""")
 def jn_07(v: Views) -> DataFrame:
-    wanted = relevance(v).withColumn("recommended_for_demo", F.col("relevance_score") >= 23)
-    return dc.demo_manifest(typed(v), wanted)
+    docs = narrow(v)
+    wanted = relevance(docs).withColumn("recommended_for_demo", F.col("relevance_score") >= 23)
+    return dc.demo_manifest(docs, wanted)
 
 
 @query("jn_08_relevance_summary", """
   SELECT document_id, classified_type, CASE WHEN status = 'ok' THEN relevance_score ELSE 0 END AS relevance_score,
     CASE WHEN status = 'ok' THEN reasons ELSE '' END AS reasons, status = 'ok' AND relevance_score >= 60 AS recommended_for_training FROM {relevance}""")
 def jn_08(v: Views) -> DataFrame:
-    s = dc.relevance_summary(typed(v), relevance(v).where("status = 'ok'")).drop("recommended_for_demo")
+    docs = narrow(v)
+    s = dc.relevance_summary(docs, relevance(docs).where("status = 'ok'")).drop("recommended_for_demo")
     return s.withColumn("reasons", F.array_join("reasons", ", "))
 
 

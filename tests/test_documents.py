@@ -60,7 +60,7 @@ def test_near_duplicates_by_brute_force(spark):
 
 
 def inputs():
-    c = {k: F.col(k) for k in ("text", "tender_category", "product_category", "country", "source_type", "status", "classified_type", "has_base",
+    c = {k: F.col(k) for k in ("tender_category", "product_category", "country", "source_type", "status", "classified_type", "has_base",
                                "has_corrigendum", "has_award", "page_count", "language", "size", "near_duplicate")}
     return c
 
@@ -78,7 +78,7 @@ def test_relevance(spark):
     df = spark.createDataFrame(rows, "text string, tender_category string, product_category string, country string, source_type string, status string, "
                                      "classified_type string, has_base boolean, has_corrigendum boolean, has_award boolean, page_count int, language string, "
                                      "size long, near_duplicate boolean")
-    a, b, c, d = dc.score_relevance(df, inputs()).collect()
+    a, b, c, d = dc.score_relevance(dc.with_facts(df), inputs()).collect()
     assert a.relevance_score >= 60 and a.recommended_for_training and a.recommended_for_demo
     assert b.relevance_score < 30 and not b.recommended_for_training and "only_nit(-15)" in b.relevance_reasons
     assert "extraction_failed(-20)" in c.relevance_reasons and not c.recommended_for_training
@@ -112,6 +112,19 @@ def test_pages(spark):
     assert [r.next_page_url for r in pg.next_page(lst).collect()] == ["https://harbour.example/lots?start=20"]
 
 
+def test_no_join_carries_texts_or_pages(spark):
+    """Exchanges hold no text and no page source, but for the deal of test files that are one split."""
+    from tallyworks.plans import QUERIES
+
+    def plan(name):
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+    for name in ("rul_02_relevance", "win_08_base_so_far", "jn_26_base_document", "jn_07_demo_manifest"):
+        assert "text#" not in plan(name)  # the text was read and written as facts before
+    for name in ("txt_07_label_values", "txt_08_records"):
+        assert not any(w in plan(name) for w in ("Join", "Aggregate", "Window"))
+
+
 def test_records_of_pages_without_tables(spark):
     rows = [(1, "https://a.example/1", "s", "cppp_parser", "<p>no table"), (2, None, "s", "cppp_parser", None), (3, "https://a.example/3", "s", "epublish_parser", "<title>T &eacute;</title>Notice No: AB-9")]
     df = spark.createDataFrame(rows, "page_id int, url string, source_id string, parser_name string, html string")
