@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions import vectors as vec
 from tallyworks.functions.numbers import computed_once, half_even, half_up
 from tallyworks.functions.ranking import row_numbers
+from tallyworks.functions.skew import small
 from tallyworks.functions.text import tokens
 from tallyworks.operators.filters import top_per_group
 from tallyworks.session import checkpointed
@@ -252,50 +253,67 @@ def group_match(
 
 
 def group_match_all(
-    index: DataFrame, top: int = 5, per_group: int = 3, gkey: str = "tender_id", key: str = "chunk_id",
-    vector: str = "embedding", limit: int = 10_000,
+    index: DataFrame, queries: DataFrame, top: int = 5, per_group: int = 3, gkey: str = "tender_id", key: str = "chunk_id",
+    vector: str = "embedding", limit: int = 512, rows_at_once: int = 2048,
 ) -> DataFrame:
-    """VEC-02 for every group at once (VEC-03).
+    """VEC-02 for every group of ``queries``, a table of group keys (VEC-03).
 
-    At most ``limit`` centroids travel to the tasks at a time; more groups are
-    matched in slices of query groups.  A task multiplies a batch of chunks with
-    the centroids and passes on only the best chunks per pair of groups, so the
-    scores of all chunks against all centroids are never rows.
+    ``limit`` centroids travel to the tasks at a time; more queries take more
+    passes.  Chunks are dealt in ranges of (group, chunk), so a group of any size is
+    split, and a task sends the best ``per_group`` chunks of each (query, group) that
+    it holds: what leaves the tasks grows with queries and groups, not with chunks.
+    A task holds ``rows_at_once`` times ``limit`` scores.
     """
-    cents = checkpointed(
-        vec.mean_vectors(index, gkey, vector).select(gkey, vec.unit("centroid").alias("c"))
-    )
-    slices = -(-max(cents.count(), 1) // limit)
+    wanted = queries.select(F.col(gkey).alias("_q")).where(F.col("_q").isNotNull()).distinct()
+    mine = index.join(small(wanted), F.col(gkey) == F.col("_q"), "left_semi")
+    cents = checkpointed(vec.mean_vectors(mine, gkey, vector).select(gkey, vec.unit("centroid").alias("c")))
+    passes = -(-cents.count() // limit)
     kinds = dict(index.dtypes)
     schema = f"query_group {kinds[gkey]}, {gkey} {kinds[gkey]}, {key} {kinds[key]}, score double"
     rows = index.where(F.col(gkey).isNotNull()).select(gkey, key, vector)
-    best = None
-    for i in range(slices):
-        part = cents.where(F.pmod(F.xxhash64(gkey), F.lit(slices)) == i).collect()  # about limit rows
-        if not part:
-            continue
-        names = np.array([r[gkey] for r in part])
-        matrix = np.array([r["c"] for r in part], dtype=float).T
-
-        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf[vector].to_numpy()).astype(float)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = (x / np.where(n == 0, 1.0, n)) @ matrix
-                for g, rows_of in pdf.groupby(gkey).indices.items():
-                    s, ids_ = scores[rows_of], pdf[key].to_numpy()[rows_of]
-                    order = np.lexsort((np.broadcast_to(ids_[:, None], s.shape), -s), axis=0)[:per_group]
-                    q = np.broadcast_to(np.arange(len(names)), order.shape).ravel()
-                    o = order.ravel()
-                    out = pd.DataFrame({"query_group": names[q], gkey: g, key: ids_[o], "score": s[o, q]})
-                    yield out[out["query_group"] != g]
-
-        piece = rows.mapInPandas(run, schema)
-        best = piece if best is None else best.unionByName(piece)
-    if best is None:
-        return index.sparkSession.createDataFrame([], f"query_group {kinds[gkey]}, {gkey} {kinds[gkey]}, score double, rank int")
+    rows = rows.repartitionByRange(gkey, key).sortWithinPartitions(gkey, key)
+    best = index.sparkSession.createDataFrame([], schema)
+    for i in range(passes):
+        part = cents.where(F.pmod(F.xxhash64(gkey), F.lit(passes)) == i).collect()  # about limit rows
+        if part:
+            names = np.array([r[gkey] for r in part])
+            matrix = np.array([r["c"] for r in part], dtype=float).T
+            best = best.unionByName(rows.mapInPandas(_best_of_groups(names, matrix, gkey, key, vector, per_group, rows_at_once), schema))
     kept_rows = top_per_group(best, ["query_group", gkey], [F.desc("score"), F.col(key)], per_group)
     per = kept_rows.groupBy("query_group", gkey).agg(F.avg("score").alias("score"))
     return top_per_group(per, ["query_group"], [F.desc("score"), F.col(gkey)], top, "rank")
+
+
+def _best_of_groups(
+    names: np.ndarray, matrix: np.ndarray, gkey: str, key: str, vector: str, per_group: int, rows_at_once: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For rows sorted by group: the best rows of each (query, group), sent when the group ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, scores, ids_ = None, None, None
+
+        def send() -> pd.DataFrame:
+            q = np.broadcast_to(np.arange(len(names)), scores.shape).ravel()
+            out = pd.DataFrame({"query_group": names[q], gkey: group, key: ids_.ravel(), "score": scores.ravel()})
+            return out[out["query_group"] != group]
+
+        for pdf in batches:
+            for at in range(0, len(pdf), rows_at_once):
+                piece = pdf.iloc[at : at + rows_at_once]
+                x = np.stack(piece[vector].to_numpy()).astype(float)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                found = (x / np.where(n == 0, 1.0, n)) @ matrix
+                for g, of in piece.groupby(gkey, sort=True).indices.items():
+                    if group is not None and g != group:
+                        yield send()
+                        scores = None
+                    s = found[of]
+                    i = np.broadcast_to(piece[key].to_numpy()[of][:, None], s.shape)
+                    if scores is not None:
+                        s, i = np.concatenate([scores, s]), np.concatenate([ids_, i])
+                    order = np.lexsort((i, -s), axis=0)[:per_group]
+                    group, scores, ids_ = g, np.take_along_axis(s, order, 0), np.take_along_axis(i, order, 0)
+        if group is not None:
+            yield send()
+
+    return run

@@ -657,7 +657,7 @@ def vec_02(v: Views) -> DataFrame:
   SELECT q AS query_group, t AS tender_id, ROUND(score, 6) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM {gscore})
   WHERE rank <= 5""")
 def vec_03(v: Views) -> DataFrame:
-    return rounded(sim.group_match_all(v.vectors), 6, "score")
+    return rounded(sim.group_match_all(v.vectors, v.vectors.select("tender_id")), 6, "score")
 
 
 @query("ml_06_hash_embedding")

@@ -180,10 +180,35 @@ def test_hash_embedding_and_index(spark):
     assert sim.top_k(idx, emb[2], 5, filters={"tender_id": 1}).first().chunk_id == 1
     assert [r.tender_id for r in sim.group_match(idx, 1).collect()] == [0]
     assert snk.upsert(idx, idx, ["chunk_id"], ["source_id"]).count() == 3
-    every = {(r.query_group, r.tender_id) for r in sim.group_match_all(idx, limit=1).collect()}
+    every = {(r.query_group, r.tender_id) for r in sim.group_match_all(idx, idx, limit=1).collect()}
     assert every == {(0, 1), (1, 0)}
 
 
+def test_group_match_sends_few_rows(spark):
+    """A hot group, batches cut inside groups: the best rows per (query, group) leave a task, whatever the chunks."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    group = np.sort(np.r_[np.zeros(900, int), rng.integers(1, 12, 600)])
+    pdf = pd.DataFrame({"g": group, "c": np.arange(1500), "v": list(rng.standard_normal((1500, 8)))})
+    names = np.array([0, 3, 7])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    matrix = unit(rng.standard_normal((3, 8))).T
+    run = sim._best_of_groups(names, matrix, "g", "c", "v", 3, 100)
+    out = pd.concat(run(iter([pdf[:333], pdf[333:1000], pdf[1000:]])))
+    assert len(out) == 3 * (3 * 12) - 9
+    scores = unit(np.stack(pdf.v)) @ matrix
+    for q, name in enumerate(names):
+        for g in range(12):
+            if g != name:
+                want = set(pdf.c[group == g].iloc[np.argsort(-scores[group == g, q])[:3]])
+                assert set(out.c[(out.query_group == name) & (out.g == g)]) == want
+    df = spark.createDataFrame([(int(a), int(b), [float(x) for x in v]) for a, b, v in zip(pdf.g, pdf.c, pdf.v)], "tender_id int, chunk_id int, embedding array<double>")
+    one = sim.group_match_all(df, df.where("tender_id = 3")).collect()
+    assert [(r.tender_id, round(r.score, 9)) for r in sorted(one, key=lambda r: r.rank)] == [(r.tender_id, round(r.score, 9)) for r in sim.group_match(df, 3).collect()]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "texts").mkdir()
     (tmp_path / "texts" / "a.txt").write_text("first\nsecond")
