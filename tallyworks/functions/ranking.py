@@ -7,7 +7,7 @@ than twice the number of partitions, so the offsets are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +105,34 @@ def percent_rank_avg(
     return join_stats(df, stats, [*keys, value], "_cnt", row_id, hot).drop("_cnt")
 
 
+def percent_ranks(
+    base: DataFrame, ranks: Mapping[str, tuple[Sequence[str], str]], row_id: str, hot: int = HOT_ROWS
+) -> DataFrame:
+    """Several ranks like ``percent_rank_avg`` in one pass: ``ranks`` maps a new column to (group keys, value).
+
+    The values are stacked as rows (rank, group, value), counted once, summed up
+    once and looked up once.  ``base`` must be a written frame with one row per ``row_id``.
+    """
+    names = list(ranks)
+    keys = list(dict.fromkeys(k for group, _ in ranks.values() for k in group))
+    kinds = dict(base.dtypes)
+
+    def row(i: int) -> Column:
+        group, value = ranks[names[i]]
+        own = [(F.col(k) if k in group else F.lit(None).cast(kinds[k])).alias(f"_rk{n}") for n, k in enumerate(keys)]
+        return F.struct(F.lit(i).alias("_m"), *own, F.col(value).cast("double").alias("_v"))
+
+    g = ["_m", *[f"_rk{n}" for n in range(len(keys))]]
+    long = base.select(F.col(row_id).alias("_row"), F.inline(F.array(*[row(i) for i in range(len(names))])))
+    freq = _frequencies(long, g, "_v", hot)
+    total = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_total"))
+    freq = join_stats(freq, total, g, "_total", ["_v"], hot)
+    pct = (F.col("_before") + (F.col("_cnt") + 1) / 2) / F.col("_total")
+    found = join_stats(long, freq.select(*g, "_v", "_cnt", pct.alias("_pct")), [*g, "_v"], "_cnt", ["_row"], hot)
+    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("_m") == i, F.col("_pct"))).alias(n) for i, n in enumerate(names)])
+    return base.join(wide, base[row_id].eqNullSafe(F.col("_row"))).drop("_row")
+
+
 def rank_min(
     df: DataFrame, keys: Sequence[str], value: str, out: str, row_id: Sequence[str], hot: int = HOT_ROWS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.functions.numbers import clamp, col, ratio
-from tallyworks.functions.ranking import group_median, percent_rank_avg, rank_min, row_numbers
+from tallyworks.functions.ranking import group_median, percent_ranks, rank_min, row_numbers
 from tallyworks.functions.skew import HOT_ROWS, join_stats, largest_group
 from tallyworks.session import checkpointed
 
@@ -96,11 +96,8 @@ def opportunity_scores(
     # Written twice, one row per outlet: five ranks and medians read these frames.
     f = peer_median(checkpointed(feats), keys, "avg_daily_value", "peer_avg", row_id, hot)
     f = checkpointed(f.withColumn("peer_gap", clamp(F.col("peer_avg") - F.col("avg_daily_value"), 0.0)))
-    base = f
-    f = percent_rank_avg(f, list(keys), "peer_gap", "_gap", [row_id], hot, base)
-    f = percent_rank_avg(f, [], "growth_30d", "growth_component", [row_id], hot, base)
-    f = percent_rank_avg(f, [], "volatility", "_vol", [row_id], hot, base)
-    f = percent_rank_avg(f, [], "active_days", "activity_component", [row_id], hot, base)
+    ranks = {"_gap": (keys, "peer_gap"), "growth_component": ([], "growth_30d"), "_vol": ([], "volatility"), "activity_component": ([], "active_days")}
+    f = percent_ranks(f, ranks, row_id, hot)
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
