@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyworks.session import new_path
 
 # Bytes of text that one numpy step works on; temporaries are a small multiple of it.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = (1 << 20) - 1
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -29,11 +29,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(base^i, base^-i) modulo 2^64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
-        if size <= 1 << 23:  # longer ones are made anew, so that they don't stay in memory
+        if size <= 1 << 21:  # longer ones are made anew, so that they don't stay in memory
             _powers[base] = have
     return have
 
