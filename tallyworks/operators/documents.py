@@ -207,19 +207,22 @@ def base_flags(df: DataFrame, tender: str = "tender_id", order: Sequence[str] =
 # --- duplicates -----------------------------------------------------------------------
 
 
-def two_smallest(df: DataFrame, keys: Sequence[str], hot: int = HOT_ROWS) -> DataFrame:
+def two_smallest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group the smallest (id, tag) ``m1`` and the smallest with another tag ``m2``, and the size ``n``.
 
-    Groups of any size reduce map-side to one value each; no pairs are formed.
+    One row per (group, tag) is left before the rank, and the rank limit lets two
+    rows per group and task through, so groups of any size reduce map-side.
     """
+    tags = df.groupBy(*keys, "tag").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "tag"))
+    low = tags.withColumn("_r", rank).where("_r <= 2")
     item = F.struct("id", "tag")
-    first = df.groupBy(*keys).agg(F.min(item).alias("m1"), F.count(F.lit(1)).alias("n"))
-    others = join_stats(df, first.where("n > 1"), keys, "n", ["id"], hot).where(F.col("tag") != F.col("m1.tag"))
-    second = others.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(item).alias("m2"))
+    names = [F.col(k).alias(f"_{k}") for k in keys]
+    found = low.groupBy(*names).agg(*[F.max(F.when(F.col("_r") == i, item)).alias(f"m{i}") for i in (1, 2)])
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return first.join(second, on, "left").select(*keys, "m1", "m2", "n")
+    return tags.groupBy(*keys).agg(F.sum("n").alias("n")).join(found, on).select(*keys, "m1", "m2", "n")
 
 
 def _other(tag: Column) -> Column:
@@ -229,8 +232,9 @@ def _other(tag: Column) -> Column:
 
 def exact_duplicates(df: DataFrame, key: str = "document_id", sha: str = "sha256", hot: int = HOT_ROWS) -> DataFrame:
     """First other document with the same content hash (JN-12)."""
-    d = df.select(F.col(sha).alias("sha"), F.col(key).alias("id"), F.col(key).alias("tag"))
-    low = two_smallest(d, ["sha"], hot).where("n > 1")
+    # Ids and hashes are written once; contents are read for that only.
+    d = checkpointed(df.select(F.col(sha).alias("sha"), F.col(key).alias("id"), F.col(key).alias("tag")))
+    low = two_smallest(d, ["sha"]).where("n > 1")
     j = join_stats(d, low, ["sha"], "n", ["id"], hot).where(F.col("n").isNotNull())
     return j.select(F.col("id").alias(key), F.col("sha").alias(sha), _other(F.col("id")).alias("duplicate_of"))
 
@@ -253,7 +257,8 @@ def near_duplicates(
     d = df.where(F.col(ref).isNotNull() & (F.col(ref) != "")).select(
         F.col(ref).alias("r"), F.col(kind).alias("k"), F.col(size).cast("long").alias("sz"), F.col(key).alias("id"),
         tag.alias("tag"))
-    per_size = checkpointed(two_smallest(d, [*g, "sz"], hot))
+    d = checkpointed(d)
+    per_size = checkpointed(two_smallest(d, [*g, "sz"]))
     widest = per_size.agg(F.max("sz")).first()[0] or 1
     levels = F.sequence(F.lit(0), F.lit(int(2 * pct * widest + 2).bit_length()))
 
@@ -266,7 +271,7 @@ def near_duplicates(
         .select(*g, "sz", "i.id", "i.tag", F.explode(levels).alias("lv"))
         .select(*g, "lv", F.floor(block(F.col("sz"), F.col("lv"))).alias("b"), "id", "tag")
     )
-    blocks = two_smallest(points, [*g, "lv", "b"], hot)
+    blocks = two_smallest(points, [*g, "lv", "b"])
     lo = F.ceil(F.col("sz") * F.lit(1 - pct))
     end = F.floor(F.col("sz") * F.lit(1 + pct)) + 1
 
@@ -280,7 +285,7 @@ def near_duplicates(
 
     probes = per_size.select(*g, "sz", F.inline(F.flatten(F.transform(levels, pieces))))
     cand = probes.join(blocks, [*g, "lv", "b"]).select(*g, "sz", items.alias("i")).select(*g, "sz", "i.id", "i.tag")
-    best = two_smallest(cand.distinct(), [*g, "sz"], hot).drop("n")
+    best = two_smallest(cand, [*g, "sz"]).drop("n")
     best = best.join(per_size.select(*g, "sz", "n"), [*g, "sz"])
     found = join_stats(d, best, [*g, "sz"], "n", ["id"], hot)
     out = found.select(F.col("id").alias(key), _other(F.col("tag")).alias("near_duplicate_of"))
