@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,12 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str, out: str = "centroid") -> DataFrame:
-    """Mean vector per key (MTH-04).
+    """Mean vector per key (MTH-04); rows without a key or a vector are left out.
 
-    Partial averages are combined per (key, position), so a key with a third of
-    all rows still reduces map-side; each final group has one row per dimension.
+    One running sum per key and task, combined after the shuffle.
     """
-    return (
-        df.where(F.col(key).isNotNull())
-        .select(key, F.posexplode(vector).alias("_i", "_x"))
-        .groupBy(key, "_i")
-        .agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
-        .select(key, F.transform("_v", lambda s: s["_m"]).alias(out))
-    )
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, array_to_vector(vector).alias("_v"))
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(out))
 
 
 def hash_embed(text: str | Column, dim: int = 128) -> Column:

@@ -191,12 +191,16 @@ def explode_points(fc: DataFrame, key: str) -> DataFrame:
     return fc.select(key, F.inline(both))
 
 
+def depot_name(code: str = "depot_code") -> Column:
+    return F.coalesce(F.nullif(F.trim(code), F.lit("")), F.lit("Unassigned"))
+
+
 def with_depot(points: DataFrame, outlets: DataFrame) -> DataFrame:
     """Depot and district of each forecast outlet, with defaults (JN-10)."""
     o = outlets.select("outlet_code", "depot_code", "district")
     return (
         points.join(o, "outlet_code", "left")
-        .withColumn("depot", F.coalesce(F.nullif(F.trim("depot_code"), F.lit("")), F.lit("Unassigned")))
+        .withColumn("depot", depot_name())
         .withColumn("district", F.coalesce("district", F.lit("—")))
         .drop("depot_code")
     )
@@ -225,9 +229,7 @@ def depot_rollup(points: DataFrame, outlets: DataFrame) -> DataFrame:
         F.sum("n").alias("outlet_count"),
         F.transform(F.slice(ranked, 1, 3), lambda s: s["district"]).alias("top_districts"),
     )
-    total_outlets = with_depot(outlets.select("outlet_code"), outlets).groupBy("depot").agg(
-        F.count(F.lit(1)).alias("total_outlets")
-    )
+    total_outlets = outlets.groupBy(depot_name().alias("depot")).agg(F.count(F.lit(1)).alias("total_outlets"))
     out = series.select(
         "depot",
         part(last_n("a", 14)).alias("recent14"),
