@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import dates, text
@@ -129,3 +130,9 @@ def test_segments_are_named(spark):
     names = models.name_clusters(centroids)
     assert names.count() == 3 and names.select("segment").distinct().count() == 3
     assert out.groupBy("cluster_id").count().count() == 3
+
+
+def test_forest_draws_rows_at_any_size():
+    for n in (1, 100, 10**6, 10**9, 10**12):
+        rows = n * models.drawn_below(n, 256) / 2**63
+        assert rows == pytest.approx(min(n, 320), rel=1e-6)
