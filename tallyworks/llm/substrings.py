@@ -6,7 +6,7 @@ at least as often as any window that holds it.  Tasks count keys in partition
 sketches (one row of counters per slice of the hash range); merged, they
 overestimate the count of every window.  A second pass hashes only windows whose
 estimate is two or more, keeps the first of equal ones inside each batch, and
-one shuffle by the 128-bit window hash finds the first of the corpus.
+one shuffle by the 96-bit window hash finds the first of the corpus.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _candidates(df: DataFrame, width: int, gram: int, bits: int, cells) -> DataF
             if not len(w):
                 continue
             a = window_hashes(h, width)[w]
-            b = window_hashes(h, width, 1)[w]
+            b = (window_hashes(h, width, 1)[w] >> np.uint64(32)).astype(np.uint32)
             doc = np.searchsorted(first, w, side="right") - 1
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             th = piece.column(1).to_numpy(zero_copy_only=False)
@@ -154,7 +154,7 @@ def _candidates(df: DataFrame, width: int, gram: int, bits: int, cells) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(a[pick].view(np.int64), mask=mask),
-                    pa.array(b[pick].view(np.int64), mask=mask),
+                    pa.array(b[pick].view(np.int32), mask=mask),
                     pa.array(ids[doc[pick]]),
                     pa.array(th[doc[pick]]),
                     pa.array(place[pick]),
@@ -163,7 +163,7 @@ def _candidates(df: DataFrame, width: int, gram: int, bits: int, cells) -> DataF
                 ["h1", "h2", "id", "th", "at", "n"],
             )
 
-    return df.mapInArrow(run, "h1 long, h2 long, id long, th long, at int, n int")
+    return df.mapInArrow(run, "h1 long, h2 int, id long, th long, at int, n int")
 
 
 def repeated_windows(
