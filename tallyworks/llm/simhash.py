@@ -258,15 +258,6 @@ def near_duplicates(
     return out.select("doc_id", "th", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class (null last, then by the hash of the text), once each."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
-    keep = first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
-    met = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_th")))
-    return met.dropDuplicates(["_id", "_th"]).select(*docs.columns)
-
-
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
