@@ -4,7 +4,8 @@ Texts become hashed counts of byte n-grams, damped by a logarithm, weighted by
 inverse document frequency and normalised.  Each language has several centroids
 from spherical k-means over a bounded sample of its labelled texts; a text goes to
 the language of the centroid with the largest cosine, and is rejected if it is
-much farther from it than sampled texts are from theirs.
+much farther from it than nearly all sampled texts of the language are from theirs.
+Sampled texts that few others are like get no centroid.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ CENTROIDS = 4
 # Texts per language that the centroids are fitted on, on average: each labelled text is drawn by a hash of its row.
 SAMPLE = 1000
 ROUNDS = 8
-# A text is rejected below this share of the least cosine of any sampled text.
-MARGIN = 0.5
+# A text is rejected below this share of a low quantile of its language's sampled cosines.
+MARGIN, LOW = 0.4, 0.01
+# A centroid holds so large a share of its language's sampled texts at least.
+HOLDS = 0.02
 # Texts of one numpy step; with DIM it bounds a task's memory.
 ROWS = 256
 LETTER = re.compile(r"[^\W\d_]")
@@ -41,13 +44,13 @@ _CLASS[97:123] = _CLASS[65:91] = np.arange(97, 123)
 
 @dataclass
 class Model:
-    """Centroids (rows), their languages, idf, and the least cosine accepted."""
+    """Centroids (rows), their languages, idf, and the least cosine accepted for each centroid's language."""
 
     langs: list[str]
     of: np.ndarray
     centroids: np.ndarray
     idf: np.ndarray
-    least: float
+    least: np.ndarray
 
 
 def counts(raw: np.ndarray, ends: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -93,6 +96,26 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """(centroids, low quantile of all texts' cosines); a centroid that holds too few texts goes.
+
+    Its texts are set aside and the others start anew, as long as few are set aside in all.
+    """
+    few = HOLDS * len(x)
+    rest = x
+    while True:
+        c = _kmeans(rest, k)
+        near = np.argmax(rest @ c.T, axis=1)
+        held = np.bincount(near, minlength=len(c))
+        stays = held[near] >= few
+        if stays.all() or stays.sum() < len(x) - few:
+            break
+        rest = rest[stays]
+    if (held >= few).any():
+        c = c[held >= few]
+    return c, float(np.quantile((x @ c.T).max(axis=1), LOW))
+
+
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Centroids from rows with a language; rows without a language, or without a letter in the text, are not read.
 
@@ -102,7 +125,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
-        return Model([], np.empty(0, int), np.empty((0, DIM), np.float32), np.zeros(DIM, np.float32), 0.0)
+        return Model([], np.empty(0, int), np.empty((0, DIM), np.float32), np.zeros(DIM, np.float32), np.empty(0))
     rate = F.create_map(*[F.lit(x) for name, c in n.items() for x in (name, min(1.0, sample / c))])
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)
 
@@ -135,8 +158,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
             x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(v.as_buffer(), np.float32)
         x = _unit(np.log1p(x) * idf)
         x = x[np.lexsort(x[:, :4].T)]
-        c = _kmeans(x, k)
-        least = float((x @ c.T).max(axis=1).min())
+        c, least = _clusters(x, k)
         return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "least": [least] * len(c), "c": [v.astype(np.float32).tobytes() for v in c]})
 
     # A group holds the sample of one language, which SAMPLE bounds.
@@ -145,7 +167,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
     langs = sorted({r["lang"] for r in got})
     return Model(
         langs, np.array([langs.index(r["lang"]) for r in got]), np.stack([np.frombuffer(r["c"], np.float32) for r in got]),
-        idf, MARGIN * min(r["least"] for r in got),
+        idf, MARGIN * np.array([r["least"] for r in got]),
     )
 
 
@@ -156,12 +178,13 @@ def _judged(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray
     letter = ascii_[ends[1:]] > ascii_[ends[:-1]]
     for i in np.flatnonzero(~letter):
         letter[i] = LETTER.search(col[i].as_py() or "") is not None
-    pred, score = np.full(len(col), len(m.langs)), np.zeros(len(col))
+    pred, score, least = np.full(len(col), len(m.langs)), np.zeros(len(col)), np.zeros(len(col))
     if len(m.of):
         cos = _unit(np.log1p(counts(raw, ends)) * m.idf) @ m.centroids.T
-        pred = np.where(letter, m.of[np.argmax(cos, axis=1)], len(m.langs))
+        near = np.argmax(cos, axis=1)
+        pred, least = np.where(letter, m.of[near], len(m.langs)), m.least[near]
         score = np.where(letter, np.clip(cos.max(axis=1), 0, 1), 0.0).astype(np.float64)
-    return pred, score, (score < m.least) | (pred == len(m.langs))
+    return pred, score, (score < least) | (pred == len(m.langs))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -68,3 +68,19 @@ def test_nothing_to_learn_from(spark):
     model = L.fit(empty)
     assert predict(spark, model, ["words here"])[0].lang_pred == "und"
     assert L.predict(empty.select("doc_id", "text"), model).count() == 0
+
+
+def garbage(rng, n):
+    return ["".join(rng.choice("0123456789abcdef") for _ in range(400)) for _ in range(n)]
+
+
+def test_labelled_garbage_gets_no_centroid_and_does_not_move_the_limit(spark):
+    rng = random.Random(3)
+    rows = [(text(lang, rng, rng.randint(2, 200)), lang) for lang in SYLLABLES for _ in range(300)]
+    junk = [(t, "bb") for t in garbage(rng, 2)] + [("zxqj", "aa"), ("的一是不了人我在", "aa"), ("kkkk", "cc")]
+    fitted = [L.fit(spark.createDataFrame(rows + more, "text string, lang string")) for more in ([], junk)]
+    for m in fitted:
+        out = predict(spark, m, garbage(rng, 20) + [text(lang, rng, 20) for lang in SYLLABLES for _ in range(20)])
+        assert [out[i].rejected for i in range(100)] == [True] * 20 + [False] * 80
+    clean, dirty = ({lang: m.least[m.of == i].min() for i, lang in enumerate(m.langs)} for m in fitted)
+    assert all(dirty[lang] > 0.5 * clean[lang] for lang in SYLLABLES)
