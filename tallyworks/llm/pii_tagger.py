@@ -3,7 +3,7 @@
 The patterns label a bounded sample of texts; a bidirectional LSTM with CRF
 transitions learns from these spans, from altered copies of them (other
 separators, missing signs) and from look-alikes such as dates and versions.  It reads
-every place with a digit or a mark of an address through overlapping windows; their scores
+every place with a digit or a mark of an address, to the ends of its tokens, through overlapping windows; their scores
 are averaged and each stretch is decoded as a whole, so a span across windows is
 found once.  Spans it adds pass the exact check of their kind.
 """
@@ -34,8 +34,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-# No kind is without a digit, an at sign or its spelling.
-TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+# Spelled at signs and dots: in brackets, or plain words between blanks.
+_IN = r"[\x20\t\r\n]{0,3}[\[({][\x20\t]{0,3}%s[\x20\t]{0,3}[\])}][\x20\t\r\n]{0,3}"
+_PLAIN = r"[\x20\t]{1,3}%s[\x20\t]{1,3}"
+SPELLED_AT = re.compile(f"(?P<in>{_IN % 'at'})|{_PLAIN % 'at'}", re.IGNORECASE)
+SPELLED_DOT = re.compile(f"(?:{_IN % 'dot'}|{_PLAIN % 'dot'})", re.IGNORECASE)
+SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_IN % 'dot'}|{_PLAIN % 'dot'})[A-Za-z0-9-]++)+", re.IGNORECASE)
+# Last labels of a plain spelled address that need no model; words of texts, such as "in" or "it", are none.
+ENDINGS = frozenset("com org net edu gov mil info biz example uk de fr es eu ca au jp br ru nl".split())
+DOT_BEFORE = re.compile(f"(?:{_IN % 'dot'}|{_PLAIN % 'dot'})$", re.IGNORECASE)
+
+# No kind is without a digit, an at sign or its spelling; spelled() finds plain words.
+TRIGGER = re.compile(r"[0-9@]|[\[({][\x20\t]{0,3}at[\x20\t]{0,3}[\])}]", re.IGNORECASE)
 # Window and stride of the tagger, and what it sees around a trigger.
 WINDOW, STRIDE, AROUND = 64, 32, 24
 # Documents that training reads, on average: each is drawn by a hash of its text.  Windows it keeps at most.
@@ -102,17 +112,60 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return sorted(good, key=lambda s: (s[0], s[2])), bad
 
 
+def spelled(text: str) -> list[tuple[int, int, bool]]:
+    """Whole spelled addresses as (start, end, is it clear without a model?); a plain one needs a spelled dot as well."""
+    out: list[tuple[int, int, bool]] = []
+    for m in SPELLED_AT.finditer(text):
+        found = SPELLED_DOMAIN.match(text, m.end())
+        if not found or not m["in"] and not SPELLED_DOT.search(found[0]):
+            continue
+        free = out[-1][1] if out else 0
+        start = end = m.start()
+        while True:
+            while start > free and text[start - 1] in LOCAL_CHARS:
+                start -= 1
+            dot = DOT_BEFORE.search(text[max(free, start - 16) : start]) if start < end else None
+            if not dot:
+                break
+            end = start - len(dot[0])
+            if end <= free or text[end - 1] not in LOCAL_CHARS:
+                break
+            start = end
+        if start < m.start():
+            last = re.split("[^a-z0-9-]", found[0].lower())[-1]
+            out.append((start, found.end(), bool(m["in"]) or last in ENDINGS))
+    return out
+
+
 def encode(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < 128, _CODES[np.minimum(points, 127)], 97).astype(np.int16)
 
 
-def stretches(text: str, around: int = AROUND) -> list[tuple[int, int]]:
-    """What the tagger reads: characters near a trigger, merged where they meet."""
+def stretches(text: str, around: int = AROUND, whole: bool = True) -> list[tuple[int, int]]:
+    """What the tagger reads: characters near a trigger or a spelled address, to the ends of tokens if ``whole``, merged where they meet."""
+    marks = [m.span() for m in TRIGGER.finditer(text)]
+    near: list[tuple[int, int]] = []
+    # Marks in brackets are triggers; windows for training stay near them.
+    spans = [(a, b) for a, b, _ in spelled(text) if whole or not set("[({") & set(text[a:b])]
+    for start, end in sorted(marks + spans):
+        a, b = max(0, start - around), min(len(text), end + around)
+        if near and a <= near[-1][1]:
+            near[-1] = (near[-1][0], max(b, near[-1][1]))
+        else:
+            near.append((a, b))
+    if not whole:
+        return near
     out: list[tuple[int, int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
-        if out and a <= out[-1][1]:
+    for a, b in near:
+        floor = out[-1][1] if out else 0
+        if b <= floor:
+            continue
+        while a > floor and not text[a - 1].isspace() and not text[a].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace() and not text[b - 1].isspace():
+            b += 1
+        if out and a <= floor:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
@@ -142,7 +195,9 @@ def _altered(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
             continue
         s = text[a:b]
         way = rng.integers(4)
-        if kind == 0 and way:
+        if kind == 0 and way == 2 and len(s) % 2:
+            s = s.replace("@", " at ").replace(".", " dot ")
+        elif kind == 0 and way:
             s = s.replace("@", ("[at]", " [at] ", "(at)")[way - 1]).replace(".", (".", " [dot] ", ".")[way - 1])
         elif kind == 1 and way == 1:
             s = s.replace(".", " . ")
@@ -173,7 +228,7 @@ def training_windows(text: str, spans: list[tuple[int, int, int]]) -> Iterator[t
     for a, b, kind in spans:
         tags[a:b] = 2 + 2 * kind
         tags[a] = 1 + 2 * kind
-    for a, b in stretches(text):
+    for a, b in stretches(text, whole=False):
         for w in windows(b - a):
             c, t = np.zeros(WINDOW, np.int16), np.zeros(WINDOW, np.int8)
             part = code[a + w : min(b, a + w + WINDOW)]
@@ -231,6 +286,7 @@ def _fits(s: str, kind: int) -> bool:
     """The exact check of a span that the tagger adds."""
     digits = len(DIGIT.findall(s))
     if kind == 0:
+        s = s.lower()
         return ("@" in s or "at" in s) and ("." in s or "dot" in s) and len(s) >= 6
     if kind == 1:
         parts = re.findall("[0-9]+", s)
@@ -296,7 +352,10 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
 
 
 def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text: the patterns' spans, and all spans with those the model adds, by start and kind."""
+    """For each text: the patterns' spans, and all spans with those added, by start and kind.
+
+    The model adds spans; one that meets a spelled address takes all of it.  A clear one needs no model.
+    """
     base = [base_spans(t) for t in texts]
     more = tagged(texts, model) if model is not None else [[] for _ in texts]
     out = []
@@ -313,6 +372,11 @@ def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list[tuple[
             clear = all(b <= x or y <= a for x, y, _ in veto) and all(b <= x or y <= a for x, y, k in bad if k == kind)
             if a < b and clear and _fits(t[a:b], kind):
                 own.append((a, b, kind))
+        for a, b, clear in spelled(t):
+            met = [s for s in own if s[2] == 0 and s[0] < b and a < s[1]]
+            if (clear or met) and all(b <= x or y <= a for x, y, k in good if k == 0):
+                own = [s for s in own if s not in met]
+                own.append((min([a, *(s[0] for s in met)]), max([b, *(s[1] for s in met)]), 0))
         out.append((good, sorted(good + own, key=lambda s: (s[0], s[2])) if own else good))
     return out
 
@@ -325,10 +389,21 @@ def _found(batches: Iterator[pa.RecordBatch], at: int, text: str, model: Tagger
         mark = np.cumsum(np.r_[0, (raw - 48 < 10) | (raw == 64)])
         may = mark[ends[1:]] > mark[ends[:-1]]
         if not may.all():
-            spelled = np.frombuffer(b"at", np.uint8)
-            near = np.flatnonzero((raw[:-1] == spelled[0]) & (raw[1:] == spelled[1])) if len(raw) > 1 else np.empty(0, int)
-            near = near[np.isin(raw[np.maximum(near - 1, 0)], [40, 91]) | np.isin(raw[np.maximum(near - 2, 0)], [40, 91])]
-            may[np.searchsorted(ends, near, side="right") - 1] = True
+            def words(word: bytes) -> tuple[np.ndarray, np.ndarray]:
+                """Where a word stands in any case, and whether a bracket is one to four bytes before it."""
+                found = np.flatnonzero(np.logical_and.reduce([low[i : len(low) - len(word) + 1 + i] == c for i, c in enumerate(word)]))
+                return found, np.isin(raw[np.maximum(found[:, None] - np.arange(1, 5), 0)], [40, 91, 123]).any(axis=1)
+
+            low = np.where(raw - 65 < 26, raw | 32, raw)
+            if len(low) > 2:
+                spot, bracket = words(b"at")
+                plain, dotted = np.zeros(piece.num_rows, bool), np.zeros(piece.num_rows, bool)
+                row = lambda x: np.searchsorted(ends, x, side="right") - 1
+                may[row(spot[bracket])] = True
+                plain[row(spot[np.isin(raw[np.maximum(spot - 1, 0)], [9, 32])])] = True
+                dot, bracket = words(b"dot")
+                dotted[row(dot[bracket | np.isin(raw[np.maximum(dot - 1, 0)], [9, 32])])] = True
+                may |= plain & dotted
         rows = np.flatnonzero(may)
         texts = [col[int(i)].as_py() for i in rows]
         yield piece, rows, texts, find_spans(texts, model)

@@ -125,3 +125,46 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.fit(docs) is None
     assert P.tag(docs, None).count() == 0 and P.redact(docs, None).count() == 0
+
+
+LONG = "christopher.montgomery.smith [at] department.longcompanyname.example.com"
+
+
+@pytest.mark.parametrize("address", [LONG, LONG.upper(), LONG.replace("[at]", "( At )"), "jo dot doe [AT] mail [DOT] example [dot] com", "mary.jones at mail dot example dot com"])
+def test_spelled_addresses_go_whole(spark, model, address):
+    docs = spark.createDataFrame([(1, f"please write {address} before noon", 5), (2, "they sat [here] at home, look at the dot in it", 6)], "doc_id long, text string, n int")
+    assert [r.text for r in P.redact(docs, model).collect()] == ["please write [EMAIL] before noon", "they sat [here] at home, look at the dot in it"]
+
+
+def test_plain_spelled_addresses_are_read_and_go_whole(spark, model):
+    t = "ther onan mary.jones at longcompanyname dot example dot company here"
+    assert P.stretches(t) and P.stretches("they sat at home") == []
+    docs = spark.createDataFrame([(1, t), (2, "at home and there"), (3, "the dot stays"), (4, t.upper())], "doc_id long, text string")
+    seen = [len(texts) for _, _, texts, _ in P._found(iter(docs.toArrow().combine_chunks().to_batches()), 1, "text", None)]
+    assert seen == [2]
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    assert [len(texts) for _, _, texts, _ in P._found(iter([batch, batch]), 1, "text", None)] == [2, 2]
+
+    class Sure:
+        """Finds the middle of the address only."""
+
+        def emissions(self, x):
+            return np.zeros((*x.shape, 9), np.float32)
+
+        def viterbi(self, em, size):
+            out = np.zeros(em.shape[:2], int)
+            a, b = t.index("at long"), t.index(" example")
+            out[:, a:b] = 2
+            out[:, a] = 1
+            return out
+
+        def marginals(self, em, size):
+            return np.ones(em.shape, np.float32)
+
+    assert P.find_spans([t], Sure())[0][1] == [(t.index("mary"), t.index(" here"), 0)]
+
+
+def test_stretches_end_with_their_tokens_and_take_linear_time():
+    for t in ("a" * 200_000 + "1", "1 " * 50_000, "1" + "a" * 100 * 1000, ("1" + "a" * 99) * 1000, "x at y dot " * 20_000, "x[at]" * 20_000):
+        got = P.stretches(t)
+        assert all(a == 0 or t[a - 1].isspace() or t[a].isspace() for a, _ in got) and all(a[1] < b[0] for a, b in zip(got, got[1:]))
