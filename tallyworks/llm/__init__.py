@@ -13,6 +13,7 @@ from tallyworks.llm import (  # noqa: F401
     line_quality,
     maxent_lm,
     mixing,
+    periodic_runs,
     pii_tagger,
     simhash,
     substrings,

@@ -13,5 +13,5 @@ def test_check_query(spark, name):
     assert oracle.compare(QUERIES[name](spark, FOLDER), oracle.connect(FOLDER), ORACLES[name]) == ""
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
