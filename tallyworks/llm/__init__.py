@@ -10,6 +10,7 @@ from tallyworks.llm import (  # noqa: F401
     decontamination,
     html_wrappers,
     language,
+    lexical_search,
     line_quality,
     maxent_lm,
     mixing,

@@ -23,23 +23,24 @@ from tallyworks.llm.registry import query
 
 # Words of the shortest run.
 LEAST = 12
-# Words that one step of an extension compares.
-STEP = 32
+# Words that one step of an extension compares, and diagonals that are extended together.
+STEP, LANES = 32, 1 << 13
 
 
 def _extend(ids: np.ndarray, at: np.ndarray, lag: np.ndarray, way: int) -> np.ndarray:
     """How many words agree with those ``lag`` later, from ``at`` on (way 1) or before ``at`` (way -1)."""
     out = np.zeros(len(at), np.int64)
-    active = np.arange(len(at))
     step = np.arange(STEP) if way > 0 else -1 - np.arange(STEP)
-    while len(active):
-        p = (at[active] + way * out[active])[:, None] + step
-        q = p + lag[active][:, None]
-        inside = (p >= 0) & (q < len(ids))
-        same = inside & (ids[np.where(inside, p, 0)] == ids[np.where(inside, q, 0)])
-        n = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
-        out[active] += n
-        active = active[n == STEP]
+    for some in range(0, len(at), LANES):
+        active = np.arange(some, min(some + LANES, len(at)))
+        while len(active):
+            p = (at[active] + way * out[active])[:, None] + step
+            q = p + lag[active][:, None]
+            inside = (p >= 0) & (q < len(ids))
+            same = inside & (ids[np.where(inside, p, 0)] == ids[np.where(inside, q, 0)])
+            n = np.where(same.all(axis=1), STEP, same.argmin(axis=1))
+            out[active] += n
+            active = active[n == STEP]
     return out
 
 
@@ -66,7 +67,8 @@ def runs(ids: np.ndarray, longest: int, least: int = LEAST) -> tuple[np.ndarray,
     ``ids`` are words as numbers of many documents, one after another; documents share no number, so no run crosses a
     border.  ``longest`` is the number of words of the longest document.
     """
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    none = np.empty(0, np.int64)
+    found = none, none, none
     m = len(ids)
     # First all lags below a power of two: their runs agree in max(least - lag, lag) places or more.
     least = max(least, 2)
@@ -83,9 +85,10 @@ def runs(ids: np.ndarray, longest: int, least: int = LEAST) -> tuple[np.ndarray,
         n = np.searchsorted(index, np.minimum(place[seed] + high, (rank[seed] + 1) * np.int64(m))) - first
         n = np.maximum(n, 0)
         mate = where[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        if len(mate):
-            i = np.repeat(at[seed], n)
-            found.append(_diagonals(ids, i, mate - i, gram, stride))
+        i = np.repeat(at[seed], n)
+        fresh = _unknown(found, i, mate - i, m)
+        if fresh.any():
+            found = _runs_only(found, _diagonals(ids, i[fresh], (mate - i)[fresh], gram, stride), least)
         # The next octave: runs of a lag from ``low`` on agree in at least ``low`` places.
         low, high = high, 2 * high
         while gram < low // 2 and len(at):
@@ -93,19 +96,34 @@ def runs(ids: np.ndarray, longest: int, least: int = LEAST) -> tuple[np.ndarray,
             at, rank = _longer(at, rank, step, m)
             gram += step
         stride = min(low - gram + 1, gram)
-    if not found:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    start, end, lag = (np.concatenate(x) for x in zip(*found))
-    ok = end - start >= np.maximum(least, 2 * lag)
-    start, end, lag = start[ok], end[ok], lag[ok]
-    # A multiple of a period spans the same words as the period itself.
+    start, end, lag = found
+    order = np.lexsort((lag, start))
+    return start[order], (end - start)[order], lag[order]
+
+
+def _runs_only(known: tuple, more: tuple, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known runs and the stretches long enough for their lag; a multiple of a period spans the same words as it."""
+    ok = more[1] - more[0] >= np.maximum(least, 2 * more[2])
+    start, end, lag = (np.r_[a, b[ok]] for a, b in zip(known, more))
     order = np.lexsort((lag, end, start))
     start, end, lag = start[order], end[order], lag[order]
     ok = np.r_[True, (start[1:] != start[:-1]) | (end[1:] != end[:-1])] if len(start) else np.empty(0, bool)
-    start, end, lag = start[ok], end[ok], lag[ok]
-    order = np.lexsort((lag, start))
-    return start[order], (end - start)[order], lag[order]
+    return start[ok], end[ok], lag[ok]
+
+
+def _unknown(known: tuple, seed: np.ndarray, lag: np.ndarray, m: int) -> np.ndarray:
+    """Which seeds may lie on a new run: not those whose first ``lag`` words lie in a run with a period that divides it.
+
+    All of such a seed's stretch has that period.  Of the runs that began before a place, the furthest one is asked.
+    """
+    start, end, period = known
+    if not len(start) or not len(seed):
+        return np.ones(len(seed), bool)
+    furthest = np.zeros(m, np.int64)
+    np.maximum.at(furthest, start, end * len(start) + np.arange(len(start)))
+    run = np.maximum.accumulate(furthest)[seed]
+    far, which = run // len(start), run % len(start)
+    return ~((seed + lag <= far) & (lag % period[which] == 0))
 
 
 def _repeated(at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
