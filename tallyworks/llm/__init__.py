@@ -14,6 +14,7 @@ from tallyworks.llm import (  # noqa: F401
     line_quality,
     maxent_lm,
     mixing,
+    packing,
     periodic_runs,
     pii_tagger,
     simhash,
