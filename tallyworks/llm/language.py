@@ -10,12 +10,12 @@ Sampled texts that few others are like get no centroid.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from tallyworks.llm.registry import query
 ORDERS = (1, 2, 3)
 DIM = 8192
 CENTROIDS = 4
-# Texts per language that the centroids are fitted on, on average: each labelled text is drawn by a hash of its row.
+# Distinct texts per language that the centroids are fitted on, on average: each is drawn by its hash.
 SAMPLE = 1000
 ROUNDS = 8
 # A text is rejected below this share of a low quantile of its language's sampled cosines.
@@ -34,7 +34,7 @@ MARGIN, LOW = 0.4, 0.01
 HOLDS = 0.02
 # Texts of one numpy step; with DIM it bounds a task's memory.
 ROWS = 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 # Letters in lower case and bytes of other alphabets stay, all else is a space.
 _CLASS = np.full(256, 32, np.int64)
@@ -123,11 +123,14 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashed = F.xxhash64("text", F.lit(7))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(hashed).alias("n")).collect()}
     if not n:
         return Model([], np.empty(0, int), np.empty((0, DIM), np.float32), np.zeros(DIM, np.float32), np.empty(0))
     rate = F.create_map(*[F.lit(x) for name, c in n.items() for x in (name, min(1.0, sample / c))])
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)
+    draw = F.pmod(hashed, F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)
+    # A text that many rows repeat is drawn once.
+    once = rows.where(draw).groupBy("lang", hashed.alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in _steps(batches, "text"):
@@ -138,7 +141,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
             values = [(cols[a:b].astype(np.int32).tobytes(), found[i, cols[a:b]].tobytes()) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
             yield pa.RecordBatch.from_arrays([step.column(0), pa.array([v[0] for v in values]), pa.array([v[1] for v in values])], ["lang", "at", "n"])
 
-    drawn = written(rows.where(draw).mapInArrow(vectors, "lang string, at binary, n binary"), "language_sample")
+    drawn = written(once.mapInArrow(vectors, "lang string, at binary, n binary"), "language_sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, texts = np.zeros(DIM, np.int64), 0

@@ -118,9 +118,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows equal in id and text are one document here.
     """
-    once = docs.withColumn("th", F.xxhash64(text)).dropDuplicates([doc_id, "th"])
+    once = docs.withColumn("_mix_th", F.xxhash64(text)).dropDuplicates([doc_id, "_mix_th"])
     taken = weighted_mix(once, doc_id, text, source).where("taken").select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("before").alias("mix_position")
     )
-    met = once.join(taken, (once["th"] == taken["_th"]) & once[doc_id].cast("long").eqNullSafe(taken["_id"]))
+    met = once.join(taken, (once["_mix_th"] == taken["_th"]) & once[doc_id].cast("long").eqNullSafe(taken["_id"]))
     return met.select(*docs.columns, "mix_position")

@@ -81,7 +81,8 @@ def _is_phone(s: str) -> bool:
 
 
 def _is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    parts = [p.lstrip("0") for p in s.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _emails(text: str) -> list[tuple[int, int]]:

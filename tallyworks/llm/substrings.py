@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.llm.common import data, documents, pieces, written
 from tallyworks.llm.registry import query
-from tallyworks.llm.words import word_hashes, window_hashes, window_starts, words
+from tallyworks.llm.words import word_digests, window_hashes, window_starts, words
 
 WIDTH = 20
 GRAM = 6
@@ -76,7 +76,7 @@ def partition_sketches(df: DataFrame, text: str, width: int, gram: int, bits: in
         for piece in pieces(batches, text):
             raw, ends = data(piece.column(0))
             start, end, first = words(raw, ends)
-            found.append(_keys(word_hashes(raw, start, end), first, width, gram)[2])
+            found.append(_keys(word_digests(raw, start, end), first, width, gram)[2])
             held += len(found[-1])
             if held > 2_000_000:
                 yield send(found)
@@ -115,7 +115,7 @@ def _candidates(df: DataFrame, width: int, gram: int, bits: int, cells) -> DataF
         for piece in pieces(batches, "text"):
             raw, ends = data(piece.column(2))
             start, end, first = words(raw, ends)
-            h = word_hashes(raw, start, end)
+            h = word_digests(raw, start, end)
             inside, key, _ = _keys(h, first, width, gram)
             if not len(key):
                 continue

@@ -84,3 +84,15 @@ def test_labelled_garbage_gets_no_centroid_and_does_not_move_the_limit(spark):
         assert [out[i].rejected for i in range(100)] == [True] * 20 + [False] * 80
     clean, dirty = ({lang: m.least[m.of == i].min() for i, lang in enumerate(m.langs)} for m in fitted)
     assert all(dirty[lang] > 0.5 * clean[lang] for lang in SYLLABLES)
+
+
+def test_a_text_without_a_letter_is_undetermined(spark, model):
+    docs = spark.createDataFrame([(1, "½ ② ³ 12"), (2, "²ª")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
+def test_a_hot_text_is_drawn_once(spark):
+    rows = [("a", "hot words here " * 5)] * 3000 + [("a", f"text number {i} of it") for i in range(300)] + [("b", f"otro texto {i} aqui") for i in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert set(L.fit(docs, sample=400).langs) == {"a", "b"}

@@ -68,3 +68,10 @@ def test_mixed_documents_keep_columns(spark):
     assert out.columns == [*docs.columns, "mix_position"]
     got = out.collect()
     assert 55 <= len(got) <= 60 and len({r.mix_position for r in got}) == len(got)
+
+
+def test_a_column_named_th_stays(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "mine"), (2, "c d", "s", "yours")], "doc_id long, text string, source string, th string")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == ["doc_id", "text", "source", "th", "mix_position"]
+    assert {(r.doc_id, r.th) for r in out.collect()} <= {(1, "mine"), (2, "yours")} and out.count() == 3

@@ -168,3 +168,7 @@ def test_stretches_end_with_their_tokens_and_take_linear_time():
     for t in ("a" * 200_000 + "1", "1 " * 50_000, "1" + "a" * 100 * 1000, ("1" + "a" * 99) * 1000, "x at y dot " * 20_000, "x[at]" * 20_000):
         got = P.stretches(t)
         assert all(a == 0 or t[a - 1].isspace() or t[a].isspace() for a, _ in got) and all(a[1] < b[0] for a, b in zip(got, got[1:]))
+
+
+def test_numbers_of_any_length_are_read():
+    assert P._is_ip("0" * 5000 + "1.1.1.1") and not P._is_ip("9" * 5000 + ".1.1.1") and P._is_ip("000.0.0.255")

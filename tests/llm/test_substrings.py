@@ -83,3 +83,11 @@ def test_estimates_never_miss_a_repeat(spark):
                 want.add((i, a))
             seen.add(k)
     assert covered == want
+
+
+def test_long_words_that_polynomials_confuse_are_told_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    w = " ".join(f"w{i}" for i in range(19))
+    out = {r.doc_id: r.n_removed for r in substrings.remove_repeated(spark.createDataFrame([(1, f"{w} {thue}"), (2, f"{w} {other}")], "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 0}
