@@ -72,3 +72,26 @@ def join_stats(
         .withColumn("_s", F.coalesce("_hs", "_ls"))
     )
     return out.select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
+
+
+def spread_join(
+    rows: DataFrame, other: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: int = HOT_ROWS, cond: Column | None = None
+) -> DataFrame:
+    """Inner equi-join where a key may hold any share of ``rows``.
+
+    A key of over ``hot`` rows is dealt over as many tasks as it takes by a hash of ``spread``, and the rows of ``other``
+    are repeated for each of them.  There are at most total/hot such keys, so these are broadcast.  Null keys meet none.
+    """
+    n = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_tasks")).where("_tasks > 1")
+    heavy = F.broadcast(n.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_tasks"))
+
+    def told(df: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & (df[k] == heavy[f"_h{i}"])
+        return df.join(heavy, on, "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1))).drop(*[f"_h{i}" for i in range(len(keys))])
+
+    left = told(rows).withColumn("_deal", F.pmod(F.xxhash64(*spread), F.col("_tasks")).cast("int")).drop("_tasks")
+    right = told(other).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+    met = left.join(right, [*keys, "_deal"])
+    return (met if cond is None else met.where(cond)).drop("_deal")

@@ -10,18 +10,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyworks.functions.numbers import col, computed_once
-from tallyworks.functions.skew import small
+from tallyworks.functions.skew import HOT_ROWS, small, spread_join
 from tallyworks.operators.scrutiny import authority
+from tallyworks.session import checkpointed
 
 EARTH_M = 6371008.8
 # Shapes that only touch overlap by rounding errors below this area.
 SLIVER_SQM = 1e-3
+# Counted bytes of geometry under which a layer may be broadcast.
+BROADCAST_BYTES = 64 << 20
+# A cell with over MANY points and box borders is split in four, up to LEVELS times.
+MANY, LEVELS = 256, 6
 POINT = "struct<x:double,y:double>"
 
 
@@ -121,96 +127,160 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Colum
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def layer_cells(layer: DataFrame, geometry: str = "polygons", size: float = 0.25) -> DataFrame:
-    """The layer once per grid cell of its bounding boxes."""
-    b = layer.withColumn("_b", bbox(geometry))
+def filed(boxes: DataFrame, size: float) -> DataFrame:
+    """Rows (..., _b) once per grid cell of their box, with the cell as _i, _j."""
     cells = _cells(F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), size)
-    return b.withColumn("_cell", F.explode(cells)).withColumns({"_i": F.col("_cell.i"), "_j": F.col("_cell.j")}).drop("_cell")
+    return boxes.withColumn("_cell", F.explode(cells)).withColumns({"_i": F.col("_cell.i"), "_j": F.col("_cell.j")}).drop("_cell")
+
+
+def numbered(layer: DataFrame, order: str, geometry: str, *props: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(geometries by _id; boxes: _id, _b, order; are the geometries few bytes, counted?).
+
+    A box is filed under many cells, its geometry stands in one row.  The written frame fixes the ids.
+    """
+    whole = checkpointed(layer.select(order, *dict.fromkeys(props), F.col(geometry).alias("_g")).withColumn("_id", F.monotonically_increasing_id()))
+    corners = F.aggregate("_g", F.lit(0), lambda s, rings: s + F.aggregate(rings, F.lit(0), lambda t, r: t + F.size(r)))
+    size, n = whole.agg(F.coalesce(F.sum(corners), F.lit(0)), F.count(F.lit(1))).first()
+    return whole, whole.select("_id", order, bbox("_g").alias("_b")), 16 * size + 100 * n <= BROADCAST_BYTES
+
+
+def box_hits(points: DataFrame, boxes: DataFrame, size: float, many: int = MANY, levels: int = LEVELS, hot: int = HOT_ROWS) -> DataFrame:
+    """Pairs of ``points`` (_p, _x, _y) and ``boxes`` (_id, _b) that hold them.
+
+    Boxes and points meet in grid cells.  A cell that holds many points and the borders of many boxes is split in four,
+    and again, up to ``levels`` times: a quadtree that grows where the data is dense.  A cell that stays hot (all points
+    at one place) is dealt over several tasks.  Each round reads only the points and boxes of cells that were split.
+    """
+    c = F.col
+    out: DataFrame | None = None
+    at = points.withColumns({"_i": F.floor(c("_x") / size).cast("long"), "_j": F.floor(c("_y") / size).cast("long")})
+    in_cells = filed(boxes, size)
+    inside = c("_x").between(c("_b.x0"), c("_b.x1")) & c("_y").between(c("_b.y0"), c("_b.y1"))
+    for level in range(levels + 1):
+        leaf_points, leaf_boxes, split = at, in_cells, None
+        if level < levels:
+            step = size / (1 << level)
+            covers = (c("_b.x0") <= c("_i") * step) & (c("_b.y0") <= c("_j") * step) & (c("_b.x1") >= (c("_i") + 1) * step) & (c("_b.y1") >= (c("_j") + 1) * step)
+            borders = in_cells.where(~covers).groupBy("_i", "_j").count().where(c("count") > many).select("_i", "_j")
+            crowded = at.groupBy("_i", "_j").count().where(c("count") > many).select("_i", "_j")
+            split = checkpointed(borders.join(crowded, ["_i", "_j"]))
+            split = None if split.isEmpty() else small(split)
+        if split is not None:
+            leaf_points, leaf_boxes = at.join(split, ["_i", "_j"], "left_anti"), in_cells.join(split, ["_i", "_j"], "left_anti")
+        met = spread_join(leaf_points, leaf_boxes, ["_i", "_j"], ["_p"], hot, inside).select(*points.columns, *boxes.columns)
+        out = met if out is None else out.unionAll(met)
+        if split is None:
+            return out
+        step = size / (2 << level)
+        at = at.join(split, ["_i", "_j"], "left_semi").withColumns({"_i": F.floor(c("_x") / step).cast("long"), "_j": F.floor(c("_y") / step).cast("long")})
+        child = F.array(*[F.struct((2 * c("_i") + i).alias("i"), (2 * c("_j") + j).alias("j")) for i in (0, 1) for j in (0, 1)])
+        of = in_cells.join(split, ["_i", "_j"], "left_semi").withColumn("_cell", F.explode(child)).withColumns({"_i": c("_cell.i"), "_j": c("_cell.j")}).drop("_cell")
+        in_cells = of.where(
+            c("_i").between(F.floor(c("_b.x0") / step), F.floor(c("_b.x1") / step)) & c("_j").between(F.floor(c("_b.y0") / step), F.floor(c("_b.y1") / step))
+        )
+    return out
+
+
+def placed(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
 
 
 def point_in_polygon(
     points: DataFrame, layer: DataFrame, key: str, *props: str, order: str = "layer_order", x: str = "lng", y: str = "lat",
-    size: float = 0.25,
+    size: float = 0.25, many: int = MANY, broadcast_bytes: int | None = None, hot: int = HOT_ROWS,
 ) -> DataFrame:
     """First polygon of the layer around each point, as its properties (GEO-03, JN-21).
 
-    Points meet only polygons of their own grid cell and bounding box.  The
-    layer is broadcast when its cell table is proven small; otherwise both sides
-    are shuffled by cell.
+    Points meet the boxes of polygons through a quadtree; a geometry joins the pairs that are left by its id.  The
+    geometries are broadcast if their counted bytes are few, otherwise a polygon of many points is dealt over tasks.
     """
-    polys = layer.select(order, "polygons", *props)
-    cells = small(layer_cells(polys, "polygons", size))
-    at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / size).cast("long").alias("_i"),
-        F.floor(F.col(y) / size).cast("long").alias("_j"))
-    px, py = F.col("_x"), F.col("_y")
-    near = at.join(cells, ["_i", "_j"]).where(
-        px.between(F.col("_b.x0"), F.col("_b.x1")) & py.between(F.col("_b.y0"), F.col("_b.y1"))
-    )
-    hit = near.where(contains_point("polygons", px, py))
-    return hit.groupBy(key).agg(F.min_by(F.struct(*props), order).alias("_p")).select(key, *[F.col(f"_p.{p}").alias(p) for p in props])
+    whole, boxes, few = numbered(layer, order, "polygons", *props)
+    few = few if broadcast_bytes is None else few and broadcast_bytes > 0
+    near = box_hits(placed(points, key, x, y), boxes.select("_id", "_b"), size, many, hot=hot).select("_p", "_x", "_y", "_id")
+    shapes = whole.select("_id", order, "_g", F.struct(*props).alias("_s"))
+    met = near.join(F.broadcast(shapes), "_id") if few else spread_join(near, shapes, ["_id"], ["_p"], hot)
+    hit = met.where(contains_point("_g", F.col("_x"), F.col("_y")))
+    best = hit.groupBy("_p").agg(F.min_by("_s", order).alias("_s"))
+    return best.select(F.col("_p").alias(key), *[F.col(f"_s.{p}").alias(p) for p in props])
 
 
 # --- overlap -----------------------------------------------------------------------------
 
 
-def _clip(shape: list, a: tuple, b: tuple) -> list:
-    """Part of a convex shape left of the line a-b."""
+def _edge_rows(polygons: list) -> np.ndarray:
+    """Edges (x at the lower end, lower y, x at the upper end, upper y) of all rings; level ones bound no slab."""
+    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for rings in polygons for ring in rings if len(ring) > 1]
+    if not rings:
+        return np.empty((0, 4))
+    e = np.concatenate([np.c_[r[:-1], r[1:]] for r in rings])
+    e = e[e[:, 1] != e[:, 3]]
+    down = e[:, 1] > e[:, 3]
+    e[down] = e[down][:, [2, 3, 0, 1]]
+    return e
 
-    def side(p: tuple) -> float:
-        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
 
-    out = []
-    for p, q in zip(shape, shape[1:] + shape[:1]):
-        s, t = side(p), side(q)
-        if s >= 0:
-            out.append(p)
-        if (s > 0 > t) or (s < 0 < t):
-            f = s / (s - t)
-            out.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-    return out
+def _at(e: np.ndarray, y: float) -> np.ndarray:
+    return e[:, 0] + (e[:, 2] - e[:, 0]) * ((y - e[:, 1]) / (e[:, 3] - e[:, 1]))
 
 
-def _shape_area(shape: list) -> float:
-    total = 0.0
-    for p, q in zip(shape, shape[1:] + shape[:1]):
-        total += math.radians(q[0] - p[0]) * (math.sin(math.radians(p[1])) + math.sin(math.radians(q[1])))
-    return abs(total) * EARTH_M * EARTH_M / 2
-
-
-def _signed_triangles(polygons: list, origin: tuple) -> list:
-    """A geometry as a signed sum of triangles from one corner; holes count negative."""
-    out = []
-    for rings in polygons:
-        for n, ring in enumerate(rings):
-            pts = [(p["x"], p["y"]) for p in ring]
-            turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, pts[1:]))
-            sense = (1 if turn >= 0 else -1) * (1 if n == 0 else -1)
-            for p, q in zip(pts, pts[1:]):
-                cross = (p[0] - origin[0]) * (q[1] - origin[1]) - (q[0] - origin[0]) * (p[1] - origin[1])
-                if cross:
-                    tri = [origin, p, q] if cross > 0 else [origin, q, p]
-                    out.append((sense * (1 if cross > 0 else -1), tri))
-    return out
+def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Heights at which edges of a cross edges of b."""
+    out = [np.empty(0)]
+    for k in range(0, len(a), 512):
+        e, f = a[k : k + 512, None, :], b[None, :, :]
+        low, high = np.maximum(e[..., 1], f[..., 1]), np.minimum(e[..., 3], f[..., 3])
+        i, j = np.nonzero((low < high) & (np.minimum(e[..., 0], e[..., 2]) <= np.maximum(f[..., 0], f[..., 2])) & (np.minimum(f[..., 0], f[..., 2]) <= np.maximum(e[..., 0], e[..., 2])))
+        e, f, low, high = a[k + i], b[j], low[i, j], high[i, j]
+        d0 = _rows_at(e, low) - _rows_at(f, low)
+        d1 = _rows_at(e, high) - _rows_at(f, high)
+        hit = d0 * d1 < 0
+        out.append(low[hit] + (high - low)[hit] * (d0[hit] / (d0 - d1)[hit]))
+    return np.concatenate(out)
+
+
+def _rows_at(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return e[:, 0] + (e[:, 2] - e[:, 0]) * ((y - e[:, 1]) / (e[:, 3] - e[:, 1]))
 
 
 def overlap_sqm(first: list, second: list) -> float:
-    """Area common to two geometries, concave ones and holes included."""
-    if not len(first) or not len(second):
+    """Area common to two geometries, concave ones, parts and holes included.
+
+    A sweep over heights: between two neighbouring corners or crossings no edges cross, so both geometries are strips
+    between neighbouring edges there, and the common strips are trapezoids.
+    """
+    a, b = _edge_rows(first), _edge_rows(second)
+    if not len(a) or not len(b):
         return 0.0
-    corner = (first[0][0][0]["x"], first[0][0][0]["y"])
-    a, b = _signed_triangles(first, corner), _signed_triangles(second, corner)
+    low, high = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 3].max(), b[:, 3].max())
+    if low >= high:
+        return 0.0
+    a, b = (e[(e[:, 3] > low) & (e[:, 1] < high)] for e in (a, b))
+    ys = np.unique(np.clip(np.concatenate([[low, high], a[:, 1], a[:, 3], b[:, 1], b[:, 3], _crossings(a, b)]), low, high))
     total = 0.0
-    for s, t in a:
-        for u, w in b:
-            shape = t
-            for p, q in zip(w, w[1:] + w[:1]):
-                shape = _clip(shape, p, q)
-                if len(shape) < 3:
-                    break
+    for y0, y1 in zip(ys[:-1].tolist(), ys[1:].tolist()):
+        mid = (y0 + y1) / 2
+        strips = []
+        for e in (a, b):
+            e = e[(e[:, 1] < mid) & (e[:, 3] > mid)]
+            strips.append(e[np.argsort(_at(e, mid), kind="stable")])
+        p, q = strips
+        pm, qm = _at(p, mid), _at(q, mid)
+        if not len(pm) or not len(qm) or pm[-1] <= qm[0] or qm[-1] <= pm[0]:
+            continue
+        p0, p1, q0, q1 = _at(p, y0), _at(p, y1), _at(q, y0), _at(q, y1)
+        i = j = 0
+        wide = 0.0
+        while i + 1 < len(pm) and j + 1 < len(qm):
+            l0, l1 = (p0[i], p1[i]) if pm[i] >= qm[j] else (q0[j], q1[j])
+            r0, r1 = (p0[i + 1], p1[i + 1]) if pm[i + 1] <= qm[j + 1] else (q0[j + 1], q1[j + 1])
+            if min(pm[i + 1], qm[j + 1]) > max(pm[i], qm[j]):
+                wide += max(r0 - l0, 0.0) + max(r1 - l1, 0.0)
+            if pm[i + 1] <= qm[j + 1]:
+                i += 2
             else:
-                total += s * u * _shape_area(shape)
-    return max(total, 0.0)
+                j += 2
+        total += math.radians(wide) * (math.sin(math.radians(y1)) - math.sin(math.radians(y0)))
+    return total * EARTH_M * EARTH_M / 2
 
 
 @F.pandas_udf(T.DoubleType())
@@ -220,28 +290,32 @@ def _overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 
 def largest_overlap(
-    shapes: DataFrame, layer: DataFrame, key: str, *props: str, order: str = "layer_order", size: float = 0.25
+    shapes: DataFrame, layer: DataFrame, key: str, *props: str, order: str = "layer_order", size: float = 0.25, hot: int = HOT_ROWS
 ) -> DataFrame:
     """Layer polygon with the largest common area, and whether the shape is inside it at 99.9 % (GEO-04, JN-22).
 
-    Candidates share a grid cell and a bounding box; each pair is clipped once.
+    Boxes that share a grid cell name the pairs, and only they are filed; the geometries join a pair by their ids.
+    Each pair is swept once.
     """
-    s = layer_cells(shapes.select(key, F.col("polygons").alias("_s")), "_s", size).withColumnRenamed("_b", "_sb")
-    cells = small(layer_cells(layer.select(order, "polygons", *props), "polygons", size))
     c = F.col
+    s, sb, _ = numbered(shapes.withColumn("_k", c(key)), key, "polygons", "_k")
+    whole, boxes, few = numbered(layer, order, "polygons", *props)
+    s_cells = filed(sb.select(c("_id").alias("_sid"), "_b"), size).withColumnRenamed("_b", "_sb")
     touch = (c("_sb.x0") <= c("_b.x1")) & (c("_b.x0") <= c("_sb.x1")) & (c("_sb.y0") <= c("_b.y1")) & (c("_b.y0") <= c("_sb.y1"))
     # A pair that shares several cells is kept at the first common one only.
     first_i = F.floor(F.greatest("_sb.x0", "_b.x0") / size).cast("long")
     first_j = F.floor(F.greatest("_sb.y0", "_b.y0") / size).cast("long")
-    pairs = s.join(cells, ["_i", "_j"]).where(touch & (c("_i") == first_i) & (c("_j") == first_j))
-    scored = pairs.withColumn("overlap_sqm", _overlaps("_s", "polygons")).where(c("overlap_sqm") > SLIVER_SQM)
-    best = scored.groupBy(key).agg(
-        F.min_by(F.struct(*props, "overlap_sqm"), F.struct(-c("overlap_sqm"), c(order))).alias("_p"),
-        F.first("_s").alias("_s"),
-    )
+    pairs = spread_join(s_cells, filed(boxes.select("_id", "_b"), size), ["_i", "_j"], ["_sid"], hot, touch & (c("_i") == first_i) & (c("_j") == first_j))
+    own = s.select(c("_id").alias("_sid"), c("_k"), c("_g").alias("_s"))
+    of = whole.select("_id", order, "_g", F.struct(*props).alias("_props"))
+    met = pairs.select("_sid", "_id")
+    met = met.join(F.broadcast(of), "_id") if few else spread_join(met, of, ["_id"], ["_sid"], hot)
+    met = spread_join(met, own, ["_sid"], ["_id"], hot)
+    scored = met.select("_k", "_props", order, area("_s").alias("_area"), _overlaps("_s", "_g").alias("overlap_sqm")).where(c("overlap_sqm") > SLIVER_SQM)
+    best = scored.groupBy("_k").agg(F.min_by(F.struct("_props", "overlap_sqm", "_area"), F.struct(-c("overlap_sqm"), c(order))).alias("_p"))
     return best.select(
-        key, *[F.col(f"_p.{p}").alias(p) for p in props], F.col("_p.overlap_sqm").alias("overlap_sqm"),
-        (F.col("_p.overlap_sqm") >= area("_s") * 0.999).alias("fully_inside"))
+        c("_k").alias(key), *[c(f"_p._props.{p}").alias(p) for p in props], c("_p.overlap_sqm").alias("overlap_sqm"),
+        (c("_p.overlap_sqm") >= c("_p._area") * 0.999).alias("fully_inside"))
 
 
 # --- nearest line -----------------------------------------------------------------------
@@ -263,30 +337,28 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 def nearest_line(
     points: DataFrame, lines: DataFrame, key: str, *props: str, buffer_m: float = 250.0, order: str = "layer_order",
-    x: str = "lng", y: str = "lat", size: float | None = None,
+    x: str = "lng", y: str = "lat", size: float | None = None, many: int = MANY, hot: int = HOT_ROWS,
 ) -> DataFrame:
     """Nearest line within the buffer and its distance; the earlier line wins ties (GEO-05, JN-23).
 
-    Each segment is filed under the grid cells of its box grown by the buffer,
-    so a point looks at one cell.  Columns: key, props, distance_m.
+    A segment's box grown by the buffer holds every point that it may be nearest to; the quadtree of ``box_hits`` splits
+    cells of many segments.  Columns: key, props, distance_m.
     """
     deg = buffer_m / 111_000.0
     cell = size or max(4 * deg, 0.01)
-    segs = lines.select(order, *props, F.explode(_edges(F.col("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("_g"))
     c = F.col
+    parts = _edges(c("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    segs = lines.select(order, F.struct(*props).alias("_s"), F.explode(parts).alias("_id"))
     # Degrees of longitude shrink towards the poles.
-    grow = deg / F.greatest(F.cos(F.radians(F.greatest(F.abs("_g.a.y"), F.abs("_g.b.y")) + deg)), F.lit(0.01))
-    box = _cells(
-        F.least("_g.a.x", "_g.b.x") - grow, F.least("_g.a.y", "_g.b.y") - deg, F.greatest("_g.a.x", "_g.b.x") + grow,
-        F.greatest("_g.a.y", "_g.b.y") + deg, cell)
-    filed = small(segs.withColumn("_c", F.explode(box)).withColumns({"_i": c("_c.i"), "_j": c("_c.j")}).drop("_c"))
-    at = points.where(c(x).isNotNull() & c(y).isNotNull()).select(
-        key, c(x).alias("_x"), c(y).alias("_y"), F.floor(c(x) / cell).cast("long").alias("_i"), F.floor(c(y) / cell).cast("long").alias("_j"))
-    d = segment_distance(c("_x"), c("_y"), c("_g.a.x"), c("_g.a.y"), c("_g.b.x"), c("_g.b.y"))
-    near = computed_once(at.join(filed, ["_i", "_j"]).select(key, order, *props, d.alias("distance_m")))
-    near = near.where(c("distance_m") <= buffer_m)
-    best = near.groupBy(key).agg(F.min_by(F.struct(*props, "distance_m"), F.struct("distance_m", order)).alias("_p"))
-    return best.select(key, *[F.col(f"_p.{p}").alias(p) for p in (*props, "distance_m")])
+    grow = deg / F.greatest(F.cos(F.radians(F.greatest(F.abs("_id.a.y"), F.abs("_id.b.y")) + deg)), F.lit(0.01))
+    box = F.struct(
+        (F.least("_id.a.x", "_id.b.x") - grow).alias("x0"), (F.least("_id.a.y", "_id.b.y") - deg).alias("y0"),
+        (F.greatest("_id.a.x", "_id.b.x") + grow).alias("x1"), (F.greatest("_id.a.y", "_id.b.y") + deg).alias("y1"))
+    met = box_hits(placed(points, key, x, y), segs.withColumn("_b", box), cell, many, hot=hot)
+    d = segment_distance(c("_x"), c("_y"), c("_id.a.x"), c("_id.a.y"), c("_id.b.x"), c("_id.b.y"))
+    near = computed_once(met.select("_p", order, "_s", d.alias("distance_m"))).where(c("distance_m") <= buffer_m)
+    best = near.groupBy("_p").agg(F.min_by(F.struct("_s", "distance_m"), F.struct("distance_m", order)).alias("_m"))
+    return best.select(c("_p").alias(key), *[c(f"_m._s.{p}").alias(p) for p in props], c("_m.distance_m").alias("distance_m"))
 
 
 def jurisdictions(
