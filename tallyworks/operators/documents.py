@@ -340,6 +340,50 @@ def failed(df: DataFrame, status: str = "status") -> DataFrame:
     return df.where(F.col(status) != "ok")
 
 
+# Files of a run that are CSV, with their columns: fixed values.
+RUN_CSV = {
+    "tender_metadata": ("tender_id", "source_id", "source_tender_url", "title", "reference_number", "organisation", "department", "state", "location",
+                        "tender_category", "product_category", "form_of_contract", "tender_type", "tender_value_inr", "emd_inr", "published_date",
+                        "closing_date", "bid_opening_date", "has_corrigendum", "has_award", "discovered_at", "updated_at", "status"),
+    "document_metadata": ("document_id", "tender_id", "source_id", "source_url", "final_url", "anchor_text", "file_name", "file_path", "content_type",
+                          "file_extension", "file_size_bytes", "sha256", "downloaded_at", "status", "skip_reason", "error_message",
+                          "classified_type", "classification_confidence", "near_duplicate_of"),
+    "compliance_report": ("timestamp", "run_id", "source_id", "url", "decision", "rule_triggered", "reason"),
+    "failed_downloads": ("document_id", "tender_id", "source_id", "source_url", "file_name", "status", "skip_reason", "error_message", "downloaded_at"),
+    "relevance_summary": ("document_id", "classified_type", "relevance_score", "recommended_for_training", "recommended_for_demo", "reasons"),
+}
+
+
+def run_frames(
+    run_id: str, tenders: DataFrame, docs: DataFrame, texts: DataFrame, scores: DataFrame, log: DataFrame, sources: DataFrame, note: str
+) -> dict[str, DataFrame]:
+    """The nine files of a run, for ``export_run`` with ``RUN_CSV`` (SNK-05).
+
+    Manifests are JSON lines, a row per document, as one JSON value for all would have to be built in one task.  The run
+    manifest has one line with the counts of the run, then one per source.
+    """
+    for c in ("source_url", "downloaded_at"):
+        docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("string"))
+    times = docs.select("document_id", "source_url", "downloaded_at")
+    demo = demo_manifest(docs, scores).join(docs.select("document_id", "file_path"), "document_id").withColumn("run_id", F.lit(run_id))
+    counts = docs.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "ok").alias("documents_ok"), F.countDistinct("tender_id").alias("tenders")
+    )
+    run = counts.select(F.lit("run").alias("kind"), F.lit(run_id).alias("run_id"), F.lit(None).cast("string").alias("source_id"), F.struct("*").alias("counts"))
+    used = sources.select(F.lit("source").alias("kind"), F.lit(run_id).alias("run_id"), F.col("source_id").cast("string"))
+    return {
+        "tender_metadata": tenders,
+        "document_metadata": docs,
+        "extracted_text_index": text_index(texts),
+        "training_manifest": training_manifest(docs, scores, tenders, texts, note, run_id).join(times, "document_id"),
+        "demo_dataset_manifest": demo,
+        "compliance_report": log,
+        "failed_downloads": failed(docs),
+        "relevance_summary": relevance_summary(docs, scores),
+        "run_manifest": run.unionByName(used, allowMissingColumns=True),
+    }
+
+
 def run_counters(log: DataFrame, docs: DataFrame, texts: DataFrame, run: str = "run_id") -> DataFrame:
     """Counters per run from log, documents and texts (AGG-59).
 

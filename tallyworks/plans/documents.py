@@ -12,7 +12,7 @@ from tallyworks.operators import filters as fl
 from tallyworks.operators import pages as pg
 from tallyworks.operators import similarity as sim
 from tallyworks.plans.registry import CTES, as_text, query, rounded
-from tallyworks.session import checkpointed
+from tallyworks.session import checkpointed, new_path
 from tallyworks.sinks import tables as snk
 from tallyworks.sources import readers
 from tallyworks.sources.views import Views
@@ -179,6 +179,68 @@ def flt_13(v: Views) -> DataFrame:
     return dc.failed(v.docs).select("document_id", "status", "page_count")
 
 
+# Columns of each exported file that the check query compares, in order; reasons stand as JSON text.
+_COMPARED = {
+    "tender_metadata": ("tender_id", "department", "tender_category", "form_of_contract", "title"),
+    "document_metadata": ("document_id", "tender_id", "source_id", "file_name", "file_path", "file_size_bytes", "status", "classified_type"),
+    "extracted_text_index": ("document_id", "extracted_text_path", "language_guess", "page_count", "text_preview_length"),
+    "training_manifest": ("document_id", "tender_id", "source_id", "document_type", "file_path", "extracted_text_path", "department", "category",
+                          "contract_type", "language", "page_count", "relevance_score", "rights_note", "run_id"),
+    "demo_dataset_manifest": ("document_id", "tender_id", "source_id", "file_path", "classified_type", "relevance_score", "run_id"),
+    "compliance_report": ("timestamp", "run_id", "source_id", "decision", "rule_triggered"),
+    "failed_downloads": ("document_id", "tender_id", "source_id", "file_name", "status"),
+    "relevance_summary": ("document_id", "classified_type", "relevance_score", "recommended_for_training", "recommended_for_demo", "reasons"),
+    "run_manifest": ("kind", "run_id", "source_id", "documents", "documents_ok", "tenders"),
+}
+
+
+def _lines(file: str, rest: str, **given: str) -> str:
+    cells = ", ".join(f"COALESCE(CAST({given.get(c, c)} AS VARCHAR), '')" for c in _COMPARED[file])
+    return f"SELECT '{file}' AS file, CONCAT_WS('|', {cells}) AS line FROM {rest}"
+
+
+_EXPORTED = " UNION ALL ".join((
+    _lines("tender_metadata", "{manifest_t}", tender_category="category", form_of_contract="'EPC'", title="''"),
+    _lines("document_metadata", "{relevance}", file_path="file_name"),
+    _lines("extracted_text_index", "{docs}", extracted_text_path="file_name", language_guess="lang",
+           text_preview_length="LENGTH(CASE WHEN status = 'ok' THEN text ELSE '' END)"),
+    _lines("training_manifest", "{relevance} r LEFT JOIN {manifest_t} m ON r.tender_id = m.tender_id WHERE relevance_score >= 25 AND status = 'ok'",
+           tender_id="r.tender_id", document_type="classified_type", file_path="file_name", extracted_text_path="file_name",
+           contract_type="CASE WHEN m.tender_id IS NOT NULL THEN 'EPC' END", language="lang", rights_note="'public records'", run_id="'R-1'"),
+    _lines("demo_dataset_manifest", "{relevance} WHERE relevance_score >= 23", file_path="file_name", run_id="'R-1'"),
+    _lines("compliance_report", "{compliance_log}", timestamp="STRFTIME(\"at\", '%Y-%m-%dT%H:%M:%S')"),
+    _lines("failed_downloads", "{docs} WHERE status <> 'ok'"),
+    _lines("relevance_summary", "{relevance}", recommended_for_training="relevance_score >= 25 AND status = 'ok'", recommended_for_demo="relevance_score >= 23",
+           reasons="CASE WHEN reasons = '' THEN '[]' ELSE '[\"' || REPLACE(reasons, ', ', '\",\"') || '\"]' END"),
+    _lines("run_manifest", "(SELECT COUNT(*) AS documents, COUNT(*) FILTER (status = 'ok') AS documents_ok, COUNT(DISTINCT tender_id) AS tenders FROM {docs})",
+           kind="'run'", run_id="'R-1'", source_id="''"),
+    _lines("run_manifest", "(SELECT DISTINCT source_id FROM {docs})", kind="'source'", run_id="'R-1'", documents="''", documents_ok="''", tenders="''"),
+))
+
+
+@query("snk_05_export_run", _EXPORTED)
+def snk_05(v: Views) -> DataFrame:
+    docs = narrow(v).withColumn("file_path", F.col("file_name"))
+    ok = F.col("status") == "ok"
+    scores = checkpointed(relevance(docs)).withColumns({"recommended_for_training": (F.col("relevance_score") >= 25) & ok, "recommended_for_demo": F.col("relevance_score") >= 23})
+    texts = v.docs.select("document_id", F.col("file_name").alias("extracted_text_path"), F.col("lang").alias("language_guess"), "page_count",
+                          F.when(ok, F.col("text")).alias("text_preview"))
+    log = v.compliance_log.withColumnRenamed("at", "timestamp")
+    frames = dc.run_frames("R-1", tenders(v), docs, texts, scores, log, v.docs.select("source_id").distinct(), "public records")
+    folder = snk.export_run(frames, new_path(v.spark, "exports"), "R-1", dc.RUN_CSV)
+    out = None
+    for name, columns in _COMPARED.items():
+        if name in dc.RUN_CSV:
+            got = v.spark.read.option("header", True).option("escape", '"').schema(", ".join(f"`{c}` string" for c in dc.RUN_CSV[name])).csv(f"{folder}/{name}")
+        else:
+            got = v.spark.read.json(f"{folder}/{name}")
+            got = got.select("*", "counts.*") if name == "run_manifest" else got
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        one = got.select(F.lit(name).alias("file"), line.alias("line"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("flt_18_blank_pages", """
   SELECT conv_id, turn, TRIM(REGEXP_REPLACE(CASE WHEN turn = 2 THEN ' ' ELSE text END, '\\s+', '', 'g')) = '' AS blank FROM conversations""")
 def flt_18(v: Views) -> DataFrame:

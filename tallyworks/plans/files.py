@@ -65,27 +65,6 @@ def snk_04(v: Views) -> DataFrame:
     return v.spark.read.schema("bid_id long, company string, amount double").json(path)
 
 
-@query("snk_05_export_run", """
-  SELECT 'documents' AS file, COUNT(*) AS rows FROM {docs} UNION ALL SELECT 'compliance', COUNT(*) FROM {compliance_log} UNION ALL
-  SELECT 'failed', COUNT(*) FROM {docs} WHERE status <> 'ok'""")
-def snk_05(v: Views) -> DataFrame:
-    root = new_path(v.spark, "exports")
-    docs = v.docs.drop("text")
-    frames = {"documents": docs, "compliance": v.compliance_log, "failed": docs.where("status <> 'ok'")}
-    fields = {"documents": docs.columns, "compliance": ["id", "at", "run_id", "decision", "rule_triggered"]}
-    snk.export_run(frames, root, "R-1", fields)
-    out = None
-    for name in frames:
-        if name in fields:
-            schema = ", ".join(f"`{c}` string" for c in fields[name])
-            got = v.spark.read.option("header", True).schema(schema).csv(f"{root}/R-1/{name}")
-        else:
-            got = v.spark.read.schema(docs.schema).json(f"{root}/R-1/{name}")
-        one = got.select(F.lit(name).alias("file"), F.lit(1).alias("n")).groupBy("file").agg(F.count("n").alias("rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("snk_09_append_log", "SELECT decision, COUNT(*) AS n FROM {compliance_log} GROUP BY 1")
 def snk_09(v: Views) -> DataFrame:
     path = new_path(v.spark, "log")

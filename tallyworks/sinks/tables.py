@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,7 @@ def csv_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    csv_cells(df, fields).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    csv_cells(df, fields).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", "\"").csv(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -55,14 +56,31 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_run(frames: Mapping[str, DataFrame], root: str, run_id: str, csv_fields: Mapping[str, Sequence[str]]) -> None:
-    """All files of one run under root/run_id; CSV where fields are given, else JSON lines (SNK-05)."""
-    for name, df in frames.items():
-        path = f"{root}/{run_id}/{name}"
-        if name in csv_fields:
-            write_csv(df, path, csv_fields[name])
-        else:
-            write_json(df, path)
+def export_run(frames: Mapping[str, DataFrame], root: str, run_id: str, csv_fields: Mapping[str, Sequence[str]]) -> str:
+    """All files of one run under root/run_id, or none; CSV where fields are given, else JSON lines (SNK-05).
+
+    Files are written to a folder of their own beside the runs, which is renamed when all are whole.  If one fails, the
+    folder goes and a run of that name stays as it was.  Returns the folder of the run.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    staged, final = path_of(f"{root}/_staged-{run_id}-{uuid.uuid4().hex}"), path_of(f"{root}/{run_id}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for name, df in frames.items():
+            path = f"{staged}/{name}"
+            if name in csv_fields:
+                write_csv(df, path, csv_fields[name])
+            else:
+                write_json(df, path)
+        if fs.exists(final):
+            fs.delete(final, True)
+        if not fs.rename(staged, final):
+            raise OSError(f"could not rename {staged} to {final}")
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    return str(final)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

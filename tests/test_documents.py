@@ -221,3 +221,22 @@ def test_readers(spark, tmp_path):
     r = readers.read_geojson(spark, str(geo), {"district": "district"}, {"district": "NEW_DISTRI"}).collect()
     assert len(r) == 1 and r[0].district == "Alluri Raju" and r[0].polygons[0][0][1].x == 1.0
     assert "document_type" in schemas.TRAINING_MANIFEST
+
+
+def test_a_run_is_exported_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyworks.sinks import tables as snk
+
+    good = spark.createDataFrame([(1, "a,\"b\"\nc", None), (2, None, 2.5)], "id int, note string, x double")
+    fail = F.udf(lambda x: 1 // 0, "int")
+    root = str(tmp_path)
+    with pytest.raises(Exception):
+        snk.export_run({"a": good, "b": good.select(fail("id").alias("id"))}, root, "R-9", {"a": ["id", "note", "gone"]})
+    assert list(tmp_path.iterdir()) == []
+    for _ in range(2):  # a later export of the same run replaces it
+        folder = snk.export_run({"a": good, "b": good}, root, "R-9", {"a": ["id", "note", "gone"]})
+    assert [p.name for p in tmp_path.iterdir()] == ["R-9"]
+    assert sorted(p.name for p in (tmp_path / "R-9").iterdir()) == ["a", "b"]
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/a").collect()
+    assert sorted((r.id, r.gone) for r in back) == [("1", None), ("2", None)]
