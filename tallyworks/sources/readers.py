@@ -109,6 +109,43 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+# How GeoJSON names a feature, and what stands between two of them if its type comes first (an id may come before it).
+_FEATURE = '"Feature"'
+_BETWEEN = r'\}\s*,\s*\{\s*("id"\s*:\s*("[^"]*"|[0-9.]+)\s*,\s*)?"type"\s*:\s*$'
+_HEAD = r'\[\s*\{\s*("id"\s*:\s*("[^"]*"|[0-9.]+)\s*,\s*)?"type"\s*:\s*$'
+
+
+def _features(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (layer_order, f) of a layer: its features in order, from byte ranges of its files.
+
+    A record ends where a feature is named, so Spark splits a file at feature borders and no row holds a layer.  Places
+    come from counts per byte range.  A layer that is written another way (the type behind other members, or its name
+    in a property) is told by its records and read as one document.
+    """
+    m = F.col("_metadata")
+    cut = spark.read.option("lineSep", _FEATURE).text(path).select(
+        "value", m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at")
+    )
+    value = F.col("value")
+    plain = value.rlike(r"^\s*,") & value.contains('"geometry"')
+    ends = value.rlike(_BETWEEN)
+    # The last record of a file ends otherwise, the first holds no feature.
+    seen = cut.groupBy("file", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.count_if(~plain).alias("odd"), F.count_if(~ends).alias("open"), F.count_if(value.rlike(_HEAD)).alias("heads")
+    ).toPandas()  # a row per byte range
+    per_file = seen.groupby("file")[["odd", "open", "heads"]].sum()
+    # One record without a feature, the head; two that do not end between features: the head and the last.
+    if ((per_file.odd != 1) | (per_file.open != 2) | (per_file.heads != 1)).any():
+        whole = spark.read.option("multiLine", True).schema(schemas.GEOJSON).json(path)
+        return whole.select(F.posexplode("features").alias("layer_order", "f"))
+    seen = seen.sort_values(["file", "start"])
+    seen["before"] = seen.groupby("file").n.cumsum() - seen.n - 1
+    places = [(f, int(s), int(a), int(b)) for f, s, a, b in seen[["file", "start", "first", "before"]].itertuples(index=False)]
+    places = F.broadcast(spark.createDataFrame(places, "file string, start long, first long, before long"))
+    found = cut.join(places, ["file", "start"]).where(plain)
+    return found.select((F.col("at") - F.col("first") + F.col("before")).cast("int").alias("layer_order"), F.from_json(F.concat(F.lit('{"type":"Feature"'), value), schemas.FEATURE).alias("f"))
+
+
 def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str], raw_names: Mapping[str, str]) -> DataFrame:
     """Polygons and multipolygons of a layer with tidy names (SRC-09).
 
@@ -116,13 +153,7 @@ def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str], raw_n
     ``raw_names`` to those of a raw one; a feature that carries the first clean
     property counts as clean.  Coordinates keep x and y only.
     """
-    feats = (
-        spark.read.option("multiLine", True)
-        .schema(schemas.GEOJSON)
-        .json(path)
-        .select(F.posexplode("features").alias("layer_order", "f"))
-        .where(F.col("f.geometry.type").isin("Polygon", "MultiPolygon"))
-    )
+    feats = _features(spark, path).where(F.col("f.geometry.type").isin("Polygon", "MultiPolygon"))
     is_clean = F.col("f.properties")[next(iter(names.values()))].isNotNull()
     cols: list[Column] = [
         F.when(is_clean, F.col("f.properties")[names[k]])

@@ -67,7 +67,5 @@ SOURCE_REGISTRY = (
     "limits struct<rate_limit_seconds:double,max_pages_per_run:int,max_documents_per_run:int>, "
     "discovery struct<mode:string,sitemap_url:string,search_pages:array<string>>"
 )
-GEOJSON = (
-    "type string, features array<struct<type:string,properties:map<string,string>,"
-    "geometry:struct<type:string,coordinates:string>>>"
-)
+FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+GEOJSON = f"type string, features array<{FEATURE}>"
