@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,33 +49,116 @@ def standardised(feats: DataFrame, cols: Sequence[str] = FEATURES, logged: Seque
     return df.withColumns(z).drop("_st", *[f"_x_{c}" for c in cols])
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance) of every row; equal distances go to the first centre."""
+    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+    near = d.argmin(1)
+    return near, ((x - centres[near]) ** 2).sum(1)
+
+
+def _passed(rows: DataFrame, centres: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """One pass for all sets of centres: (sums, counts, total squared distance) of each; one row per centre comes back."""
+    known = rows.sparkSession.sparkContext.broadcast(centres)
+    dim = centres[0].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(c), dim + 2)) for c in known.value]
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+            for c, s in zip(known.value, sums):
+                near, d = _nearest(x, c)
+                for i, v in enumerate((*x.T, np.ones(len(x)), d)):
+                    s[:, i] += np.bincount(near, v, len(c))
+        for r, s in enumerate(sums):
+            cells = [pa.array(np.full(len(s), r)), pa.array(np.arange(len(s))), *(pa.array(s[:, i]) for i in range(dim + 2))]
+            yield pa.RecordBatch.from_arrays(cells, ["r", "c", *(f"v{i}" for i in range(dim + 2))])
+
+    schema = "r long, c long, " + ", ".join(f"v{i} double" for i in range(dim + 2))
+    found = rows.select("_v").mapInArrow(run, schema).groupBy("r", "c").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(dim + 2)])
+    out = [np.zeros((len(c), dim + 2)) for c in centres]
+    for row in found.collect():
+        out[row[0]][row[1]] = row[2:]
+    return [o[:, :dim] for o in out], [o[:, dim] for o in out], np.array([o[:, dim + 1].sum() for o in out])
+
+
+def _drawn(rows: DataFrame, centres: list[np.ndarray], cost: np.ndarray, many: float, seed: int) -> list[np.ndarray]:
+    """One pass: each set of centres with rows drawn in proportion to their squared distance, ``many`` on average."""
+    known = rows.sparkSession.sparkContext.broadcast((centres, cost))
+    dim = centres[0].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sets, total = known.value
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+            for r, c in enumerate(sets):
+                hit = np.flatnonzero(rng.random(len(x)) * max(total[r], 1e-300) < many * _nearest(x, c)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r)), pa.array(x[hit].tolist(), pa.list_(pa.float64()))], ["r", "x"])
+
+    got = rows.select("_v").mapInArrow(run, "r long, x array<double>").toArrow().sort_by("r")
+    r = got.column("r").to_numpy()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    return [np.unique(np.r_[c, x[r == i]], axis=0) for i, c in enumerate(centres)]
+
+
+def _spread_out(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of few weighted points, each far from those before it (k-means++), then moved by a few rounds."""
+    chosen = [points[rng.choice(len(points), p=weight / weight.sum())]]
+    while len(chosen) < k:
+        d = weight * _nearest(points, np.array(chosen))[1]
+        chosen.append(points[rng.choice(len(points), p=d / d.sum())] if d.sum() > 0 else chosen[-1])
+    c = np.array(chosen)
+    for _ in range(10):
+        near = _nearest(points, c)[0]
+        n = np.bincount(near, weight, k)
+        c = np.where(n[:, None] > 0, np.stack([np.bincount(near, weight * v, k) for v in points.T], 1) / np.maximum(n, 1e-300)[:, None], c)
+    return c
+
+
 def segment(
-    feats: DataFrame, k: int = 6, restarts: int = 10, seed: int = 42, cols: Sequence[str] = FEATURES, at_once: int = 5
+    feats: DataFrame, k: int = 6, restarts: int = 10, seed: int = 42, cols: Sequence[str] = FEATURES, rounds: int = 12, tol: float = 1e-4
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster the outlets; returns (rows with cluster_id, centroids) (ML-01).
 
-    The best of ``restarts`` runs by training cost is kept; ``at_once`` runs
-    share the cluster.  Only k centroids come back to the driver.
+    All restarts share each pass over the rows: centres are drawn as in k-means||, then a round assigns a row to the
+    centres of every restart at once and adds up one row per centre.  The restart of the least cost is kept; rows go to
+    their nearest centre.  A restart that has stopped moving waits for the others.  With fewer distinct rows than ``k``
+    there are as many clusters as distinct rows.
     """
-    df = standardised(feats, cols).withColumn("_v", array_to_vector(F.array(*[f"z_{c}" for c in cols])))
-    # One row per outlet: as many tasks per iteration as the rows are worth.
-    tasks = max(1, feats.count() // 50_000)
-    df = df.drop(*[f"z_{c}" for c in cols]).repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        df.count()  # fill the cache once, before the runs share it
-
-        def run(i: int):
-            return KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster_id").fit(df)
-
-        with ThreadPool(at_once) as pool:
-            runs = pool.map(inheritable_thread_target(feats.sparkSession)(run), range(restarts))
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-        spark = feats.sparkSession
-        rows = [(i, *[float(v) for v in c]) for i, c in enumerate(best.clusterCenters())]
-        schema = "cluster_id int, " + ", ".join(f"{c} double" for c in cols)
-        return best.transform(df).drop("_v"), spark.createDataFrame(rows, schema)
-    finally:
-        df.unpersist()
+    spark = feats.sparkSession
+    df = checkpointed(standardised(feats, cols).withColumn("_v", F.array(*[f"z_{c}" for c in cols])).drop(*[f"z_{c}" for c in cols]))
+    first = df.select("_v").orderBy(F.xxhash64("_v", F.lit(seed))).limit(restarts).collect()
+    if not first:
+        return df.drop("_v").withColumn("cluster_id", F.lit(0)), spark.createDataFrame([], "cluster_id int, " + ", ".join(f"{c} double" for c in cols))
+    centres = [np.array([first[i % len(first)][0]]) for i in range(restarts)]
+    for step in range(2):
+        cost = _passed(df, centres)[2]
+        centres = _drawn(df, centres, cost, 2.0 * k, seed + step)
+    weight = _passed(df, centres)[1]
+    rng = np.random.default_rng(seed)
+    now = []
+    for c, w in zip(centres, weight):
+        chosen = np.unique(_spread_out(c[w > 0], w[w > 0], k, rng), axis=0)
+        now.append(chosen)
+    for _ in range(rounds):
+        sums, n, cost = _passed(df, now)
+        # A centre without rows is dropped.
+        moved = [s[m > 0] / m[m > 0][:, None] for s, m in zip(sums, n)]
+        still = all(len(a) == len(b) and np.abs(a - b).max() <= tol for a, b in zip(now, moved))
+        now = moved
+        if still:
+            break
+    cost = _passed(df, now)[2]
+    best = now[int(np.argmin(np.where([len(c) == max(map(len, now)) for c in now], cost, np.inf)))]
+    best = best[np.lexsort(best.T[::-1])]
+    rows = [(i, *map(float, c)) for i, c in enumerate(best)]
+    # Squared distances to k centres, on the JVM; the first of equal ones is taken.
+    far = [sum((F.col("_v")[j] - F.lit(float(v))) ** 2 for j, v in enumerate(c)) for c in best]
+    near = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))
+    centroids = spark.createDataFrame(rows, "cluster_id int, " + ", ".join(f"{c} double" for c in cols))
+    return df.withColumn("cluster_id", near["i"]).drop("_v"), centroids
 
 
 def name_clusters(centroids: DataFrame) -> DataFrame:

@@ -609,6 +609,21 @@ def ml_01(v: Views) -> DataFrame:
     return rows.join(F.broadcast(models.name_clusters(centroids)), "cluster_id").select("outlet_code", "cluster_id", "segment")
 
 
+@query("ml_01_segment_invariants", "SELECT COUNT(*) AS outlets, 6 AS clusters, 0 AS misplaced FROM {feats}")
+def ml_01_invariants(v: Views) -> DataFrame:
+    """Rows in no cluster, or at another one than the nearest, are misplaced."""
+    f = feats(v)
+    rows, centroids = models.segment(f)
+    every = centroids.agg(F.collect_list(F.struct("cluster_id", *models.FEATURES))).scalar()
+    z = models.standardised(f).withColumn("_c", every)
+    far = F.transform("_c", lambda c: F.struct(c["cluster_id"].alias("c"), sum(F.pow(F.col(f"z_{x}") - c[x], 2) for x in models.FEATURES).alias("d")))
+    near = z.select("outlet_code", far.alias("d"))
+    met = near.join(rows.select("outlet_code", "cluster_id"), "outlet_code", "left")
+    own = F.get(F.filter("d", lambda x: x["c"] == F.col("cluster_id")), F.lit(0))["d"]
+    lost = ~F.coalesce(own <= F.array_min(F.transform("d", lambda x: x["d"])) + 1e-6, F.lit(False))
+    return met.agg(F.count(F.lit(1)).alias("outlets"), F.countDistinct("cluster_id").cast("int").alias("clusters"), F.count_if(lost).cast("int").alias("misplaced"))
+
+
 @query("ml_03_isolation_forest")
 def ml_03(v: Views) -> DataFrame:
     return models.anomalies(feats(v)).select("outlet_code", "anomaly_raw", "anomaly", "anomaly_reason")
