@@ -311,7 +311,11 @@ def largest_overlap(
     met = pairs.select("_sid", "_id")
     met = met.join(F.broadcast(of), "_id") if few else spread_join(met, of, ["_id"], ["_sid"], hot)
     met = spread_join(met, own, ["_sid"], ["_id"], hot)
-    scored = met.select("_k", "_props", order, area("_s").alias("_area"), _overlaps("_s", "_g").alias("overlap_sqm")).where(c("overlap_sqm") > SLIVER_SQM)
+    # A sweep costs far more than its bytes tell, so pairs are dealt by number; the filter must not sweep them again.
+    cores = met.sparkSession.sparkContext.defaultParallelism
+    met = met.repartition(max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores), "_sid", "_id")
+    scored = computed_once(met.select("_k", "_props", order, area("_s").alias("_area"), _overlaps("_s", "_g").alias("overlap_sqm")))
+    scored = scored.where(c("overlap_sqm") > SLIVER_SQM)
     best = scored.groupBy("_k").agg(F.min_by(F.struct("_props", "overlap_sqm", "_area"), F.struct(-c("overlap_sqm"), c(order))).alias("_p"))
     return best.select(
         c("_k").alias(key), *[c(f"_p._props.{p}").alias(p) for p in props], c("_p.overlap_sqm").alias("overlap_sqm"),
