@@ -37,6 +37,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, limit) else df
 
 
+def _zero(never: Column) -> Column:
+    """Salt 0 of the rows where ``never`` is false.
+
+    A literal would be folded into the join condition, and the join would be dealt by the keys alone.
+    """
+    return never.cast("int").alias("_lsalt")
+
+
 def join_stats(
     rows: DataFrame,
     stats: DataFrame,
@@ -58,7 +66,7 @@ def join_stats(
         *[F.col(k).alias(a) for k, a in zip(keys, hk)], F.struct(*extra).alias("_hs")
     )
     light = stats.where(F.col(n) <= hot).select(
-        *[F.col(k).alias(a) for k, a in zip(keys, lk)], F.struct(*extra).alias("_ls"), F.lit(0).alias("_lsalt")
+        *[F.col(k).alias(a) for k, a in zip(keys, lk)], F.struct(*extra).alias("_ls"), _zero(F.col(n) > hot)
     )
     on_heavy, on_light = F.lit(True), F.col("_salt") == F.col("_lsalt")
     for k, h, l in zip(keys, hk, lk):
@@ -74,6 +82,31 @@ def join_stats(
     return out.select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
 
 
+def spread_lookup(
+    rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], hot: int = HOT_ROWS, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Left-join a table of one row per key to rows whose key is null or the same for any share of them.
+
+    A table of at most ``limit`` (short) rows is broadcast.  Otherwise null keys, which meet nothing, and keys of over
+    ``hot`` rows, known to the table or not, leave the shuffle by key: they are dealt over all tasks by a hash of
+    ``spread``.  There are at most total/hot such keys, so their rows of the table are broadcast.
+    """
+    cols = [c for c in table.columns if c != key]
+    if bounded(table, limit):
+        return rows.join(F.broadcast(table), key, "left").select(*rows.columns, *cols)
+    n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    known = n.join(table, key, "left")
+    found = F.struct(*cols)
+    heavy = F.broadcast(known.where(F.col("_n") > hot).select(F.col(key).alias("_hk"), found.alias("_hs")))
+    light = known.where(F.col("_n") <= hot).select(F.col(key).alias("_lk"), found.alias("_ls"), _zero(F.col("_n") > hot))
+    apart = F.col(key).isNull() | F.col("_hk").isNotNull()
+    dealt = rows.join(heavy, F.col(key) == F.col("_hk"), "left").withColumn(
+        "_salt", F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("int") + 1).otherwise(0)
+    )
+    met = dealt.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_lsalt")), "left")
+    return met.withColumn("_s", F.coalesce("_hs", "_ls")).select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in cols])
+
+
 def spread_join(
     rows: DataFrame, other: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: int = HOT_ROWS, cond: Column | None = None
 ) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.functions.dates import whole_days
+from tallyworks.functions.skew import BROADCAST_ROWS, HOT_ROWS, spread_lookup
 
 APPROVED = ("approved", "construction_monitoring_active", "occupancy_review")
 
@@ -151,15 +154,18 @@ def first_officer(officers: DataFrame, role: str, key: str) -> DataFrame:
     )
 
 
-def route(apps: DataFrame, officers: DataFrame) -> DataFrame:
+def route(
+    apps: DataFrame, officers: DataFrame, row: Sequence[str] = ("id",), hot: int = HOT_ROWS, limit: int = BROADCAST_ROWS
+) -> DataFrame:
     """Officer by ULB, else by village; new status; escalation flag (JN-20, RUL-23).
 
-    The officer tables hold one row per jurisdiction.
+    The officer tables hold one row per jurisdiction.  Applications outside of any ULB, and those of a large one, do not
+    meet in one task: ``spread_lookup`` deals them over all tasks by ``row``.
     """
     ulb = first_officer(officers, "ulb_officer", "ulb").withColumnRenamed("officer_id", "_u")
     vil = first_officer(officers, "panchayat_secretary", "village").withColumnRenamed("officer_id", "_v")
     reviewer = officers.where("role = 'dtcp_reviewer'").agg(F.min_by("officer_id", "ord")).scalar()
-    j = apps.join(ulb, "ulb", "left").join(vil, "village", "left")
+    j = spread_lookup(spread_lookup(apps, ulb, "ulb", row, hot, limit), vil, "village", row, hot, limit)
     by_ulb = F.coalesce("inside_ulb", F.lit(False)) & F.col("ulb").isNotNull()
     officer = F.when(by_ulb, F.col("_u")).otherwise(F.col("_v"))
     escalate = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import ids
 from tallyworks.functions.numbers import clamp, col, computed_once, half_even, kept, lookup
-from tallyworks.functions.skew import HOT_ROWS, join_stats
+from tallyworks.functions.skew import BROADCAST_ROWS, HOT_ROWS, bounded, join_stats, small, spread_join, spread_lookup
 from tallyworks.functions.text import contains_any
 from tallyworks.session import checkpointed
 
@@ -415,24 +415,31 @@ def source_gate(sources: DataFrame) -> DataFrame:
     return sources.withColumns({"allowed": why.isNull(), "refusal": why})
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, row: Sequence[str] = ("source_id", "url")) -> DataFrame:
+def robots_allowed(
+    urls: DataFrame, rules: DataFrame, row: Sequence[str] = ("source_id", "url"), hot: int = HOT_ROWS, limit: int = BROADCAST_ROWS
+) -> DataFrame:
     """Longest matching robots rule per URL (RUL-20).
 
-    rules: source_id, prefix, allow.  Each URL probes the prefixes of its own
-    path, cut only at lengths that occur in its source's rules; the join is by
-    (source, prefix), never URL against all rules.  An absent rule allows; an
-    unreachable file (``robots_available`` false) allows seeds only.
+    rules: source_id, prefix, allow.  The prefixes of a source are filed by
+    length; each URL probes its own path once per length that occurs in its
+    source, never against all rules.  Sources and prefixes that most URLs share
+    are dealt over all tasks (``spread_lookup``, ``spread_join``).  ``row`` names the
+    columns that tell URLs apart.  An absent rule allows; an unreachable file
+    (``robots_available`` false) allows seeds only.
     """
-    lengths = rules.groupBy("source_id").agg(F.array_distinct(F.collect_set(F.length("prefix"))).alias("_lens"))
+    # Allow wins between rules of equal length.  Written once, as both the lengths and the probes read it.
+    r = checkpointed(rules.groupBy("source_id", "prefix").agg(F.max("allow").alias("_rule")))
+    lengths = r.groupBy("source_id").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lens"))
     path = F.concat(ids.url_part("url", "path"), F.when(ids.url_part("url", "query") != "", F.concat(F.lit("?"), ids.url_part("url", "query"))).otherwise(""))
-    u = urls.join(lengths, "source_id", "left").withColumn("_path", F.when(path == "", "/").otherwise(path))
+    keyed = urls.select(*dict.fromkeys([*row, "source_id"]), F.when(path == "", "/").otherwise(path).alias("_path"))
+    u = spread_lookup(keyed, lengths, "source_id", row, hot, limit)
     cuts = F.filter("_lens", lambda n: n <= F.length("_path"))
-    probe = u.select(*row, F.explode(F.transform(cuts, lambda n: F.substring("_path", F.lit(1), n))).alias("prefix"))
-    # Allow wins between rules of equal length.
-    r = rules.groupBy("source_id", "prefix").agg(F.max("allow").alias("allow"))
-    hit = probe.join(r, ["source_id", "prefix"]).groupBy(*row).agg(
-        F.max_by("allow", F.length("prefix")).alias("_allow")
-    )
+    probe = u.select(*dict.fromkeys([*row, "source_id"]), F.explode(F.transform(cuts, lambda n: F.substring("_path", F.lit(1), n))).alias("prefix"))
+    if bounded(r, limit):
+        met = probe.join(F.broadcast(r), ["source_id", "prefix"])
+    else:
+        met = spread_join(probe, r, ["source_id", "prefix"], row, hot)
+    hit = met.groupBy(*row).agg(F.max_by("_rule", F.length("prefix")).alias("_allow"))
     out = urls.join(hit, list(row), "left")
     by_rule = F.coalesce("_allow", F.lit(True))
     return out.withColumn(
@@ -449,7 +456,7 @@ def policy_decisions(frontier: DataFrame, sources: DataFrame, blocked: Sequence[
     """
     s = sources.select("source_id", "approved", "base_url", "allowed_paths", "allowed_file_extensions",
                        "robots_required", "max_pages_per_run", "max_documents_per_run")
-    j = frontier.join(s, "source_id")
+    j = frontier.join(small(s), "source_id")
     scheme, base_scheme = F.lower(ids.url_part("url", "scheme")), F.lower(ids.url_part("base_url", "scheme"))
     path = ids.url_part("url", "path")
     path = F.when(path == "", "/").otherwise(path)
@@ -470,7 +477,9 @@ def policy_decisions(frontier: DataFrame, sources: DataFrame, blocked: Sequence[
         .when(F.col("robots_required") & ~F.col("robots_loaded"), "robots_not_loaded")
         .when(F.col("robots_required") & ~F.col("robots_ok"), "robots_disallow")
     )
-    j = j.withColumns({"is_file": is_file, "_rule": rule})
+    # Written once, as the caps and the result both read it.
+    j = checkpointed(j.select("source_id", "seq", "url", "breaker_open", "max_pages_per_run", "max_documents_per_run",
+                              is_file.alias("is_file"), rule.alias("_rule")))
     # The caps are small per-run limits: a rank limit keeps cap+1 rows per source and kind.
     ok = j.where(F.col("_rule").isNull())
     cap = F.when(F.col("is_file"), F.col("max_documents_per_run")).otherwise(F.col("max_pages_per_run"))

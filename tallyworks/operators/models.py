@@ -237,9 +237,32 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
-def drawn_below(n: int, sample: int) -> int:
-    """A row joins a tree if its 63-bit hash is below this: 1.25 * sample of n rows do on average, for any n."""
-    return min((1 << 63) - 1, int(1.25 * sample / max(n, 1) * (1 << 63)))
+def drawn_share(n: int, sample: int) -> float:
+    """Chance that a row joins a tree: 1.25 * sample of n rows do on average, for any n."""
+    return min(1.0, 1.25 * sample / max(n, 1))
+
+
+def trees_joined(row_id: str, share: float, trees: int, seed: int) -> Column:
+    """Numbers of the trees that a row joins, each with chance ``share``, by geometric skips.
+
+    A hash of the row says how many trees it skips before the first one it joins, a further hash how many until the
+    next.  At large n nearly all rows skip every tree, so a row costs one hash; no hash depends on where the row is read.
+    """
+    if share >= 1:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+    log_stay = float(np.log1p(-share))
+
+    def following(step: Column) -> Column:
+        unit = (F.shiftrightunsigned(F.xxhash64(F.col(row_id), step, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+        return F.floor(F.least(F.log(unit) / F.lit(log_stay), F.lit(float(trees)))).cast("int")
+
+    def on(joined: Column, step: Column) -> Column:
+        last = F.element_at(joined, -1)
+        return F.when(last >= trees, joined).otherwise(F.concat(joined, F.array(last + 1 + following(step))))
+
+    first = following(F.lit(0))
+    skips = F.aggregate(F.sequence(F.lit(1), F.lit(trees)), F.array(first), on)
+    return F.when(first < trees, F.filter(skips, lambda t: t < trees)).otherwise(F.array().cast("array<int>"))
 
 
 def fit_forest(
@@ -247,18 +270,13 @@ def fit_forest(
 ) -> list[list[tuple[int, float, int, int, float]]]:
     """Grow the trees in parallel, each on a hashed sample of about ``sample`` rows (ML-03).
 
-    Rows choose their trees by hash, so about trees*sample rows are shuffled in
-    total and no tree sees more than it should.  The forest is bounded by
-    trees * 2 * sample nodes and comes back to the driver.
+    Rows choose their trees by ``trees_joined``, so about trees*sample rows are
+    shuffled in total and no tree sees more than it should.  The forest is
+    bounded by trees * 2 * sample nodes and comes back to the driver.
     """
     n = df.count()
-    below = drawn_below(n, sample)
-    picks = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.shiftrightunsigned(F.xxhash64(F.col(row_id), t, F.lit(seed)), 1) < F.lit(below),
-    )
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
-    sampled = df.select(row_id, *x, F.explode(picks).alias("tree"))
+    sampled = df.select(row_id, *x, F.explode(trees_joined(row_id, drawn_share(n, sample), trees, seed)).alias("tree"))
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.functions.numbers import computed_once, kept
+from tallyworks.functions.skew import HOT_ROWS, join_stats
 
 _RULE = re.compile(r"^\s*(?:IF\b(?P<cond>[^:]*):\s*)?REQUIRE\b(?P<req>[^:]*)$", re.I | re.S)
 # Words, numbers, comparison signs and parentheses; everything else is refused.
@@ -249,16 +250,18 @@ def unmappable(rules: DataFrame) -> DataFrame:
 
 
 def page_windows(pages: DataFrame, size: int, overlap: int = 0, doc: str = "doc", page: str = "page_number",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", hot: int = HOT_ROWS) -> DataFrame:
     """Overlapping windows of consecutive pages with their joined text (WIN-14).
 
     Pages are numbered from 1 without gaps.  A page knows its windows by
-    arithmetic, so no range join is needed; a window holds ``size`` pages.
+    arithmetic, so no range join is needed; a window holds ``size`` pages.  The
+    pages of a document above ``hot`` of them learn its last page by broadcast
+    and are never gathered.
     """
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("need size >= 1 and 0 <= overlap < size")
     step = size - overlap
-    last = pages.groupBy(doc).agg(F.max(page).alias("_last"))
+    last = pages.groupBy(doc).agg(F.max(page).alias("_last"), F.count(F.lit(1)).alias("_pages"))
     i = F.col(page) - 1
     low = F.greatest(F.ceil((i - size + 1) / step), F.lit(0)).cast("long")
     # Windows start at multiples of the step until one reaches the last page.
@@ -267,7 +270,7 @@ def page_windows(pages: DataFrame, size: int, overlap: int = 0, doc: str = "doc"
     w = F.when(low <= high, F.sequence(low, high))
     body = F.concat(F.lit("[Page "), F.col(page).cast("string"), F.lit("]\n"), F.col(text))
     return (
-        pages.join(last, doc)
+        join_stats(pages, last, [doc], "_pages", [page], hot)
         .select(doc, F.col(page).alias("_p"), body.alias("_b"), F.explode(w).alias("window_no"))
         .groupBy(doc, "window_no")
         .agg(

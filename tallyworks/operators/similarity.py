@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import vectors as vec
 from tallyworks.functions.numbers import computed_once, half_even, half_up
-from tallyworks.functions.ranking import row_numbers
-from tallyworks.functions.skew import small
+from tallyworks.functions.ranking import prefix_sum, row_numbers
+from tallyworks.functions.skew import HOT_ROWS, small
 from tallyworks.functions.text import tokens
 from tallyworks.operators.filters import top_per_group
 from tallyworks.session import checkpointed
@@ -32,6 +32,24 @@ def paragraphs(df: DataFrame, key: str = "document_id", text: str = "text") -> D
     return df.select(key, F.posexplode(squeezed).alias("ordinal", "text"))
 
 
+def joined_paragraphs(
+    parts: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", hot: int = HOT_ROWS
+) -> DataFrame:
+    """(keys, ordinal, text) of the paragraphs of texts that are given in parts, such as turns or pages (TXT-01).
+
+    A paragraph ends with its part.  Each part is split where it is read; its first ordinal is the number of paragraphs in
+    earlier parts of the same text, a running sum over range partitions, so a text of any length is never gathered.
+    ``order`` must be unique inside a text.
+    """
+    inner = F.transform(F.split(text, PARAGRAPH), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
+    squeezed = F.transform(F.filter(inner, lambda p: p != ""), lambda p: F.regexp_replace(p, r"[ \t]+", " "))
+    d = computed_once(parts.select(*keys, *order, F.coalesce(squeezed, F.array().cast("array<string>")).alias("_ps")))
+    d = prefix_sum(d.withColumn("_n", F.size("_ps")), keys, order, "_n", "_before", hot)
+    return d.select(*keys, "_before", F.posexplode("_ps").alias("_i", "text")).select(
+        *keys, (F.col("_before") + F.col("_i")).cast("int").alias("ordinal"), "text"
+    )
+
+
 def _wrap(paragraph: str, target: int) -> Iterator[str]:
     """Pack the sentences of a long paragraph; cut what is still far too long."""
     packed: list[str] = []
@@ -120,7 +138,9 @@ def compare_texts(df: DataFrame, a: str, b: str, shown: int = 8) -> DataFrame:
             "_pb": F.array_distinct(trigrams(F.col("_tb"))),
         }
     )
-    d = computed_once(d.withColumn("_common", F.array_intersect("_pa", "_pb")))
+    # Common phrases come in the order of their first place, so the first ``shown`` places hold none but the first ``shown``
+    # of them: each place is looked up among that many, and the whole is linear in the texts.
+    d = computed_once(d.withColumn("_common", F.slice(F.array_intersect("_pa", "_pb"), 1, shown)))
     repeated = F.slice(F.filter("_pa", lambda p: F.array_contains("_common", p)), 1, shown)
     return d.withColumns(
         {

@@ -583,10 +583,7 @@ def agg_59(v: Views) -> DataFrame:
       REGEXP_SPLIT_TO_ARRAY(STRING_AGG(text, CHR(10) || ' ' || CHR(10) ORDER BY turn), '\\n\\s*\\n+'), lambda p: TRIM(p)), lambda p: p <> '') AS ps
     FROM conversations GROUP BY 1))""")
 def txt_01(v: Views) -> DataFrame:
-    # A conversation has a bounded number of turns.
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    whole = v.conversations.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n \n").alias("text"))
-    return sim.paragraphs(whole, "conv_id")
+    return sim.joined_paragraphs(v.conversations, ["conv_id"], ["turn"])
 
 
 @query("txt_02_chunks")

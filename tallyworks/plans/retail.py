@@ -629,6 +629,22 @@ def ml_03(v: Views) -> DataFrame:
     return models.anomalies(feats(v)).select("outlet_code", "anomaly_raw", "anomaly", "anomaly_reason")
 
 
+@query("ml_03_forest_invariants", """
+  SELECT COUNT(*) + COUNT(*) FILTER (WHERE CAST(outlet_code AS BIGINT) % 50 = 7) AS outlets,
+    COUNT(*) FILTER (WHERE CAST(outlet_code AS BIGINT) % 50 = 7) AS planted_flagged, TRUE AS share_kept, 0 AS without_reason FROM {feats}""")
+def ml_03_invariants(v: Views) -> DataFrame:
+    """Every fiftieth outlet comes again with values far from all others; all of these copies must be flagged."""
+    f = feats(v)
+    odd = f.where(F.col("outlet_code").cast("long") % 50 == 7).withColumns(
+        {"outlet_code": F.concat(F.lit("odd"), "outlet_code"), **{c: F.abs(c) * 40 + 400 for c in models.ANOMALY_FEATURES}}
+    )
+    got = models.anomalies(f.unionByName(odd))
+    n, flagged = F.count(F.lit(1)), F.count_if("anomaly")
+    return got.agg(
+        n.alias("outlets"), F.count_if(F.col("anomaly") & F.col("outlet_code").startswith("odd")).alias("planted_flagged"),
+        (flagged <= F.ceil(n * 0.08)).alias("share_kept"), F.count_if(F.col("anomaly") != F.col("anomaly_reason").isNotNull()).cast("int").alias("without_reason"))
+
+
 @query("agg_34_districts_needing_action", """
   SELECT district, ROUND(COUNT(*) FILTER (WHERE anomaly) * 2 + COUNT(*) FILTER (WHERE dormant) / COUNT(*), 6) AS score
   FROM {flagged} GROUP BY district ORDER BY 2 DESC, 1 LIMIT 5""")

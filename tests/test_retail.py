@@ -134,5 +134,4 @@ def test_segments_are_named(spark):
 
 def test_forest_draws_rows_at_any_size():
     for n in (1, 100, 10**6, 10**9, 10**12):
-        rows = n * models.drawn_below(n, 256) / 2**63
-        assert rows == pytest.approx(min(n, 320), rel=1e-6)
+        assert n * models.drawn_share(n, 256) == pytest.approx(min(n, 320))
