@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,7 +212,9 @@ def quality_totals(
     )
     rows = F.count(F.lit(1))
     return (
-        o.withColumns({c: s.select(c).scalar() for c in s.columns})
+        o.withColumn("_s", s.select(F.struct("*")).scalar())
+        .select("*", "_s.*")
+        .drop("_s")
         .withColumn("products_master", products.agg(rows).scalar())
         .withColumn("brands", brands.agg(rows).scalar())
         .withColumn("label_approvals", labels.agg(rows).scalar())
@@ -219,28 +222,37 @@ def quality_totals(
     )
 
 
+# Severity, code, message (counts in braces), affected area, mitigation.
+ISSUES = (
+    ("info", "NO_SKU_LEVEL_SALES", "Sales grain is outlet x date only. True SKU forecasting is not possible until outlet x SKU x date feed is added.",
+     "all SKU analytics", "Rule-based SKU rationalization engine marked 'interim'; placeholder module scaffolded for real SKU feed."),
+    ("warning", "DORMANT_OUTLETS", "{dormant_outlets:,} of {outlets:,} outlets have no sales rows in the provided feed.",
+     "outlet intelligence coverage", "Flagged in outlet table; excluded from forecasting but still surfaced as dormant risk."),
+    ("warning", "MISSING_COORDINATES", "{missing_geo} outlets lack lat/lng and will not appear on the map.",
+     "map view coverage", "Map view renders only geo-located outlets; others surfaced in table views."),
+    ("info", "FUTURE_DATED_ROWS", "{future_rows} sales rows bear dates beyond today (likely Excel type coercion or forward entries).",
+     "trend slope, latest-week aggregates", "Forecasting uses a train cutoff of today to avoid leakage."),
+    ("info", "NO_GPS_SURAKSHA", "GPS logs, Suraksha App transactions, and depot dispatch schedules are not present in the uploaded files.",
+     "route intelligence, consumer intelligence, depot balancing", "Dedicated modules are scaffolded with wire-in contracts; UI surfaces placeholders."),
+)
+
+
 def quality_issues(totals: DataFrame) -> DataFrame:
-    """Issue rows with counts in their text (AGG-27)."""
-
-    def n(c: str) -> Column:
-        return F.format_number(c, 0)
-
-    plain = {c: F.col(c).cast("string") for c in ("missing_geo", "future_rows")}
-    rows = [
-        ("info", "NO_SKU_LEVEL_SALES", F.lit("Sales have one row per outlet and day; SKU forecasts need a SKU feed.")),
-        (
-            "warning",
-            "DORMANT_OUTLETS",
-            F.concat(n("dormant_outlets"), F.lit(" of "), n("outlets"), F.lit(" outlets have no sales rows.")),
-        ),
-        ("warning", "MISSING_COORDINATES", F.concat(plain["missing_geo"], F.lit(" outlets lack coordinates."))),
-        ("info", "FUTURE_DATED_ROWS", F.concat(plain["future_rows"], F.lit(" sales rows are dated after the as-of day."))),
-        ("info", "NO_GPS_FEED", F.lit("GPS and consumer feeds are not present.")),
+    """Issue rows with counts in their text, the area affected and the mitigation (AGG-27)."""
+
+    def filled(message: str) -> Column:
+        parts = [
+            part
+            for text, name, form, _ in Formatter().parse(message)
+            for part in (F.lit(text), *([F.format_number(name, 0) if form else F.col(name).cast("string")] if name else []))
+        ]
+        return F.concat(*parts)
+
+    items = [
+        F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), filled(m).alias("message"), F.lit(a).alias("affected"), F.lit(g).alias("mitigation"))
+        for s, c, m, a, g in ISSUES
     ]
-    items = F.array(
-        *[F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), m.alias("message")) for s, c, m in rows]
-    )
-    return totals.select(F.inline(items))
+    return totals.select(F.inline(F.array(*items)))
 
 
 def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:

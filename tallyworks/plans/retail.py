@@ -290,12 +290,21 @@ def agg_26(v: Views) -> DataFrame:
     return totals(v)
 
 
-@query("agg_27_quality_issues", """
-  SELECT 'info' AS severity, 'NO_SKU_LEVEL_SALES' AS code, 'Sales have one row per outlet and day; SKU forecasts need a SKU feed.' AS message
-  UNION ALL SELECT 'warning', 'DORMANT_OUTLETS', FORMAT('{:,}', dormant_outlets) || ' of ' || FORMAT('{:,}', outlets) || ' outlets have no sales rows.' FROM {totals}
-  UNION ALL SELECT 'warning', 'MISSING_COORDINATES', missing_geo || ' outlets lack coordinates.' FROM {totals}
-  UNION ALL SELECT 'info', 'FUTURE_DATED_ROWS', future_rows || ' sales rows are dated after the as-of day.' FROM {totals}
-  UNION ALL SELECT 'info', 'NO_GPS_FEED', 'GPS and consumer feeds are not present.'""")
+def _issues_sql() -> str:
+    def message(m: str) -> str:
+        for name in ("dormant_outlets", "outlets"):
+            m = m.replace("{" + name + ":,}", f"' || FORMAT('{{:,}}', {name}) || '")
+        for name in ("missing_geo", "future_rows"):
+            m = m.replace("{" + name + "}", f"' || {name} || '")
+        return m
+
+    rows = [(s, c, message(m), a.replace("'", "''"), g.replace("'", "''")) for s, c, m, a, g in rt.ISSUES]
+    return " UNION ALL ".join(
+        f"SELECT '{s}' AS severity, '{c}' AS code, '{m}' AS message, '{a}' AS affected, '{g}' AS mitigation FROM {{totals}}" for s, c, m, a, g in rows
+    )
+
+
+@query("agg_27_quality_issues", _issues_sql())
 def agg_27(v: Views) -> DataFrame:
     return rt.quality_issues(totals(v))
 
