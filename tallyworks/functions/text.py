@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html.entities
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -182,3 +183,11 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
     for n in needles:
         hit = hit | F.contains(c, F.lit(n))
     return hit
+
+
+def said(template: str | None, values: Mapping[str, Column]) -> Column:
+    """Text with the values in place of {names}."""
+    if template is None:
+        return F.lit(None).cast("string")
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p or len(parts) == 1])

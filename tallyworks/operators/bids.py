@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions.numbers import clamp, computed_once, half_up, kept
 from tallyworks.functions.ranking import row_numbers
 from tallyworks.functions.skew import HOT_ROWS
-from tallyworks.functions.text import first_int
+from tallyworks.functions.text import first_int, said
 from tallyworks.operators.filters import first_wins
 
 STAGES = (
@@ -18,6 +18,26 @@ STAGES = (
     "Commercial reasonableness", "Red flag and anomaly review", "Final recommendation",
 )
 
+# Decision, rule, evidence found, evidence missing ({claims}, {forms}, {delta} stand for values), section, confidence,
+# officer approval, risk if ignored.
+REASONS = {
+    "turnover": ("Turnover meets threshold", "ec_turnover", "Audited statements 3 FY", "—", "Evaluation and Qualification Criteria", 0.96, False,
+        "Eligibility may be wrongly granted otherwise."),
+    "poor": ("Turnover insufficient", "ec_turnover", "Audited statements 3 FY", "—", "Evaluation and Qualification Criteria", 0.94, True,
+        "Disqualification ought to be officer-confirmed."),
+    "solvency": ("Solvency certificate too old", "ec_solvency", "FIN-10", "Recent solvency", "Evaluation and Qualification Criteria", 0.92, True,
+        "Could disqualify bid; needs officer review."),
+    "jv": ("JV agreement missing", "rule_005", "FIN-7", "JV Agreement", "Tender Forms", 0.93, True, "JV bid not legally enforceable without agreement."),
+    "claims": ("Unsupported similar-work claim", "ec_similar", "Completion Certificate", "{claims}", "Evaluation and Qualification Criteria", 0.9, True,
+        "Eligibility cannot be confirmed without evidence."),
+    "forms": ("Altered forms detected", "rule_audit", "Form integrity check", "{forms}", "Tender Forms", 0.88, True,
+        "Possible fraud — must be escalated to officer."),
+    "high": ("Bid above benchmark", "rule_010", "Internal benchmark", "{delta}%", "Special Conditions of Contract", 0.95, True, "Cost overrun risk."),
+    "low": ("Abnormally low bid", "rule_010", "Bid amount + benchmark", "Computed additional security", "Special Conditions of Contract", 0.96, True,
+        "Performance risk; additional security required."),
+}
+REASON_FIELDS = ("decision", "rule_applied", "evidence_found", "evidence_missing", "source_section", "confidence", "officer_approval_required", "risk_if_ignored")
+
 
 def old_solvency(age: str = "solvency_age") -> Column:
     """A certificate of more than six months."""
@@ -27,10 +47,12 @@ def old_solvency(age: str = "solvency_age") -> Column:
 def evaluate_bids(bids: DataFrame, cases: DataFrame) -> DataFrame:
     """Thresholds, flags, delta, security, recommendation and stage scores per bid (RUL-15, JN-25).
 
-    Lists of a bid are given by their lengths: n_missing, n_unsupported,
-    n_altered.  Cases are unique rows with estimated_value and benchmark_value.
+    Bids carry the lists missing_documents, unsupported_claims and altered_forms (null: empty).  Cases are unique
+    rows with estimated_value and benchmark_value.
     """
     c = F.col
+    lists = ("missing_documents", "unsupported_claims", "altered_forms")
+    bids = bids.withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in lists})
     j = bids.join(cases.select("case_id", "estimated_value", "benchmark_value"), "case_id")
     d = j.withColumns(
         {
@@ -38,19 +60,28 @@ def evaluate_bids(bids: DataFrame, cases: DataFrame) -> DataFrame:
             "_poor": c("turnover") < c("estimated_value") * 0.3,
             "_nojv": F.contains(F.lower("jv_status"), F.lit("missing")),
             "_old": old_solvency(),
+            "_claims": F.array_join("unsupported_claims", "; "),
+            "_forms": F.array_join("altered_forms", "; "),
         }
     )
     d = computed_once(d)
+    n_missing, claimed, altered = F.size("missing_documents"), F.size("unsupported_claims") > 0, F.size("altered_forms") > 0
     delta = c("benchmark_delta_pct")
     high, low = delta > 5, delta < -25
     pct = F.format_string("%.1f", half_up(delta, 1))
+    shown = {"claims": c("_claims"), "forms": c("_forms"), "delta": pct}
+
+    def reason(key: str) -> Column:
+        cells = (said(x, shown) if isinstance(x, str) else F.lit(x) for x in REASONS[key])
+        return F.struct(*[x.alias(f) for f, x in zip(REASON_FIELDS, cells)])
+
     d = d.withColumns(
         {
             "red_flags": kept(
                 F.when(c("_old"), F.lit("Solvency certificate older than allowed 6 months")),
                 F.when(c("_nojv"), F.lit("Missing notarized JV agreement")),
-                F.when(c("n_unsupported") > 0, F.lit("Unsupported similar-work claim")),
-                F.when(c("n_altered") > 0, F.lit("Altered/forged form detected")),
+                F.when(claimed, F.lit("Unsupported similar-work claim")),
+                F.when(altered, F.lit("Altered/forged form detected")),
                 F.when(high, F.concat(F.lit("Bid amount "), pct, F.lit("% above internal benchmark"))).when(
                     low, F.concat(F.lit("Abnormally low bid ("), pct, F.lit("% below benchmark)"))),
             ),
@@ -62,9 +93,18 @@ def evaluate_bids(bids: DataFrame, cases: DataFrame) -> DataFrame:
             "clarification_questions": kept(
                 F.when(c("_old"), F.lit("Submit a solvency certificate issued within the last 6 months.")),
                 F.when(c("_nojv"), F.lit("Submit notarized JV agreement signed by all partners.")),
-                F.when(c("n_unsupported") > 0, F.lit("Submit completion certificate(s) for the unsupported claims.")),
+                F.when(claimed, F.concat(F.lit("Submit completion certificate(s) for: "), c("_claims"), F.lit("."))),
             ),
             "disqualification_reasons": kept(F.when(c("_poor"), F.lit("Average annual turnover below 30% threshold"))),
+            "evidence_missing": c("missing_documents"),
+            "explainability": kept(
+                F.when(~c("_poor"), reason("turnover")).otherwise(reason("poor")),
+                F.when(c("_old"), reason("solvency")),
+                F.when(c("_nojv"), reason("jv")),
+                F.when(claimed, reason("claims")),
+                F.when(altered, reason("forms")),
+                F.when(high, reason("high")).when(low, reason("low")),
+            ),
             "additional_security": F.when(low, F.greatest(0.75 * c("benchmark_value") - c("bid_amount"), F.lit(0.0))),
             "reasonableness_risk": F.when(high, "Moderate").when(low, "High").otherwise("Low"),
         }
@@ -72,7 +112,7 @@ def evaluate_bids(bids: DataFrame, cases: DataFrame) -> DataFrame:
     d = d.withColumn(
         "recommendation",
         F.when(c("_poor"), "Disqualified")
-        .when((F.size("red_flags") == 0) & (c("n_missing") == 0), "Qualified")
+        .when((F.size("red_flags") == 0) & (n_missing == 0), "Qualified")
         .otherwise("Needs Clarification"),
     )
     d = computed_once(d)
@@ -80,25 +120,26 @@ def evaluate_bids(bids: DataFrame, cases: DataFrame) -> DataFrame:
     weak_plan = ~c("quality_plan") | ~c("safety_plan")
     approach = c("technical_approach")
     good = c("recommendation") == "Qualified"
-    # stage: (problem, passed when there is one, its score)
-    facts: Sequence[tuple[Column, Column, Column]] = (
-        (c("n_missing") > 0, F.lit(False), F.lit(60)),
-        (c("_poor") | c("_nojv"), F.lit(False), F.lit(55)),
-        (weak_plan, approach, F.when(approach, 75).otherwise(40)),
-        (c("_poor"), F.lit(False), F.lit(50)),
-        (high | low, F.lit(False), F.lit(60)),
-        (flags > 0, F.lit(False), 100 - F.least(F.lit(40), flags * 10)),
-        (~good, F.lit(False), F.lit(70)),
+    # stage: (problem, passed when there is one, its score, its note)
+    facts: Sequence[tuple[Column, Column, Column, Column]] = (
+        (n_missing > 0, F.lit(False), F.lit(60), F.concat(n_missing.cast("string"), F.lit(" required docs missing"))),
+        (c("_poor") | c("_nojv"), F.lit(False), F.lit(55), F.lit("Eligibility deficiencies detected")),
+        (weak_plan, approach, F.when(approach, 75).otherwise(40), F.lit("Quality / Safety plan deficiencies")),
+        (c("_poor"), F.lit(False), F.lit(50), F.lit("Turnover below threshold")),
+        (high | low, F.lit(False), F.lit(60), F.concat(F.lit("Δ "), pct, F.lit("% vs benchmark"))),
+        (flags > 0, F.lit(False), 100 - F.least(F.lit(40), flags * 10), F.concat(flags.cast("string"), F.lit(" red flag(s)"))),
+        (~good, F.lit(False), F.lit(70), c("recommendation")),
     )
     stages = [
         F.struct(
             F.lit(name).alias("stage"),
             F.when(bad, passed).otherwise(True).alias("passed"),
             F.when(bad, score).otherwise(100).alias("score"),
+            F.when(bad, note).otherwise("Qualified" if name == STAGES[-1] else "OK").alias("notes"),
         )
-        for name, (bad, passed, score) in zip(STAGES, facts)
+        for name, (bad, passed, score, note) in zip(STAGES, facts)
     ]
-    return d.withColumn("stages", F.array(*stages)).drop("_poor", "_nojv", "_old")
+    return d.withColumn("stages", F.array(*stages)).drop("_poor", "_nojv", "_old", "_claims", "_forms")
 
 
 def score_map(stages: str = "stages") -> Column:
@@ -139,31 +180,50 @@ def flatten_reasons(evaluated: DataFrame, col: str) -> DataFrame:
 # --- drafts ---------------------------------------------------------------------------
 
 
-def detected_issues(sections: DataFrame) -> DataFrame:
-    """Issues seen in the sections of drafts: unapproved placeholders and open variables (RUL-17)."""
+# Rule, category, severity, description, evidence, suggested fix, impact of the issues seen in sections.
+SECTION_ISSUES = {
+    "engineering": ("rule_002", "Engineering content not approved", "Critical",
+        "{title} is a placeholder; project-specific engineering content not provided.",
+        "Section {id} source = Placeholder; technicalApprovalRequired = true",
+        "Upload approved {title} or select an approved historical template; assign to Technical Officer.",
+        "Tender cannot be published; engineering disputes during execution."),
+    "variables": (None, "Placeholder values", "Moderate",
+        "{title} contains placeholder variable(s): {variables}.",
+        "Section {id} missingVariables = [{variables}]",
+        "Officer to provide values for {first}.",
+        "Bidder confusion; possible contract dispute."),
+}
+ISSUE_FIELDS = ("rule_id", "category", "severity", "description", "evidence", "suggested_fix", "impact")
+
+
+def detected_issues(sections: DataFrame, title: str = "section_type") -> DataFrame:
+    """Issues seen in the sections of drafts: unapproved placeholders and open variables (RUL-17).
+
+    Sections carry the list missing_variables (null: empty).
+    """
     c = F.col
-    base = dict(auto_fixable=F.lit(False), officer_decision=F.lit(True))
-    eng = F.struct(
-        F.lit("Engineering content not approved").alias("category"),
-        F.lit("Critical").alias("severity"),
-        F.concat("section_type", F.lit(" is a placeholder; project-specific engineering content not provided.")).alias("description"),
-    )
-    var = F.struct(
-        F.lit("Placeholder values").alias("category"),
-        F.lit("Moderate").alias("severity"),
-        F.concat("section_type", F.lit(" contains placeholder variable(s).")).alias("description"),
-    )
+    names = F.coalesce("missing_variables", F.array().cast("array<string>"))
+    shown = {"title": c(title), "id": c("section_id").cast("string"), "variables": F.array_join(names, ", "), "first": F.get(names, F.lit(0))}
+
+    def issue(key: str) -> Column:
+        return F.struct(*[said(x, shown).alias(f) for f, x in zip(ISSUE_FIELDS, SECTION_ISSUES[key])])
+
     found = kept(
-        F.when(c("is_placeholder") & c("technical_approval"), eng), F.when((c("n_missing_vars") > 0) & ~c("is_placeholder"), var)
+        F.when(c("is_placeholder") & c("technical_approval"), issue("engineering")),
+        F.when((F.size(names) > 0) & ~c("is_placeholder"), issue("variables")),
     )
-    rows = sections.select("draft_id", "case_id", F.col("section_type").alias("source_section"), "pos", F.explode(found).alias("i"))
-    return rows.select("draft_id", "case_id", "source_section", "pos", "i.*", *[v.alias(k) for k, v in base.items()])
+    rows = sections.select("draft_id", "case_id", c("section_type").alias("source_section"), "pos", F.explode(found).alias("i"))
+    decided = (F.lit(False).alias("auto_fixable"), F.lit(True).alias("officer_decision"))
+    return rows.select("draft_id", "case_id", "source_section", "pos", "i.*", *decided)
 
 
 def merged_issues(known: DataFrame, detected: DataFrame) -> DataFrame:
-    """Known issues first, then detected ones, one per category, section and text (SET-03)."""
+    """Known issues first, then detected ones, one per category, section and text (SET-03).
+
+    Columns that one side lacks (rule, evidence, fix, impact) are null there.
+    """
     keys = ["draft_id", "category", "source_section", "description"]
-    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision"])
+    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision", "evidence"])
 
 
 def validate_drafts(drafts: DataFrame, issues: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.functions import vectors as vec
-from tallyworks.functions.numbers import computed_once, half_even, half_up
+from tallyworks.functions.numbers import computed_once, half_even, half_up, lookup
 from tallyworks.functions.ranking import prefix_sum, row_numbers
 from tallyworks.functions.skew import HOT_ROWS, small
 from tallyworks.functions.text import tokens
@@ -146,11 +146,20 @@ def compare_texts(df: DataFrame, a: str, b: str, shown: int = 8) -> DataFrame:
         {
             "similarity_score": half_up("_score", 3),
             "severity": severity("_score"),
+            "suggested_action": lookup(severity("_score"), ACTIONS, ""),
             "repeated_phrases": repeated,
         }
     ).drop("_ta", "_tb", "_pa", "_pb", "_common", "_score")
 
 
+# What an officer should do at each severity.
+ACTIONS = {
+    "Critical": "Investigate possible collusion / template re-use across competing bidders",
+    "Moderate": "Request differentiated technical proposals from bidders",
+    "Low": "Routine review",
+}
+
+
 def severity(score: str) -> Column:
     """Bands of the similarity."""
     s = F.col(score)

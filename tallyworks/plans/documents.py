@@ -624,9 +624,13 @@ def pairs(v: Views) -> DataFrame:
 
 @query("txt_04_token_jaccard", """
   SELECT conv_id, key_a, key_b, FLOOR(COALESCE(s, 0) * 1000 + 0.5) / 1000 AS similarity_score,
-    CASE WHEN s > 0.8 THEN 'Critical' WHEN s > 0.55 THEN 'Moderate' ELSE 'Low' END AS severity FROM {jac}""")
+    CASE WHEN s > 0.8 THEN 'Critical' WHEN s > 0.55 THEN 'Moderate' ELSE 'Low' END AS severity,
+    CASE WHEN s > 0.8 THEN 'Investigate possible collusion / template re-use across competing bidders'
+      WHEN s > 0.55 THEN 'Request differentiated technical proposals from bidders' ELSE 'Routine review' END AS suggested_action,
+    COALESCE(ARRAY_TO_STRING(LIST_FILTER(LIST_TRANSFORM(RANGE(1, LEN(ta) + 1), lambda i: CASE WHEN LIST_POSITION(ta, ta[i]) = i AND LIST_CONTAINS(tb, ta[i]) THEN ta[i] END),
+      lambda w: w IS NOT NULL)[1:8], ' '), '') AS matched FROM {jac}""")
 def txt_04(v: Views) -> DataFrame:
-    return pairs(v).select("conv_id", "key_a", "key_b", "similarity_score", "severity")
+    return pairs(v).select("conv_id", "key_a", "key_b", "similarity_score", "severity", "suggested_action", F.array_join("matched_tokens", " ").alias("matched"))
 
 
 @query("txt_05_repeated_trigrams", """

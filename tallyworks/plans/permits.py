@@ -201,17 +201,35 @@ def jsn_02(v: Views) -> DataFrame:
 # --- scrutiny ---------------------------------------------------------------------------
 
 
-def _checks_sql(specs: list[tuple[str, str, str, str, str]]) -> str:
-    """specs: id, ok condition, status otherwise, severity otherwise, present condition."""
+def _num(x: str) -> str:
+    return f"REGEXP_REPLACE(CAST(CAST({x} AS DOUBLE) AS VARCHAR), '\\.0$', '')"
+
+
+def _checks_sql(specs: list[tuple[str, ...]], shown: dict[str, tuple]) -> str:
+    """specs: id, ok condition, status otherwise, severity otherwise, present condition; shown: key of the texts, value, need, values in texts."""
     parts = ", ".join(f"CASE WHEN {on} THEN '{i}:' || CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END END" for i, ok, bad, _, on in specs)
 
+    def text(key: str, which: int) -> str:
+        out = (sc.TEXTS[key][which] or "").replace("'", "''")
+        for name, value in (shown[key][2] if len(shown[key]) > 2 else {}).items():
+            out = out.replace("{" + name + "}", f"' || {value} || '")
+        return f"'{out}'"
+
+    def line(i: str, ok: str, bad: str, sev: str, on: str) -> str:
+        key = i if ok != "FALSE" else f"{i}_missing"
+        have, need = shown[key][:2]
+        cells = [f"'{i}'", text(key, 0), f"CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END", f"CASE WHEN {ok} THEN 'low' ELSE '{sev}' END", have, need,
+                 f"CASE WHEN {ok} THEN {text(key, 1)} ELSE {text(key, 2)} END", f"CASE WHEN {ok} THEN '' ELSE {text(key, 3)} END"]
+        return f"CASE WHEN {on} THEN {' || \' | \' || '.join(cells)} END"
+
     def n(test: str) -> str:
         return " + ".join(f"CASE WHEN {on} AND NOT ({ok}) AND {test.format(bad=bad, sev=sev)} THEN 1 ELSE 0 END" for _, ok, bad, sev, on in specs)
 
     present = " + ".join(f"CASE WHEN {on} THEN 1 ELSE 0 END" for *_, on in specs)
     passed = " + ".join(f"CASE WHEN {on} AND ({ok}) THEN 1 ELSE 0 END" for _, ok, _, _, on in specs)
     return f"""CONCAT_WS(' ', {parts}) AS statuses, {n("'{bad}' = 'fail' AND '{sev}' = 'high'")} AS fh, {n("'{bad}' = 'fail'")} AS f,
-      {n("'{bad}' = 'warning'")} AS w, {n("'{bad}' = 'manual_review'")} AS m, {present} AS n, {passed} AS p"""
+      {n("'{bad}' = 'warning'")} AS w, {n("'{bad}' = 'manual_review'")} AS m, {present} AS n, {passed} AS p,
+      CONCAT_WS(CHR(10), {", ".join(line(*x) for x in specs)}) AS checks"""
 
 
 _B = [
@@ -224,13 +242,32 @@ _B = [
     ("road_width", "FALSE", "manual_review", "medium", "road_gis_missing"), ("road_width", "road_width >= minroad", "fail", "high", "NOT road_gis_missing"),
     ("rainwater", "rainwater", "fail", "medium", "TRUE"), ("solar", "solar", "warning", "medium", "needsolar"),
 ]
+_YES, _HALF = "CASE WHEN {} THEN 'Yes' ELSE 'No' END", "CAST(CAST(FLOOR({} + 0.5) AS BIGINT) AS VARCHAR)"
+_BAYS = "CEIL(floors * park)"
+_SHOWN_B = {
+    "jurisdiction": ("CASE WHEN k % 29 <> 0 THEN 'Identified' ELSE 'Uncertain' END", "'Identified'"),
+    "boundary": ("CASE WHEN has_boundary THEN 'Drawn' ELSE 'Missing' END", "'Drawn'"),
+    "plot_area_match": (f"{_HALF.format('plot_area')} || ' sq m'", f"{_HALF.format('geom_area')} || ' sq m (±5%)'"),
+    "front_setback": (f"{_num('front_setback')} || ' m'", f"'≥ ' || {_num('minfront')} || ' m'", {"label": "label", "need": _num("minfront")}),
+    "rear_setback": (f"{_num('rear_setback')} || ' m'", f"'≥ ' || {_num('minrear')} || ' m'", {"label": "label", "need": _num("minrear")}),
+    "side_setback": (f"{_num('LEAST(left_setback, right_setback)')} || ' m (min of L/R)'", f"'≥ ' || {_num('minside')} || ' m'", {"need": _num("minside")}),
+    "far": ("'FAR ' || FORMAT('{:.2f}', FLOOR(built_up_area / plot_area * 100 + 0.5) / 100)", f"'≤ ' || {_num('maxfar')}", {"label": "label", "need": _num("maxfar")}),
+    "ground_coverage": (f"{_num('ground_coverage')} || '%'", f"'≤ ' || {_num('maxgc')} || '%'", {"need": _num("maxgc")}),
+    "building_height": (f"{_num('height')} || ' m / ' || floors || ' floors'", f"'≤ ' || {_num('maxh')} || ' m'",
+                        {"have": _num("height"), "need": _num("maxh"), "label": "label"}),
+    "parking": ("parking || ' bays'", f"'≥ ' || {_num(_BAYS)} || ' bays'",
+                {"need": _num(_BAYS), "floors": "floors", "unit": _num("park"), "more": _num(f"({_BAYS} - parking)")}),
+    "road_width": (f"{_num('road_width')} || ' m'", f"'≥ ' || {_num('minroad')} || ' m'", {"have": _num("road_width"), "need": _num("minroad"), "label": "label"}),
+    "road_width_missing": (f"{_num('road_width')} || ' m (declared)'", f"'≥ ' || {_num('minroad')} || ' m'"),
+    "rainwater": (_YES.format("rainwater"), "'Yes'"), "solar": (_YES.format("solar"), "'Yes'"),
+}
 CTES["packs"] = (
     "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else (str(x).upper() if isinstance(x, bool) else f"{x!r}::DOUBLE") for x in r) + ")"
                                          for r in sc.PACKS)
     + ") p(cat, label, maxh, minroad, maxfar, maxgc, minfront, minrear, minside, park, rain, needsolar)"
 )
 CTES["building"] = f"""
-  SELECT *, {_checks_sql(_B)} FROM (SELECT *, CASE WHEN building_use <> 'residential' THEN building_use WHEN height > 15 THEN 'residential_high_rise'
+  SELECT *, {_checks_sql(_B, _SHOWN_B)} FROM (SELECT *, CASE WHEN building_use <> 'residential' THEN building_use WHEN height > 15 THEN 'residential_high_rise'
     WHEN height > 10 THEN 'residential_mid_rise' ELSE 'residential_low_rise' END AS cat FROM {{apps}} WHERE type IN ('building_permission', 'renovation_addition')) a
   JOIN {{packs}} USING (cat)"""
 _FINAL = """
@@ -246,7 +283,14 @@ _L = [
     ("plot_count", "plots >= 1", "fail", "high", "TRUE"), ("utilities", "drainage AND water AND lighting", "fail", "medium", "TRUE"),
     ("approach_road", "approach_road >= 9", "fail", "high", "TRUE"), ("boundary_within_jurisdiction", "has_boundary", "warning", "high", "TRUE"),
 ]
-CTES["layouts"] = f"SELECT *, {_checks_sql(_L)} FROM {{apps}} WHERE type = 'layout_permission'"
+_SHOWN_L = {
+    "internal_road_width": (f"{_num('internal_road')} || ' m'", "'≥ 9 m'"), "open_space": (f"{_num('open_space')} || '%'", "'≥ 10%'"),
+    "plot_count": (_num("plots"), "'≥ 1'"), "approach_road": (f"{_num('approach_road')} || ' m'", "'≥ 9 m'"),
+    "utilities": ("COALESCE(NULLIF(CONCAT_WS(', ', CASE WHEN drainage THEN 'drainage' END, CASE WHEN water THEN 'water' END, CASE WHEN lighting THEN 'lighting' END), ''), 'none')",
+                  "'drainage, water, lighting'"),
+    "boundary_within_jurisdiction": ("CASE WHEN has_boundary THEN 'Inside' ELSE 'Crosses boundary' END", "'Inside'"),
+}
+CTES["layouts"] = f"SELECT *, {_checks_sql(_L, _SHOWN_L)} FROM {{apps}} WHERE type = 'layout_permission'"
 CTES["final_l"] = _FINAL.replace("{risk}", "0").replace("{why}", "CASE WHEN w > 0 THEN 'Rule ambiguity' END, CASE WHEN m > 0 THEN 'Boundary mismatch' END").replace(
     "{{src}}", "{layouts}")
 _O = [
@@ -257,16 +301,32 @@ _O = [
     ("road_width_verified", "NOT a.road_gis_missing", "manual_review", "medium", "TRUE"),
     ("completion_documents", "a.has_boundary", "fail", "high", "TRUE"),
 ]
+
+
+def _sides(t: str) -> str:
+    return " || ".join(f"'{m}' || {_num(f'{t}.{x}_setback')}" for m, x in (("F ", "front"), (", R ", "rear"), (", L ", "left"), (", Ri ", "right")))
+
+
+_SHOWN_O = {
+    "floors_match": (_num("a.floors + CASE WHEN a.k % 6 = 0 THEN 1 ELSE 0 END"), f"COALESCE({_num('b.floors')}, '—')"),
+    "usage_match": ("a.building_use", "COALESCE(b.building_use, '—')"), "setbacks_match": (_sides("a"), f"COALESCE({_sides('b')}, '—')"),
+    "parking_provided": (_num("a.parking"), f"COALESCE({_num('b.parking')}, '—')"),
+    "road_width_verified": (_YES.format("NOT a.road_gis_missing"), "'Yes'"),
+    "completion_documents": ("CASE WHEN a.has_boundary THEN 'Uploaded' ELSE 'Missing' END", "'Uploaded'"),
+}
 CTES["occupancies"] = f"""
-  SELECT a.k, a.id, {_checks_sql(_O)} FROM (SELECT * FROM {{apps}} WHERE type = 'occupancy_certificate') a
+  SELECT a.k, a.id, {_checks_sql(_O, _SHOWN_O)} FROM (SELECT * FROM {{apps}} WHERE type = 'occupancy_certificate') a
   LEFT JOIN (SELECT * FROM {{apps}} WHERE type = 'building_permission') b ON b.k = a.k - 1"""
 CTES["final_o"] = CTES["final_l"].replace("{layouts}", "{occupancies}")
 
 
-def building(v: Views) -> DataFrame:
+BUILT = "type IN ('building_permission', 'renovation_addition')"
+
+
+def building(v: Views, where: str = BUILT, texts: bool = False) -> DataFrame:
     v.spread("orders")
-    a = v.apps.where("type IN ('building_permission', 'renovation_addition')").withColumn("jurisdiction_known", F.col("k") % 29 != 0)
-    return sc.finalize(sc.building_checks(sc.with_pack(a, sc.packs(v.spark))), building=True)
+    a = v.apps.where(where).withColumn("jurisdiction_known", F.col("k") % 29 != 0)
+    return sc.finalize(sc.building_checks(sc.with_pack(a, sc.packs(v.spark)), texts), building=True)
 
 
 def layouts(v: Views) -> DataFrame:
@@ -286,15 +346,16 @@ def occupancies(v: Views) -> DataFrame:
 
 def _flat(df: DataFrame) -> DataFrame:
     st = F.transform("checks", lambda c: F.concat(c["id"], F.lit(":"), c["status"]))
-    return df.select("k", F.array_join(st, " ").alias("statuses"), "outcome", "rule_score", "risk_score", F.array_join("why_escalated", ", ").alias("why"))
+    return df.select("k", F.array_join(st, " ").alias("statuses"), sc.check_lines().alias("checks"), "outcome", "rule_score", "risk_score",
+                     F.array_join("why_escalated", ", ").alias("why"))
 
 
-_COLS = "k, statuses, outcome, rule_score, risk_score, why"
+_COLS = "k, statuses, checks, outcome, rule_score, risk_score, why"
 
 
 @query("rul_10_building_scrutiny", f"SELECT {_COLS} FROM {{final_b}}")
 def rul_10(v: Views) -> DataFrame:
-    return _flat(building(v))
+    return _flat(building(v, texts=True))
 
 
 @query("rul_11_layout_scrutiny", f"SELECT {_COLS} FROM {{final_l}}")
@@ -376,16 +437,19 @@ CTES["cases_all"] = """
   SELECT f.*, b.outcome, COALESCE(b.why, '') AS why, b.risk_score FROM {fees} f LEFT JOIN {final_b} b ON f.k = b.k"""
 
 
-def fees(v: Views) -> DataFrame:
+def fees(v: Views, apps: DataFrame | None = None) -> DataFrame:
     v.spread("orders")
-    a = v.apps.withColumn("fee_paid", F.when(F.col("k") % 5 == 0, 0.0).otherwise(F.floor(F.col("fee_paid") / 10).cast("double")))
+    a = (v.apps if apps is None else apps).withColumn("fee_paid", F.when(F.col("k") % 5 == 0, 0.0).otherwise(F.floor(F.col("fee_paid") / 10).cast("double")))
     return sc.reconcile_fees(sc.estimate_fees(a))
 
 
 def caseload(v: Views) -> DataFrame:
-    b = building(v).select("k", "outcome", "why_escalated", "risk_score")
-    j = fees(v).join(b, "k", "left").withColumn("is_high_rise", F.col("height") > 15)
-    return j.withColumn("why_escalated", F.coalesce("why_escalated", F.array().cast("array<string>")))
+    # One reading of the applications: every row is checked, and other types than buildings lose the result.
+    b, no_reason = F.expr(BUILT), F.array().cast("array<string>")
+    a = building(v, "true").withColumns(
+        {"outcome": F.when(b, F.col("outcome")), "risk_score": F.when(b, F.col("risk_score")), "why_escalated": F.when(b, F.col("why_escalated")).otherwise(no_reason)}
+    )
+    return fees(v, a).withColumn("is_high_rise", F.col("height") > 15)
 
 
 @query("rul_14_fees", "SELECT k, base_fee, area_fee, height_fee, total_fee, pending, warnings FROM {fees}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.operators import bids as bd
@@ -11,10 +11,19 @@ from tallyworks.plans.registry import CTES, query, rounded
 from tallyworks.sinks import tables as snk
 from tallyworks.sources.views import Views
 
-CTES["bid_facts"] = """
-  SELECT b.*, c.estimated_value, c.benchmark_value, (bid_amount - benchmark_value) / benchmark_value * 100 AS delta, turnover < estimated_value * 0.3 AS poor,
+DOCUMENTS, CLAIMS, FORMS, VARIABLES = ("EMD receipt", "FIN-10"), ("Bridge 2021", "Road 2022"), ("FIN-7",), ("bid_security", "completion_period")
+
+
+def _list(words: tuple[str, ...], n: str) -> str:
+    """SQL list of the first n words."""
+    return f"[{', '.join(repr(w) for w in words)}][1:{n}]"
+
+
+CTES["bid_facts"] = f"""
+  SELECT b.*, {_list(DOCUMENTS, "n_missing")} AS missing, ARRAY_TO_STRING({_list(CLAIMS, "n_unsupported")}, '; ') AS claims,
+    ARRAY_TO_STRING({_list(FORMS, "n_altered")}, '; ') AS forms, c.estimated_value, c.benchmark_value, (bid_amount - benchmark_value) / benchmark_value * 100 AS delta, turnover < estimated_value * 0.3 AS poor,
     LOWER(jv_status) LIKE '%missing%' AS nojv, solvency_age LIKE '%month%' AND TRY_CAST(REGEXP_EXTRACT(solvency_age, '^\\s*(\\d+)', 1) AS BIGINT) > 6 AS old
-  FROM {bids} b JOIN {cases} c ON b.case_id = c.case_id"""
+  FROM {{bids}} b JOIN {{cases}} c ON b.case_id = c.case_id"""
 CTES["judged"] = """
   SELECT *, CASE WHEN poor THEN 'Disqualified' WHEN flags = '' AND n_missing = 0 THEN 'Qualified' ELSE 'Needs Clarification' END AS recommendation FROM (SELECT *,
     CONCAT_WS('; ', CASE WHEN old THEN 'Solvency certificate older than allowed 6 months' END, CASE WHEN nojv THEN 'Missing notarized JV agreement' END,
@@ -24,8 +33,36 @@ CTES["judged"] = """
     old::INT + nojv::INT + (n_unsupported > 0)::INT + (n_altered > 0)::INT + (delta > 5 OR delta < -25)::INT AS n_flags FROM {bid_facts})"""
 
 
+def _first(words: tuple[str, ...], n: str) -> Column:
+    return F.slice(F.array(*[F.lit(w) for w in words]), F.lit(1), F.col(n))
+
+
+def bids(v: Views) -> DataFrame:
+    return v.bids.withColumns(
+        {"missing_documents": _first(DOCUMENTS, "n_missing"), "unsupported_claims": _first(CLAIMS, "n_unsupported"), "altered_forms": _first(FORMS, "n_altered")}
+    )
+
+
+def sections(v: Views) -> DataFrame:
+    return v.sections.withColumn("missing_variables", _first(VARIABLES, "n_missing_vars"))
+
+
 def judged(v: Views) -> DataFrame:
-    return bd.evaluate_bids(v.bids, v.cases)
+    return bd.evaluate_bids(bids(v), v.cases)
+
+
+def _why_sql() -> str:
+    """Explainability entries of a bid as lines."""
+    tests = {"turnover": "NOT poor", "poor": "poor", "solvency": "old", "jv": "nojv", "claims": "n_unsupported > 0", "forms": "n_altered > 0",
+             "high": "delta > 5", "low": "delta < -25"}
+    pct = "FORMAT('{:.1f}', FLOOR(delta * 10 + 0.5) / 10)"
+    out = []
+    for key, test in tests.items():
+        text = " | ".join(str(x).lower() if isinstance(x, bool) else str(x) for x in bd.REASONS[key]).replace("'", "''")
+        for name, value in (("claims", "claims"), ("forms", "forms"), ("delta", pct)):
+            text = text.replace("{" + name + "}", f"' || {value} || '")
+        out.append(f"CASE WHEN {test} THEN '{text}' END")
+    return f"CONCAT_WS(CHR(10), {', '.join(out)})"
 
 
 @query("jn_25_bid_case_join", "SELECT bid_id, ROUND(delta, 6) AS delta, poor FROM {bid_facts}")
@@ -35,13 +72,23 @@ def jn_25(v: Views) -> DataFrame:
 
 
 @query("rul_15_bid_evaluation", """
-  SELECT bid_id, flags, recommendation, CASE WHEN delta < -25 THEN ROUND(GREATEST(0.75e0 * benchmark_value - bid_amount, 0), 4) END AS additional_security,
+  SELECT bid_id, flags, ARRAY_TO_STRING(missing, '; ') AS evidence_missing, CONCAT_WS('; ', CASE WHEN NOT poor THEN 'Average annual turnover meets 30% threshold' END,
+      CASE WHEN NOT old THEN 'Solvency certificate within 6 months' END, CASE WHEN delta BETWEEN -25 AND 5 THEN 'Bid within benchmark band (−5%..+5%)' END) AS evidence_found,
+    """ + _why_sql() + """ AS explainability, CONCAT_WS('; ', CASE WHEN n_missing > 0 THEN n_missing || ' required docs missing' ELSE 'OK' END,
+      CASE WHEN poor OR nojv THEN 'Eligibility deficiencies detected' ELSE 'OK' END,
+      CASE WHEN quality_plan AND safety_plan THEN 'OK' ELSE 'Quality / Safety plan deficiencies' END, CASE WHEN poor THEN 'Turnover below threshold' ELSE 'OK' END,
+      CASE WHEN delta > 5 OR delta < -25 THEN 'Δ ' || FORMAT('{:.1f}', FLOOR(delta * 10 + 0.5) / 10) || '% vs benchmark' ELSE 'OK' END,
+      CASE WHEN n_flags > 0 THEN n_flags || ' red flag(s)' ELSE 'OK' END, recommendation) AS notes, recommendation, CASE WHEN delta < -25 THEN ROUND(GREATEST(0.75e0 * benchmark_value - bid_amount, 0), 4) END AS additional_security,
     CASE WHEN delta > 5 THEN 'Moderate' WHEN delta < -25 THEN 'High' ELSE 'Low' END AS risk, CONCAT_WS(' ', CASE WHEN n_missing > 0 THEN 60 ELSE 100 END,
     CASE WHEN poor OR nojv THEN 55 ELSE 100 END, CASE WHEN quality_plan AND safety_plan THEN 100 WHEN technical_approach THEN 75 ELSE 40 END,
     CASE WHEN poor THEN 50 ELSE 100 END, CASE WHEN delta > 5 OR delta < -25 THEN 60 ELSE 100 END, CASE WHEN n_flags > 0 THEN 100 - LEAST(40, n_flags * 10) ELSE 100 END,
     CASE WHEN recommendation = 'Qualified' THEN 100 ELSE 70 END) AS scores FROM {judged}""")
 def rul_15(v: Views) -> DataFrame:
-    j = judged(v).select("bid_id", F.array_join("red_flags", "; ").alias("flags"), "recommendation", "additional_security", F.col("reasonableness_risk").alias("risk"),
+    cells = lambda x: [x[f].cast("string") for f in bd.REASON_FIELDS]
+    why = F.array_join(F.transform("explainability", lambda x: F.concat_ws(" | ", *cells(x))), "\n").alias("explainability")
+    notes = F.array_join(F.transform("stages", lambda s: s["notes"]), "; ").alias("notes")
+    joined = [F.array_join(c, "; ").alias(c) for c in ("evidence_missing", "evidence_found")]
+    j = judged(v).select("bid_id", F.array_join("red_flags", "; ").alias("flags"), *joined, why, notes, "recommendation", "additional_security", F.col("reasonableness_risk").alias("risk"),
                          F.array_join(F.transform("stages", lambda s: s["score"].cast("string")), " ").alias("scores"))
     return rounded(j, 4, "additional_security")
 
@@ -64,23 +111,34 @@ def win_09(v: Views) -> DataFrame:
 @query("agg_58_flattened_reasons", """
   SELECT bid_id, company, UNNEST(LIST_FILTER([CASE WHEN old THEN 'Submit a solvency certificate issued within the last 6 months.' END,
     CASE WHEN nojv THEN 'Submit notarized JV agreement signed by all partners.' END,
-    CASE WHEN n_unsupported > 0 THEN 'Submit completion certificate(s) for the unsupported claims.' END], lambda x: x IS NOT NULL)) AS reason FROM {bid_facts}
+    CASE WHEN n_unsupported > 0 THEN 'Submit completion certificate(s) for: ' || claims || '.' END], lambda x: x IS NOT NULL)) AS reason FROM {bid_facts}
   UNION ALL SELECT bid_id, company, 'Average annual turnover below 30% threshold' FROM {bid_facts} WHERE poor""")
 def agg_58(v: Views) -> DataFrame:
     j = judged(v)
     return bd.flatten_reasons(j, "clarification_questions").unionByName(bd.flatten_reasons(j, "disqualification_reasons"))
 
 
-CTES["found"] = """
-  SELECT draft_id, case_id, section_type AS source_section, pos, section_id, 'Engineering content not approved' AS category, 'Critical' AS severity,
-    section_type || ' is a placeholder; project-specific engineering content not provided.' AS description, FALSE AS auto_fixable, TRUE AS officer_decision
-  FROM {sections} WHERE is_placeholder AND technical_approval
-  UNION ALL SELECT draft_id, case_id, section_type, pos, section_id, 'Placeholder values', 'Moderate', section_type || ' contains placeholder variable(s).', FALSE, TRUE
-  FROM {sections} WHERE n_missing_vars > 0 AND NOT is_placeholder"""
+def _issue_sql(key: str) -> str:
+    """Columns of a detected issue."""
+    out = []
+    for name, text in zip(bd.ISSUE_FIELDS, bd.SECTION_ISSUES[key]):
+        cell = "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+        for mark, value in (("title", "section_type"), ("id", "section_id"), ("variables", "ARRAY_TO_STRING(vars, ', ')"), ("first", "vars[1]")):
+            cell = cell.replace("{" + mark + "}", f"' || {value} || '")
+        out.append(f"{cell} AS {name}")
+    return ", ".join(out)
+
+
+CTES["found"] = f"""
+  SELECT draft_id, case_id, section_type AS source_section, pos, section_id, {_issue_sql("engineering")}, FALSE AS auto_fixable, TRUE AS officer_decision
+  FROM (SELECT *, {_list(VARIABLES, "n_missing_vars")} AS vars FROM {{sections}}) WHERE is_placeholder AND technical_approval
+  UNION ALL SELECT draft_id, case_id, section_type, pos, section_id, {_issue_sql("variables")}, FALSE, TRUE
+  FROM (SELECT *, {_list(VARIABLES, "n_missing_vars")} AS vars FROM {{sections}}) WHERE n_missing_vars > 0 AND NOT is_placeholder"""
 CTES["merged"] = """
-  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY draft_id, category, source_section, description ORDER BY frame, pos, severity, auto_fixable, officer_decision) AS rn FROM (
-    SELECT draft_id, category, description AS source_section, description, severity, auto_fixable, officer_decision, issue_id AS pos, 0 AS frame FROM {issues}
-    UNION ALL SELECT draft_id, category, source_section, description, severity, auto_fixable, officer_decision, pos, 1 FROM {found})) WHERE rn = 1"""
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY draft_id, category, source_section, description ORDER BY frame, pos, severity, auto_fixable, officer_decision, evidence) AS rn FROM (
+    SELECT draft_id, category, description AS source_section, description, severity, auto_fixable, officer_decision, issue_id AS pos, 0 AS frame, NULL AS rule_id, NULL AS evidence,
+      NULL AS suggested_fix, NULL AS impact FROM {issues}
+    UNION ALL SELECT draft_id, category, source_section, description, severity, auto_fixable, officer_decision, pos, 1, rule_id, evidence, suggested_fix, impact FROM {found})) WHERE rn = 1"""
 CTES["validated"] = """
   SELECT d.draft_id, COUNT(*) FILTER (WHERE severity = 'Critical') AS critical, COUNT(*) FILTER (WHERE severity = 'Moderate') AS moderate,
     COUNT(*) FILTER (WHERE severity = 'Minor') AS minor, COUNT(*) FILTER (WHERE auto_fixable) AS auto_fixable, COUNT(*) FILTER (WHERE officer_decision) AS officer_decisions
@@ -90,13 +148,14 @@ CTES["validated"] = """
 def merged(v: Views) -> DataFrame:
     known = v.issues.select("draft_id", "category", F.col("description").alias("source_section"), "description", "severity", "auto_fixable", "officer_decision",
                             F.col("issue_id").alias("pos"))
-    found = bd.detected_issues(v.sections).drop("case_id").withColumn("pos", F.col("pos").cast("long"))
+    found = bd.detected_issues(sections(v)).drop("case_id").withColumn("pos", F.col("pos").cast("long"))
     return bd.merged_issues(known, found)
 
 
-@query("set_03_merged_issues", "SELECT draft_id, category, source_section, description, severity, auto_fixable FROM {merged}")
+@query("set_03_merged_issues", """
+  SELECT draft_id, category, source_section, description, severity, auto_fixable, rule_id, evidence, suggested_fix, impact FROM {merged}""")
 def set_03(v: Views) -> DataFrame:
-    return merged(v).select("draft_id", "category", "source_section", "description", "severity", "auto_fixable")
+    return merged(v).select("draft_id", "category", "source_section", "description", "severity", "auto_fixable", "rule_id", "evidence", "suggested_fix", "impact")
 
 
 @query("rul_17_draft_validation", """

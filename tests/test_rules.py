@@ -81,11 +81,41 @@ def test_scrutiny_edges(spark):
     assert got["a"].outcome == "auto_pass_eligible" and got["a"].rule_score == 100 and got["a"].risk_score == 0
     assert [c.id for c in got["a"].checks][-1] == "rainwater"  # no solar rule for low-rise
     assert got["a"].checks[3].required_value == "≥ 1.5 m" and got["a"].checks[3].applicant_value == "2 m"
+    assert got["a"].checks[5].applicant_value == "1 m (min of L/R)" and got["a"].checks[5].suggested_correction is None
+    b = {c.id: c for c in got["b"].checks}
+    assert b["side_setback"].suggested_correction == "Increase the smaller side setback to 3 m."
+    assert b["parking"].explanation == "Need 4 bays for 2 floors at 2/unit." and b["parking"].suggested_correction == "Add 4 more parking bays."
+    assert b["road_width"].name == "Road width compatibility" and b["road_width"].applicant_value == "6 m (declared)"
     assert got["b"].outcome == "reject_recommendation" and got["b"].risk_score == 100
     assert "plot_area_match" not in [c.id for c in got["b"].checks]
     assert got["b"].why_escalated == ["Commercial use", "Height threshold crossed", "Rule ambiguity", "Boundary mismatch", "Road width missing"]
 
 
+def test_bid_lists(spark):
+    cols = ("bid_id int, case_id int, bid_amount double, turnover double, solvency_age string, jv_status string, quality_plan boolean, safety_plan boolean, "
+            "technical_approach boolean, missing_documents array<string>, unsupported_claims array<string>, altered_forms array<string>")
+    good = (1, 7, 100.0, 40.0, "2 months", "Notarized", True, True, True, [], None, [])
+    poor = (2, 7, 70.0, 1.0, "9 months", "missing", False, True, True, ["EMD"], ["Bridge", "Road"], ["FIN-7"])
+    cases = spark.createDataFrame([(7, 100.0, 100.0)], "case_id int, estimated_value double, benchmark_value double")
+    a, b = sorted(bd.evaluate_bids(spark.createDataFrame([good, poor], cols), cases).collect(), key=lambda r: r.bid_id)
+    assert a.recommendation == "Qualified" and [s.notes for s in a.stages] == ["OK"] * 6 + ["Qualified"] and a.evidence_missing == []
+    assert [x.decision for x in a.explainability] == ["Turnover meets threshold"]
+    assert b.recommendation == "Disqualified" and b.evidence_missing == ["EMD"]
+    assert [s.notes for s in b.stages] == ["1 required docs missing", "Eligibility deficiencies detected", "Quality / Safety plan deficiencies",
+                                           "Turnover below threshold", "Δ -30.0% vs benchmark", "5 red flag(s)", "Disqualified"]
+    assert b.clarification_questions[-1] == "Submit completion certificate(s) for: Bridge; Road."
+    assert [x.evidence_missing for x in b.explainability] == ["—", "Recent solvency", "JV Agreement", "Bridge; Road", "FIN-7", "Computed additional security"]
+
+
+def test_section_issues(spark):
+    cols = "draft_id int, case_id int, pos int, section_id int, section_type string, is_placeholder boolean, technical_approval boolean, missing_variables array<string>"
+    rows = [(1, 1, 1, 11, "Scope", True, True, ["x"]), (1, 1, 2, 12, "Forms", False, True, ["x", "y"]), (1, 1, 3, 13, "Cover", False, True, None)]
+    got = sorted(bd.detected_issues(spark.createDataFrame(rows, cols)).collect(), key=lambda r: r.pos)
+    assert [r.rule_id for r in got] == ["rule_002", None]
+    assert got[0].evidence == "Section 11 source = Placeholder; technicalApprovalRequired = true"
+    assert got[1].description == "Forms contains placeholder variable(s): x, y." and got[1].suggested_fix == "Officer to provide values for x."
+
+
 @pytest.mark.parametrize("hot", [0, 10**9])
 def test_bid_rank(spark, hot):
     rows = [(i, 1, "Qualified" if i % 3 else "Disqualified", float(i % 5)) for i in range(20)]
