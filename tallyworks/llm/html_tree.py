@@ -38,16 +38,26 @@ CLOSES = {
 DEPTH = 120
 
 
+# Marked elements are the article unless the page has this many times as much other text outside of links.
+OUTSIDE = 4
+
+
+class Link(str):
+    """Text inside a link; ``at`` tells links apart."""
+
+    at = 0
+
+
 class Node:
-    """A block element: its text runs and block children in page order; text of links is counted."""
+    """A block element: its text runs and block children in page order; text of links is ``Link``."""
 
-    __slots__ = ("tag", "label", "kids", "parts", "apart", "main", "number", "links")
+    __slots__ = ("tag", "label", "kids", "parts", "apart", "main", "number")
 
     def __init__(self, tag: str, label: str, apart: bool, main: bool):
         self.tag, self.label, self.apart, self.main = tag, label, apart, main
         self.kids: list[Node] = []
         self.parts: list = []  # text, or a Node
-        self.number, self.links = -1, 0
+        self.number = -1
 
 
 def _is_apart(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str, bool]:
@@ -88,9 +98,10 @@ def parse(page: str) -> Node:
         top = stack[-1]
         text = page[at : m.start()] if m else page[at:]
         if text:
-            top.parts.append(text)
             if link:
-                top.links += len(text.strip())
+                text = Link(text)
+                text.at = link
+            top.parts.append(text)
         if not m:
             return root
         at = m.end()
@@ -107,7 +118,7 @@ def parse(page: str) -> Node:
             if tag == "br":
                 top.parts.append(" ")
             elif tag == "a":
-                link = 0 if end else 1
+                link = 0 if end else at
         elif tag in VOID:
             top.parts.append(None)
         elif end:
@@ -141,10 +152,14 @@ def parse(page: str) -> Node:
 
 
 def size(node: Node) -> int:
-    """Characters of text below a node that are not kept out."""
-    if node.apart:
-        return 0
-    return sum(len(p) if isinstance(p, str) else size(p) if p is not None else 0 for p in node.parts)
+    """Characters of text below a node that are neither kept out nor in a link."""
+    total, todo = 0, [node]
+    while todo:
+        n = todo.pop()
+        if not n.apart:
+            total += sum(len(p.strip()) for p in n.parts if type(p) is str)
+            todo += n.kids
+    return total
 
 
 def _mains(node: Node, out: list[Node]) -> None:
@@ -160,13 +175,13 @@ def _mains(node: Node, out: list[Node]) -> None:
 
 
 def article(root: Node) -> tuple[list[Node], bool]:
-    """(elements that hold the article, are they marked as such?): marked ones, except those much smaller, or all."""
+    """(elements that hold the article, are they marked as such?): all marked ones, or the page if they hold little of it."""
     found: list[Node] = []
     _mains(root, found)
     if not found:
         return [root], False
-    sizes = [size(n) for n in found]
-    return [n for n, s in zip(found, sizes) if 2 * s >= max(sizes)], True
+    inside = sum(size(n) for n in found)
+    return ([root], False) if size(root) - inside > OUTSIDE * inside else (found, True)
 
 
 def numbered(nodes: list[Node]) -> list[Node]:
@@ -194,6 +209,14 @@ def own_text(node: Node) -> str:
     return clean(" ".join(p if p is not None else " " for p in ("" if isinstance(p, Node) else p for p in node.parts)))
 
 
+def only_links(tag: str, run: list[str]) -> bool:
+    """Is a block of an unmarked page part of a list of links?  Words outside of links say no, and so does a heading or one link's paragraph."""
+    links = {p.at for p in run if type(p) is Link and p.strip()}
+    if not links or tag in HEADINGS or (tag == "p" and len(links) == 1):
+        return False
+    return not any(ch.isalnum() for p in run if type(p) is str for ch in clean(p))
+
+
 def blocks(nodes: list[Node], marked: bool, drop: frozenset | set = frozenset()) -> list[str]:
     """Blocks of text in page order, without nodes numbered in ``drop``; lists of links go if no article is marked."""
     out: list[str] = []
@@ -206,9 +229,9 @@ def blocks(nodes: list[Node], marked: bool, drop: frozenset | set = frozenset())
 
         def flush() -> None:
             text = clean("".join(run))
-            run.clear()
-            if text and not (only_headings and node.tag not in HEADINGS) and not (not marked and 2 * node.links > len(text)):
+            if text and not (only_headings and node.tag not in HEADINGS) and (marked or not only_links(node.tag, run)):
                 out.append(text)
+            run.clear()
 
         for p in node.parts:
             if isinstance(p, str):

@@ -27,6 +27,56 @@ def test_only_the_article_stays():
     assert text('<body><div class="content"><p>Body text</p></div><ul class="x"><li><a href=1>Home</a></li></ul></body>') == ["Body text"]
 
 
+def test_nothing_else_is_dropped():
+    long, short = "long " * 60, "short one"
+    assert text(f"<article><p>{long}</p></article><article><p>{short}</p></article>") == [long.strip(), short]  # unequal marked parts
+    assert text("<body><p>Main <a href=x>link text</a> end</p><p>more</p></body>") == ["Main link text end", "more"]
+    assert text("<body><h2><a href=x>Title</a></h2><p><a href=y>See the report</a></p><p><a href=1>One</a> | <a href=2>Two</a></p><p>own</p></body>") == [
+        "Title", "See the report", "own"]
+    assert text(f"<body><article>teaser</article><div><p>{long}</p></div></body>") == ["teaser", long.strip()]  # a small marked part
+    assert text(f"<body><article>the article of some length</article><div>{short}</div></body>") == ["the article of some length"]
+
+
+def test_matching_is_largest():
+    """Score of the alignment against all ways to match trees top down in order."""
+    import itertools
+    import random
+    from functools import cache
+
+    def tree(rng, depth):
+        return (rng.choice("ab"), rng.choice((1, 2)), tuple(tree(rng, depth - 1) for _ in range(rng.randrange(4))) if depth else ())
+
+    def best(a, b):  # all order-preserving pairings of the children
+        base = 1.5 if a[1] == b[1] else 1.0
+        return base + brute(a[2], b[2])
+
+    @cache
+    def brute(xs, ys):
+        top = 0.0
+        for k in range(1, min(len(xs), len(ys)) + 1):
+            for i in itertools.combinations(range(len(xs)), k):
+                for j in itertools.combinations(range(len(ys)), k):
+                    if all(xs[p][0] == ys[q][0] for p, q in zip(i, j)):
+                        top = max(top, sum(best(xs[p], ys[q]) for p, q in zip(i, j)))
+        return top
+
+    def numbered(t, at, labels, parents, parent=None):
+        n = next(at)
+        labels[n], parents[n] = t, parent
+        return [t[0], t[1], n, [numbered(k, at, labels, parents, n) for k in t[2]]]
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        xs, ys = (tuple(tree(rng, 2) for _ in range(rng.randrange(1, 4))) for _ in range(2))
+        la, pa, lb, pb = {}, {}, {}, {}
+        at, bt = itertools.count(), itertools.count()
+        pairs = H.matched([numbered(t, at, la, pa) for t in xs], [numbered(t, bt, lb, pb) for t in ys])
+        met = dict(pairs)
+        assert len(met) == len(pairs) == len(set(met.values()))
+        assert all(la[a][0] == lb[b][0] and (pa[a] is None) == (pb[b] is None) and (pa[a] is None or met[pa[a]] == pb[b]) for a, b in pairs)
+        assert sum(1.5 if la[a][1] == lb[b][1] else 1.0 for a, b in pairs) == brute(xs, ys)
+
+
 def test_matching_prefers_constant_nodes():
     left, right = (H.skeleton(*[W._tree(f"<article><p>{a}</p><p>same</p></article>")[0]], W._hash) for a in ("x", "y</p><p>z"))
     pairs = dict(H.matched(left, right))
