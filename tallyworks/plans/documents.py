@@ -591,6 +591,19 @@ def txt_02(v: Views) -> DataFrame:
     return sim.chunks(v.spread("documents").documents, "doc_id", "text", 400)
 
 
+@query("txt_02_chunk_invariants", """
+  SELECT doc_id, MD5(REGEXP_REPLACE(text, '\\s+', '', 'g')) AS body, TRUE AS sized, TRUE AS numbered FROM documents
+  WHERE REGEXP_REPLACE(text, '\\s+', '', 'g') <> ''""")
+def txt_02_invariants(v: Views) -> DataFrame:
+    """The chunks of a document, in order, are its text but for white space; none is longer than 1.5 targets; numbers have no gap."""
+    c = sim.chunks(v.spread("documents").documents, "doc_id", "text", 400)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"])
+    sized = F.bool_and((F.col("char_length") <= 600) & (F.length("text") == F.col("char_length")))
+    return c.groupBy("doc_id").agg(
+        F.md5(F.regexp_replace(F.array_join(parts, ""), r"\s+", "")).alias("body"), sized.alias("sized"),
+        (F.max("ordinal") + 1 == F.count(F.lit(1))).alias("numbered"))
+
+
 @query("txt_03_chunk_records", """
   SELECT doc_id, LENGTH(REGEXP_REPLACE(text, '\\s+', '', 'g')) AS chars, source AS source_id, lang AS classified_type FROM documents""")
 def txt_03(v: Views) -> DataFrame:
@@ -723,6 +736,21 @@ def vec_03(v: Views) -> DataFrame:
     return rounded(sim.group_match_all(v.vectors, v.vectors.select("tender_id")), 6, "score")
 
 
+@query("ml_06_embedding_invariants", """
+  SELECT doc_id, LEN(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '\\s+'), lambda w: w <> '')) > 0 AS unit, TRUE AS few, TRUE AS whole FROM documents""")
+def ml_06_invariants(v: Views) -> DataFrame:
+    """Of every whole text: length one, or no word; no more buckets than distinct words; values are whole counts of one unit."""
+    low = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    d = numbers.computed_once(v.spread("documents").documents.select("doc_id", low.alias("w"), vec.hash_embed("text").alias("e")))
+    some = F.filter("e", lambda x: x > 0)
+    norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, total = F.size("w").cast("double"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    counts = F.transform(some, lambda x: x.cast("double") * n / total)
+    return d.select(
+        "doc_id", (F.abs(norm - 1) < 1e-4).alias("unit"), (F.size(some) <= F.size(F.array_distinct("w"))).alias("few"),
+        F.forall(counts, lambda x: F.abs(x - F.round(x)) < 1e-3 * F.greatest(x, F.lit(1.0))).alias("whole"))
+
+
 @query("ml_06_hash_embedding")
 def ml_06(v: Views) -> DataFrame:
     return v.spread("documents").documents.select("doc_id", vec.hash_embed("text").alias("embedding"))
