@@ -223,7 +223,8 @@ def merged_issues(known: DataFrame, detected: DataFrame) -> DataFrame:
     Columns that one side lacks (rule, evidence, fix, impact) are null there.
     """
     keys = ["draft_id", "category", "source_section", "description"]
-    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision", "evidence"])
+    ties = [c for c in ("evidence",) if c in detected.columns]
+    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision", *ties])
 
 
 def validate_drafts(drafts: DataFrame, issues: DataFrame) -> DataFrame:

@@ -145,11 +145,12 @@ CTES["validated"] = """
   FROM (SELECT DISTINCT draft_id FROM {sections}) d LEFT JOIN {merged} m ON d.draft_id = m.draft_id GROUP BY 1"""
 
 
-def merged(v: Views) -> DataFrame:
+def merged(v: Views, texts: bool = True) -> DataFrame:
     known = v.issues.select("draft_id", "category", F.col("description").alias("source_section"), "description", "severity", "auto_fixable", "officer_decision",
                             F.col("issue_id").alias("pos"))
     found = bd.detected_issues(sections(v)).drop("case_id").withColumn("pos", F.col("pos").cast("long"))
-    return bd.merged_issues(known, found)
+    # Counts need no texts.
+    return bd.merged_issues(known, found if texts else found.drop("rule_id", "evidence", "suggested_fix", "impact"))
 
 
 @query("set_03_merged_issues", """
@@ -162,7 +163,7 @@ def set_03(v: Views) -> DataFrame:
   SELECT *, GREATEST(0, 100 - critical * 14 - moderate * 6 - minor * 2) AS score, CASE WHEN critical > 0 THEN 'Not Ready' WHEN moderate > 0 THEN 'Needs Review'
     WHEN minor > 0 THEN 'Ready with Minor Issues' ELSE 'Ready' END AS readiness FROM {validated}""")
 def rul_17(v: Views) -> DataFrame:
-    return bd.validate_drafts(v.sections.select("draft_id").distinct(), merged(v))
+    return bd.validate_drafts(v.sections.select("draft_id").distinct(), merged(v, texts=False))
 
 
 @query("arr_01_section_score_map", """
