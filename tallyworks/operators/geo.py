@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyworks.functions.numbers import col, computed_once
-from tallyworks.functions.skew import HOT_ROWS, small, spread_join
+from tallyworks.functions.skew import HOT_ROWS, join_stats, small, spread_join
 from tallyworks.operators.scrutiny import authority
 from tallyworks.session import checkpointed
 
@@ -193,14 +193,19 @@ def point_in_polygon(
 
     Points meet the boxes of polygons through a quadtree; a geometry joins the pairs that are left by its id.  The
     geometries are broadcast if their counted bytes are few, otherwise a polygon of many points is dealt over tasks.
+    Ids follow the layer order, so the first polygon of a point is its smallest id: pairs are hashed, never sorted, and
+    a task holds one number per point, however many polygons lie around it.
     """
-    whole, boxes, few = numbered(layer, order, "polygons", *props)
+    whole, boxes, few = numbered(layer.orderBy(F.col(order).asc_nulls_last()), order, "polygons", *props)
     few = few if broadcast_bytes is None else few and broadcast_bytes > 0
     near = box_hits(placed(points, key, x, y), boxes.select("_id", "_b"), size, many, hot=hot).select("_p", "_x", "_y", "_id")
-    shapes = whole.select("_id", order, "_g", F.struct(*props).alias("_s"))
+    shapes = whole.select("_id", "_g")
     met = near.join(F.broadcast(shapes), "_id") if few else spread_join(near, shapes, ["_id"], ["_p"], hot)
     hit = met.where(contains_point("_g", F.col("_x"), F.col("_y")))
-    best = hit.groupBy("_p").agg(F.min_by("_s", order).alias("_s"))
+    best = checkpointed(hit.groupBy("_p").agg(F.min("_id").alias("_id")))
+    # A polygon without an order comes last and names nothing.
+    named = whole.select("_id", F.when(F.col(order).isNotNull(), F.struct(*props)).alias("_s"))
+    best = best.join(F.broadcast(named), "_id") if few else spread_join(best, named, ["_id"], ["_p"], hot)
     return best.select(F.col("_p").alias(key), *[F.col(f"_s.{p}").alias(p) for p in props])
 
 
@@ -346,23 +351,34 @@ def nearest_line(
     """Nearest line within the buffer and its distance; the earlier line wins ties (GEO-05, JN-23).
 
     A segment's box grown by the buffer holds every point that it may be nearest to; the quadtree of ``box_hits`` splits
-    cells of many segments.  Columns: key, props, distance_m.
+    cells of many segments.  Segments are numbered in line order.  Pairs are met twice, for the least distance of a point
+    and for the first segment at it: both are one number per point, so pairs are hashed, never sorted or written.
+    Columns: key, props, distance_m.
     """
     deg = buffer_m / 111_000.0
     cell = size or max(4 * deg, 0.01)
     c = F.col
     parts = _edges(c("line"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    segs = lines.select(order, F.struct(*props).alias("_s"), F.explode(parts).alias("_id"))
+    whole = lines.orderBy(c(order).asc_nulls_first()).select(F.struct(*props).alias("_s"), F.explode(parts).alias("_e"))
+    whole = checkpointed(whole.withColumn("_id", F.monotonically_increasing_id()))
     # Degrees of longitude shrink towards the poles.
-    grow = deg / F.greatest(F.cos(F.radians(F.greatest(F.abs("_id.a.y"), F.abs("_id.b.y")) + deg)), F.lit(0.01))
+    grow = deg / F.greatest(F.cos(F.radians(F.greatest(F.abs("_e.a.y"), F.abs("_e.b.y")) + deg)), F.lit(0.01))
     box = F.struct(
-        (F.least("_id.a.x", "_id.b.x") - grow).alias("x0"), (F.least("_id.a.y", "_id.b.y") - deg).alias("y0"),
-        (F.greatest("_id.a.x", "_id.b.x") + grow).alias("x1"), (F.greatest("_id.a.y", "_id.b.y") + deg).alias("y1"))
-    met = box_hits(placed(points, key, x, y), segs.withColumn("_b", box), cell, many, hot=hot)
-    d = segment_distance(c("_x"), c("_y"), c("_id.a.x"), c("_id.a.y"), c("_id.b.x"), c("_id.b.y"))
-    near = computed_once(met.select("_p", order, "_s", d.alias("distance_m"))).where(c("distance_m") <= buffer_m)
-    best = near.groupBy("_p").agg(F.min_by(F.struct("_s", "distance_m"), F.struct("distance_m", order)).alias("_m"))
-    return best.select(c("_p").alias(key), *[c(f"_m._s.{p}").alias(p) for p in props], c("_m.distance_m").alias("distance_m"))
+        (F.least("_e.a.x", "_e.b.x") - grow).alias("x0"), (F.least("_e.a.y", "_e.b.y") - deg).alias("y0"),
+        (F.greatest("_e.a.x", "_e.b.x") + grow).alias("x1"), (F.greatest("_e.a.y", "_e.b.y") + deg).alias("y1"))
+    segs = whole.select("_id", "_e", box.alias("_b"))
+
+    def near(pts: DataFrame) -> DataFrame:
+        met = box_hits(pts, segs, cell, many, hot=hot)
+        d = segment_distance(c("_x"), c("_y"), c("_e.a.x"), c("_e.a.y"), c("_e.b.x"), c("_e.b.y"))
+        return computed_once(met.select(*pts.columns, "_id", d.alias("_m"))).where(c("_m") <= buffer_m)
+
+    pts = placed(points, key, x, y)
+    least = checkpointed(near(pts).groupBy("_p").agg(F.min("_m").alias("_d"), F.count(F.lit(1)).alias("_n")))
+    told = join_stats(pts, least, ["_p"], "_n", ["_x", "_y"], hot).where(c("_d").isNotNull()).drop("_n")
+    first = checkpointed(near(told).where(c("_m") == c("_d")).groupBy("_p").agg(F.min("_id").alias("_id"), F.min("_d").alias("_d")))
+    best = spread_join(first, whole.select("_id", "_s"), ["_id"], ["_p"], hot)
+    return best.select(c("_p").alias(key), *[c(f"_s.{p}").alias(p) for p in props], c("_d").alias("distance_m"))
 
 
 def jurisdictions(

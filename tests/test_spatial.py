@@ -123,3 +123,37 @@ def test_largest_overlap_of_a_hot_cell(spark):
     a = spark.createDataFrame(shapes, f"id long, polygons {POLYGONS}")
     b = spark.createDataFrame(layer, f"layer_order int, name string, polygons {POLYGONS}")
     assert {r.id: r.name for r in geo.largest_overlap(a, b, "id", "name", hot=10).collect()} == want
+
+
+def plans(monkeypatch, run):
+    """Physical plans of all frames that ``run`` writes or returns."""
+    seen, write = [], geo.checkpointed
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(geo, "checkpointed", lambda df: seen.append(plan(df)) or write(df))
+    seen.append(plan(run()))
+    return "\n".join(seen)
+
+
+def test_segments_of_a_small_file_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """The file of lines tells nothing about the bytes of their segments and cells."""
+    spark.range(2000).select(F.col("id").alias("layer_order")).write.parquet(str(tmp_path / "lines"))
+    x = F.col("layer_order") / 100
+    lines = spark.read.parquet(str(tmp_path / "lines")).select("layer_order", F.concat(F.lit("r"), "layer_order").alias("name"), F.array(geo.point(x, F.lit(0.0)), geo.point(x + 0.01, F.lit(0.0))).alias("line"))
+    pts = spark.range(50).select("id", (F.col("id") / 10).alias("lng"), F.lit(0.001).alias("lat"))
+    text = plans(monkeypatch, lambda: geo.nearest_line(pts, lines, "id", "name"))
+    assert text.count("SortMergeJoin") >= 3 and "SortAggregate" not in text
+    assert geo.nearest_line(pts, lines, "id", "name").count() == 50
+
+
+def test_pairs_of_points_and_polygons_are_hashed_and_dealt(spark, monkeypatch):
+    """Many polygons around every point: one number per point is kept, no pair is sorted, more than one task works."""
+    layer = spark.range(40).select((39 - F.col("id")).alias("layer_order"), F.concat(F.lit("n"), "id").alias("name"),
+                                   geo.rectangle(F.col("id") * 0.0, F.col("id") * 0.0, F.lit(4.0), F.lit(4.0)).alias("polygons"))
+    layer = layer.unionByName(layer.where("name = 'n5'").withColumns({"layer_order": F.lit(None).cast("long"), "name": F.lit("none")}))
+    pts = spark.range(200).repartition(1).select("id", (F.col("id") % 20 / 5).alias("lng"), (F.col("id") % 10 / 3).alias("lat"))
+    run = lambda: geo.point_in_polygon(pts, layer, "id", "name")
+    text = plans(monkeypatch, run)
+    assert "SortMergeJoin" in text and "SortAggregate" not in text
+    assert {(r.id, r.name) for r in run().collect()} == {(i, "n39") for i in range(200)}
+    near = geo.box_hits(geo.placed(pts, "id", "lng", "lat"), layer.select("name", geo.bbox("polygons").alias("_b")), 0.25)
+    assert near.select(F.spark_partition_id()).distinct().count() > 1
