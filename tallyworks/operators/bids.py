@@ -217,23 +217,25 @@ def detected_issues(sections: DataFrame, title: str = "section_type") -> DataFra
     return rows.select("draft_id", "case_id", "source_section", "pos", "i.*", *decided)
 
 
-def merged_issues(known: DataFrame, detected: DataFrame) -> DataFrame:
+def merged_issues(known: DataFrame, detected: DataFrame, tasks: int | None = None) -> DataFrame:
     """Known issues first, then detected ones, one per category, section and text (SET-03).
 
     Columns that one side lacks (rule, evidence, fix, impact) are null there.
     """
     keys = ["draft_id", "category", "source_section", "description"]
     ties = [c for c in ("evidence",) if c in detected.columns]
-    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision", *ties])
+    return first_wins([known, detected], keys, ["pos", "severity", "auto_fixable", "officer_decision", *ties], tasks)
 
 
-def validate_drafts(drafts: DataFrame, issues: DataFrame) -> DataFrame:
-    """Severity counts, score and readiness per draft (RUL-17)."""
+def validate_drafts(drafts: DataFrame, issues: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Severity counts, score and readiness per draft (RUL-17); with ``tasks`` given, drafts are dealt over so many."""
     n = issues.groupBy("draft_id").agg(
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("Critical", "Moderate", "Minor")],
         F.count_if("auto_fixable").alias("auto_fixable"),
         F.count_if("officer_decision").alias("officer_decisions"),
     )
+    if tasks is not None:
+        drafts, n = drafts.repartition(tasks, "draft_id"), n.repartition(tasks, "draft_id")
     d = drafts.join(n, "draft_id", "left").fillna(0, ["critical", "moderate", "minor", "auto_fixable", "officer_decisions"])
     c = F.col
     return d.withColumns(

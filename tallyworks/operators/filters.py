@@ -73,10 +73,11 @@ def without_ids(df: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return df.join(drop.select(key), key, "left_anti")
 
 
-def first_wins(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def first_wins(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Union of the frames, first row per key in frame order, then by ``order`` (SET-02, SET-03).
 
-    min_by combines map-side.
+    min_by combines map-side.  Its structs are sorted, not hashed: with ``tasks`` given, rows are dealt over so many tasks
+    by key and a salt of the order, then the firsts of the salts by key, so that a task sorts its share of the rows only.
     """
     both = None
     for i, f in enumerate(frames):
@@ -84,4 +85,8 @@ def first_wins(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence
         both = t if both is None else both.unionByName(t, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys and c != "_frame"]
     first = F.min_by(F.struct(*rest), F.struct("_frame", *order)).alias("_r")
+    if tasks is not None:
+        salted = both.withColumn("_salt", F.pmod(F.xxhash64("_frame", *order), F.lit(16)).cast("int")).repartition(tasks, *keys, "_salt")
+        both = salted.groupBy(*keys, "_salt").agg(F.min_by(F.struct("_frame", *rest), F.struct("_frame", *order)).alias("_r"))
+        both = both.select(*keys, "_r.*").repartition(tasks, *keys)
     return both.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])

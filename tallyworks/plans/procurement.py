@@ -150,7 +150,8 @@ def merged(v: Views, texts: bool = True) -> DataFrame:
                             F.col("issue_id").alias("pos"))
     found = bd.detected_issues(sections(v)).drop("case_id").withColumn("pos", F.col("pos").cast("long"))
     # Counts need no texts.
-    return bd.merged_issues(known, found if texts else found.drop("rule_id", "evidence", "suggested_fix", "impact"))
+    found = found if texts else found.drop("rule_id", "evidence", "suggested_fix", "impact")
+    return bd.merged_issues(known, found, v.tasks("lineitem"))
 
 
 @query("set_03_merged_issues", """
@@ -163,7 +164,7 @@ def set_03(v: Views) -> DataFrame:
   SELECT *, GREATEST(0, 100 - critical * 14 - moderate * 6 - minor * 2) AS score, CASE WHEN critical > 0 THEN 'Not Ready' WHEN moderate > 0 THEN 'Needs Review'
     WHEN minor > 0 THEN 'Ready with Minor Issues' ELSE 'Ready' END AS readiness FROM {validated}""")
 def rul_17(v: Views) -> DataFrame:
-    return bd.validate_drafts(v.sections.select("draft_id").distinct(), merged(v, texts=False))
+    return bd.validate_drafts(v.sections.select("draft_id").distinct(), merged(v, texts=False), v.tasks("lineitem"))
 
 
 @query("arr_01_section_score_map", """
