@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -46,16 +46,15 @@ def mean_vectors(df: DataFrame, key: str, vector: str, out: str = "centroid") ->
 
 
 def hash_embed(text: str | Column, dim: int = 128) -> Column:
-    """Token counts in blake2b buckets, L2-normalised (ML-06); Arrow batches."""
+    """Token counts in blake2b buckets, L2-normalised (ML-06); Arrow batches, one text at a time as a Python string."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict[str, int] = {}
         for s in batches:
-            rows = []
-            for t in s:
-                v = np.zeros(dim, dtype=np.float32)
-                for w in (t or "").lower().split():
+            rows = np.zeros((len(s), dim), dtype=np.float32)
+            for v, t in zip(rows, s):
+                for w in (t.as_py() or "").lower().split():
                     b = seen.get(w)
                     if b is None:
                         if len(seen) > 200_000:
@@ -64,7 +63,8 @@ def hash_embed(text: str | Column, dim: int = 128) -> Column:
                         seen[w] = b
                     v[b] += 1.0
                 n = float(np.linalg.norm(v))
-                rows.append((v / n if n else v).astype(np.float32))
-            yield pd.Series(rows)
+                if n:
+                    v /= n
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * dim), pa.array(rows.ravel()))
 
     return embed(col(text))

@@ -7,7 +7,7 @@ from tallyworks.operators import documents as dc
 from tallyworks.operators import pages as pg
 from tallyworks.operators import similarity as sim
 from tallyworks.sinks import tables as snk
-from tallyworks.sources import readers, schemas
+from tallyworks.sources import readers, schemas, views
 
 # (file name, link text, hint, expected type)
 TYPES = [
@@ -240,3 +240,21 @@ def test_a_run_is_exported_whole_or_not_at_all(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "R-9").iterdir()) == ["a", "b"]
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/a").collect()
     assert sorted((r.id, r.gone) for r in back) == [("1", None), ("2", None)]
+
+
+def test_chunks_leave_before_a_batch_of_long_texts_ends(spark, monkeypatch):
+    """Texts are not made one frame of Python strings; what leaves early is the same."""
+    texts = [(i, f"Part {i}. " + " ".join(f"Sentence {j} of text {i} is plain." for j in range(i % 50))) for i in range(300)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(texts, "document_id long, text string").coalesce(1)
+    read = lambda: sorted(tuple(r) for r in sim.chunks(df, target=200).collect())
+    want = read()
+    monkeypatch.setattr(sim, "OUT_CHARS", 500)
+    assert read() == want and {r[0] for r in want} == set(range(300))
+    assert "MapInArrow" in sim.chunks(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_larger_table_is_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(views, "TASK_ROWS", 90)
+    v = views.Views(spark, str(tmp_path)).spread("documents")
+    assert v.documents.rdd.getNumPartitions() == 12 and v.documents.count() == 1000
