@@ -32,8 +32,9 @@ ROUNDS = 8
 MARGIN, LOW = 0.4, 0.01
 # A centroid holds so large a share of its language's sampled texts at least.
 HOLDS = 0.02
-# Texts of one numpy step; with DIM it bounds a task's memory.
-ROWS = 256
+# Texts of one numpy step, and bytes whose n-grams are counted together: with DIM they bound a task's memory, however long a text is.
+ROWS = 64
+BLOCK_BYTES = 1 << 16
 LETTER = regex.compile(r"\p{L}")
 
 # Letters in lower case and bytes of other alphabets stay, all else is a space.
@@ -57,33 +58,56 @@ def counts(raw: np.ndarray, ends: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Documents x dim: how often each hashed n-gram occurs; n-grams never cross documents."""
     n = len(ends) - 1
     out = np.zeros(n * dim, np.float32)
-    doc = np.repeat(np.arange(n) * dim, np.diff(ends))
-    last = np.repeat(ends[1:], np.diff(ends))
-    b = _CLASS[raw]
+    for at in range(0, len(raw), BLOCK_BYTES):
+        _count(out, raw, ends, at, min(at + BLOCK_BYTES, len(raw)), dim)
+    return out.reshape(n, dim)
+
+
+def _count(out: np.ndarray, raw: np.ndarray, ends: np.ndarray, at: int, to: int, dim: int) -> None:
+    """Adds the n-grams that begin at the bytes from ``at`` up to ``to``; they may end behind ``to``."""
+    low, high = np.searchsorted(ends, [at, to - 1], side="right") - 1
+    inside = np.diff(np.clip(ends[low : high + 2], at, to))
+    doc, last = np.repeat(np.arange(high + 1 - low) * dim, inside), np.repeat(ends[low + 1 : high + 2] - at, inside)
+    b = _CLASS[raw[at : to + max(ORDERS) - 1]]
     gram = np.zeros(len(b), np.int64)
+    mine = out[low * dim : (high + 1) * dim]
     for order in range(1, max(ORDERS) + 1):
-        size = len(b) - order + 1
+        gram = gram[: len(b) - order + 1] * 257 + b[order - 1 :]
+        size = min(to - at, len(gram))
         if size <= 0:
             break
-        gram = gram[:size] * 257 + b[order - 1 :]
         if order in ORDERS:
-            slot = ((gram + order) * 0x9E3779B1 >> 15) % dim + doc[:size]
+            slot = ((gram[:size] + order) * 0x9E3779B1 >> 15) % dim + doc[:size]
             blank = b[:size] == 32 if order == 1 else np.zeros(size, bool)
             ok = (np.arange(size) + order <= last[:size]) & ~blank
-            out += np.bincount(slot[ok], minlength=n * dim)
-    return out.reshape(n, dim)
+            mine += np.bincount(slot[ok], minlength=len(mine))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _weigh(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts become unit vectors in place, a few rows at a time."""
+    for at in range(0, len(found), ROWS):
+        found[at : at + ROWS] = _unit(np.log1p(found[at : at + ROWS]) * idf)
+    return found
+
+
 def _steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, text):
         for at in range(0, piece.num_rows, ROWS):
             yield piece.slice(at, ROWS)
 
 
+def _mean(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mean of some rows, added one by one: no copy of them is made."""
+    total = np.zeros(x.shape[1], x.dtype)
+    for i in np.flatnonzero(rows):
+        total += x[i]
+    return total / x.dtype.type(rows.sum())
+
+
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means; starts from the text nearest to the mean, then from the farthest ones."""
     start = [int(np.argmax(x @ x.mean(axis=0)))]
@@ -92,7 +116,7 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     c = x[start]
     for _ in range(ROUNDS):
         near = np.argmax(x @ c.T, axis=1)
-        c = _unit(np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))]))
+        c = _unit(np.stack([_mean(x, near == i) if (near == i).any() else c[i] for i in range(len(c))]))
     return c
 
 
@@ -157,10 +181,19 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
 
     def cluster(group: pa.Table) -> pa.Table:
         x = np.zeros((group.num_rows, DIM), np.float32)
-        for i, (at, v) in enumerate(zip(group.column("at"), group.column("n"))):
-            x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(v.as_buffer(), np.float32)
-        x = _unit(np.log1p(x) * idf)
-        x = x[np.lexsort(x[:, :4].T)]
+
+        def fill(order: np.ndarray) -> None:
+            places = np.empty(len(order), int)
+            places[order] = np.arange(len(order))
+            for i, at, v in zip(places, group.column("at"), group.column("n")):
+                x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(v.as_buffer(), np.float32)
+            _weigh(x, idf)
+
+        fill(np.arange(len(x)))
+        order = np.lexsort(x[:, :4].T)
+        # Filled again in order, so that no second array of this size is made.
+        x[:] = 0
+        fill(order)
         c, least = _clusters(x, k)
         return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "least": [least] * len(c), "c": [v.astype(np.float32).tobytes() for v in c]})
 
@@ -183,7 +216,7 @@ def _judged(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray
         letter[i] = LETTER.search(col[i].as_py() or "") is not None
     pred, score, least = np.full(len(col), len(m.langs)), np.zeros(len(col)), np.zeros(len(col))
     if len(m.of):
-        cos = _unit(np.log1p(counts(raw, ends)) * m.idf) @ m.centroids.T
+        cos = _weigh(counts(raw, ends), m.idf) @ m.centroids.T
         near = np.argmax(cos, axis=1)
         pred, least = np.where(letter, m.of[near], len(m.langs)), m.least[near]
         score = np.where(letter, np.clip(cos.max(axis=1), 0, 1), 0.0).astype(np.float64)

@@ -96,3 +96,53 @@ def test_a_hot_text_is_drawn_once(spark):
     rows = [("a", "hot words here " * 5)] * 3000 + [("a", f"text number {i} of it") for i in range(300)] + [("b", f"otro texto {i} aqui") for i in range(300)]
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert set(L.fit(docs, sample=400).langs) == {"a", "b"}
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 64])
+def test_counts_do_not_depend_on_blocks(monkeypatch, block):
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["", *["".join(rng.choice("aB é!ж1 ") for _ in range(rng.randint(0, 40))) for _ in range(20)], "", ""]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    want = L.counts(raw, ends)
+    monkeypatch.setattr(L, "BLOCK_BYTES", block)
+    assert (L.counts(raw, ends) == want).all() and want.sum() > 0
+
+
+def _peak_mb(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_follows_neither_long_texts_nor_many(model):
+    import numpy as np
+    import pyarrow as pa
+
+    long = np.frombuffer(text("aa", random.Random(4), 2000).encode() * 400, np.uint8)
+    assert len(long) > 4_000_000
+    assert _peak_mb(lambda: L.counts(long, np.array([0, len(long)]))) < 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["thaing enwh " * 80] * 2000)], ["text"])
+    # A batch of 2 MB, in steps: counts, their bins and their weights of one step at a time.
+    assert _peak_mb(lambda: [L._judged(step.column(0), model) for step in L._steps(iter([batch]), "text")]) < 20
+
+
+def test_sample_of_a_language_is_held_once():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((600, L.DIM)) < 0.05).astype(np.float32)
+    idf = np.ones(L.DIM, np.float32)
+    want = L._unit(np.log1p(x) * idf)
+    near = rng.random(len(x)) < 0.7
+    mean = want[near].mean(axis=0)
+    size = x.nbytes / 1e6
+    assert _peak_mb(lambda: L._weigh(x, idf)) < size / 2 and (x == want).all()
+    assert _peak_mb(lambda: L._mean(x, near)) < size / 2 and (L._mean(x, near) == mean).all()
